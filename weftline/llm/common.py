@@ -44,10 +44,10 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def text_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id, as a long, and the text (null: empty); other columns are pruned from the scan."""
+    """Only the id, as a long, and the text (null: empty); rows without an id are left out, other columns pruned from the scan."""
     from pyspark.sql import functions as F
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

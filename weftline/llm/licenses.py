@@ -114,10 +114,12 @@ def template_join(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row a document: n_words, n_base, first_word, last_word, base_labels, labels (both kinds) and score.
 
-    The score is 1 with a phrase, else the largest containment of a template that was found, else 0.
+    A block gives the labels of the templates that it contains most of. The score is 1 with a phrase, else the largest containment of a template that was found, else 0.
     """
     rows = text_columns(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    blocks = template_join(rows, templates, threshold).groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    found = template_join(rows, templates, threshold).groupBy("doc_id", "key", "block").agg(F.max("containment").alias("containment"), F.collect_list(F.struct("containment", "label")).alias("all"))
+    best = found.select("doc_id", "key", "containment", F.transform(F.filter("all", lambda x: x["containment"] == F.col("containment")), lambda x: x["label"]).alias("best"))
+    blocks = best.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("best"))).alias("more"), F.max("containment").alias("containment"))
     base = phrase_scan(rows).select("doc_id", "key", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places")["at"].alias("first_word"), F.array_max("places")["at"].alias("last_word"), F.array_distinct(F.transform("places", lambda p: p["label"])).alias("own"))
     both = base.join(blocks, ["doc_id", "key"], "left")
     none = F.array().cast("array<string>")

@@ -11,12 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), texts=True))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -41,5 +53,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bpe, op6_token_files, op7_secrets, op8_fingerprints, op9_licenses)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_substrings, op4_bpe, op5_toxicity, op6_token_files, op7_secrets, op8_fingerprints, op9_licenses, op10_suffixes)}
 ORACLES: dict[str, str] = {}

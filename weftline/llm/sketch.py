@@ -85,7 +85,7 @@ def repeated(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterato
 
     merged = df.mapInArrow(count, "slice int, cells binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, bits binary")
     bitmap = np.zeros((rows << bits) // 8, np.uint8)
-    for s, blob in merged.toLocalIterator():
+    for s, blob in merged.collect():
         bitmap[s * part // 8 : (s + 1) * part // 8] = np.frombuffer(blob, np.uint8)
     return Repeated(rows, bits, bitmap)
 
@@ -114,9 +114,9 @@ def bucket_counts(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], It
                 code = np.frombuffer(blob.as_buffer(), np.uint32).reshape(-1, 2).astype(np.int64)
                 total.setdefault(s, np.zeros(part, np.int64))[np.cumsum(code[:, 0])] += code[:, 1]
         for s, have in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([have.tobytes()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(have, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
 
     out = np.zeros(1 << bits, np.int64)
-    for s, blob in df.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, counts binary").toLocalIterator():
-        out[s * part : (s + 1) * part] = np.frombuffer(blob, np.int64)
+    for s, blob in df.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, counts binary").collect():
+        out[s * part : (s + 1) * part] = np.frombuffer(blob, np.uint32)
     return out

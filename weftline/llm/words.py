@@ -50,18 +50,22 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * back[starts])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word, and the n + 1 offsets of the texts in these arrays."""
-    if lower:
-        data = LOWER[data]
-    inner = ~SPACE[data]
+def word_edges(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end byte) of the longest runs of bytes that aren't in ``space``, within texts."""
+    inner = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    first = inner.copy()
+    first, last = inner.copy(), inner.copy()
     first[1:] &= ~inner[:-1] | edge[1:-1]
-    last = inner.copy()
     last[:-1] &= ~inner[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte) of each word, and the n + 1 offsets of the texts in these arrays."""
+    if lower:
+        data = LOWER[data]
+    starts, ends = word_edges(data, offsets)
     bounds = np.searchsorted(starts, offsets)
     if len(data) <= 2 * PART_BYTES:
         return _hash_words(data, starts, ends), starts, ends, bounds
