@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once in a Python worker; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +48,20 @@ def text_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Only the id, as a long, and the text (null: empty); rows without an id are left out, other columns pruned from the scan."""
     from pyspark.sql import functions as F
 
+    bounded_batches(df.sparkSession)
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session asks for less: Spark's default holds 64 MB a batch, twice a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, "64m").lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = int(have[:-1]) * units[have[-1]] if have[-1] in units else int(have)
+    if size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets, without a copy; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -58,8 +58,9 @@ def repeated(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterato
                 one, two = at[cut[s] : cut[s + 1]], more[cut[s] : cut[s + 1]]
                 if len(one):
                     code = (np.diff(one, prepend=s * part) * 2 + two).astype(np.uint32)
+                    large = code[code >= 255]
                     ids.append(s)
-                    blobs.append(code.tobytes())
+                    blobs.append(np.uint32(len(large)).tobytes() + large.tobytes() + np.minimum(code, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "cells"])
 
         for v in values(batches):
@@ -76,7 +77,10 @@ def repeated(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterato
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                code = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
+                blob = blob.as_buffer()
+                n = int(np.frombuffer(blob, np.uint32, 1)[0])
+                code = np.frombuffer(blob, np.uint8, offset=4 + 4 * n).astype(np.int64)
+                code[code == 255] = np.frombuffer(blob, np.uint32, n, 4)
                 have = seen.setdefault(s, np.zeros(part, np.uint8))
                 at = np.cumsum(code >> 1)
                 have[at] = np.minimum(have[at] + 1 + (code & 1).astype(np.uint8), 2)

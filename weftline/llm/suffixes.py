@@ -32,6 +32,8 @@ GRAM = 16
 SKETCH_ROWS, SKETCH_BITS = 2, 28
 #: Bytes of segments that a task compares at once.
 HELD = 24 << 20
+#: Bytes that are hashed at once: eight bytes are held for each, several times.
+PIECE = 1 << 19
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
     """Runs of windows that also start in a document with a smaller id; rows has doc_id and text."""
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, data, offsets in pieces(batches):
+        for _, data, offsets in pieces(batches, PIECE):
             g, chosen, _, _ = windows(BYTE[data], offsets, width, gram)
             yield g[chosen]
 
@@ -127,7 +129,7 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
                 blobs.append(np.concatenate(([len(own)], doc[own], start[own], count[own])).astype(np.int64).tobytes() + data[ranges(at[own], count[own] + width - 1)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]], pa.int32()), pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["group", "bucket", "runs"])
 
-        for doc, data, offsets in pieces(batches):
+        for doc, data, offsets in pieces(batches, PIECE):
             units = BYTE[data]
             _, _, least, inside = windows(units, offsets, width, gram)
             if not len(least):
