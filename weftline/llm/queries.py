@@ -17,6 +17,12 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontamination
+
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
@@ -65,5 +71,5 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op3_substrings, op4_bpe, op5_toxicity, op6_token_files, op7_secrets, op8_fingerprints, op9_licenses, op10_suffixes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_decontamination, op3_substrings, op4_bpe, op5_toxicity, op6_token_files, op7_secrets, op8_fingerprints, op9_licenses, op10_suffixes)}
 ORACLES: dict[str, str] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, runs, text_columns
 from .sketch import bucket_counts
-from .words import BASE, BYTE, LOWER, PART_BYTES, mix, powers, word_edges
+from .words import BASE, BYTE, LOWER, mix, word_edges
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -220,6 +220,22 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     return text_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, nearest array<long>, cosines array<double>")
 
 
+def kept(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all columns, whose score is below ``cut``."""
+    from .common import bounded_batches, text_bytes
+
+    at = docs.columns.index("text")
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(at))
+            scores = [index.score(x)[0] for x in vectors(data, offsets, index.place)]
+            yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """Rows that are never learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
