@@ -28,7 +28,7 @@ CONTRACTED = np.zeros(256, bool)
 CONTRACTED[[ord(c) for c in "strvmld"]] = True
 SEGMENT_CHARS = 1 << 16
 #: Distinct pieces that a worker keeps; beyond that it starts anew, which changes no result.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_500_000
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

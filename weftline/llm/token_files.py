@@ -160,7 +160,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
 
         library = Tokenizer.from_file(path or P.path(VOCABULARY))
         library.encode_special_tokens = True
-        own = PieceEncoder(lambda xs: [e.ids for e in library.encode_batch(xs, add_special_tokens=False)])
+        own = PieceEncoder(lambda xs: [e.ids for e in library.encode_batch_fast(xs, add_special_tokens=False)])
         for doc, data, offsets in pieces(batches):
             ids, cut = own(data, offsets)
             ids = np.insert(ids, cut[1:], np.uint16(end))
@@ -171,8 +171,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=SYMBOLS)
+            values = batch.column(0)
+            cut = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+            total += np.bincount(np.frombuffer(values.buffers()[2], np.uint8)[cut[0] : cut[-1]].view("<u2"), minlength=SYMBOLS) if cut[-1] > cut[0] else 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
