@@ -20,9 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import pieces, ranges, runs, shared_dir, text_columns, written
+from .common import pieces, ranges, runs, text_columns
 from .repeats import RUNS, applied, buckets_for, covered, run_batches, windows
 from .sketch import repeated
 from .words import BASE, BYTE, mix, powers
@@ -123,10 +126,11 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
             by = np.argsort(group, kind="stable")
             first, group = first[by], group[by]
             cut = runs(group)
-            blobs = []
+            packer, blobs = zstandard.ZstdCompressor(level=1), []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 own = first[a:b]
-                blobs.append(np.concatenate(([len(own)], doc[own], start[own], count[own])).astype(np.int64).tobytes() + data[ranges(at[own], count[own] + width - 1)].tobytes())
+                head = np.concatenate(([len(own)], key[own].view(np.int64), doc[own], start[own], count[own])).astype(np.int64)
+                blobs.append(packer.compress(head.tobytes() + data[ranges(at[own], count[own] + width - 1)].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]], pa.int32()), pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["group", "bucket", "runs"])
 
         for doc, data, offsets in pieces(batches, PIECE):
@@ -158,22 +162,30 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[bytes]] = {}
         for batch in batches:
-            for g, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            known = pc.less(batch.column(0), 0)
+            yield batch.filter(known).select(["bucket", "runs"])
+            for g, blob in zip(*(c.to_pylist() for c in batch.filter(pc.invert(known)).select(["group", "runs"]).columns), strict=True):
                 seen.setdefault(g, []).append(blob)
-        for blobs in seen.values():
+        packer = zstandard.ZstdDecompressor()
+        for g in list(seen):
+            blobs = [packer.decompress(x) for x in seen.pop(g)]
+            sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs]
+            heads = [np.frombuffer(x, np.int64, 4 * n, 8).reshape(4, n) for x, n in zip(blobs, sizes, strict=True)]
+            # A minimiser that came once, for all the sketch's estimate, has no window that another place could equal.
+            keys, back, times = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True, return_counts=True)
+            often = times[back] > 1
             which: dict[bytes, int] = {}
-            own, doc, start, count = [], [], [], []
-            for blob in blobs:
-                n = int(np.frombuffer(blob, np.int64, 1)[0])
-                head = np.frombuffer(blob, np.int64, 3 * n, 8).reshape(3, n)
-                doc.append(head[0])
-                start.append(head[1])
-                count.append(head[2])
-                at = 8 + 24 * n
-                for size in (head[2] + width - 1).tolist():
-                    own.append(which.setdefault(blob[at : at + size], len(which)))
-                    at += size
-            own, doc, start, count = np.array(own), np.concatenate(doc), np.concatenate(start), np.concatenate(count)
+            own, at_all = [], 0
+            for blob, n, head in zip(blobs, sizes, heads, strict=True):
+                size = head[3] + width - 1
+                end = 8 + 32 * n + np.cumsum(size)
+                for i in np.flatnonzero(often[at_all : at_all + n]).tolist():
+                    own.append(which.setdefault(blob[end[i] - size[i] : end[i]], len(which)))
+                at_all += n
+            if not own:
+                continue
+            own = np.array(own)
+            doc, start, count = (np.concatenate([h[k] for h in heads])[often] for k in (1, 2, 3))
             least = np.full(len(which), np.iinfo(np.int64).max)
             np.minimum.at(least, own, doc)
             distinct = list(which)
@@ -196,9 +208,9 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
             if len(at):
                 yield run_batches(doc[by], start[by] + at - base[own[by]], np.ones(len(at), np.int64), buckets)
 
-    found = written(rows.mapInArrow(segments, "group int, bucket int, runs binary"), shared_dir(rows.sparkSession), "segments")
-    across = found.where("group >= 0").repartition("group").mapInArrow(group, RUNS)
-    return found.where("group < 0").select("bucket", "runs").unionByName(across)
+    # Runs that are known already pass through, dealt by their bucket of documents.
+    found = rows.mapInArrow(segments, "group int, bucket int, runs binary")
+    return found.repartition(F.when(F.col("group") < 0, -1 - F.col("bucket")).otherwise(F.col("group"))).mapInArrow(group, RUNS)
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bytes_kept: bool = False) -> DataFrame:
