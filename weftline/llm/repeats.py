@@ -64,6 +64,25 @@ def run_batches(doc: np.ndarray, start: np.ndarray, length: np.ndarray, buckets:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]] if len(doc) else [], pa.int32()), pa.array([pack_runs(doc[a:b], start[a:b], length[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["bucket", "runs"])
 
 
+class RunBuffer:
+    """Gathers removed windows of many groups, so that a task writes a row for each bucket and not for each group and bucket."""
+
+    def __init__(self, buckets: int, most: int = 2_000_000):
+        self.buckets, self.most, self.held, self.n = buckets, most, [], 0
+
+    def add(self, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((doc, start))
+        self.n += len(doc)
+        if self.n >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            doc, start = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            yield run_batches(doc, start, np.ones(len(doc), np.int64), self.buckets)
+        self.held, self.n = [], 0
+
+
 def buckets_for(df: DataFrame, times: int) -> int:
     """Buckets in proportion to the session's shuffle partitions, which grow with the input."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * times
@@ -120,4 +139,4 @@ def covered(sizes: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.n
     return np.cumsum(step)[:-1] > 0
 
 
-__all__ = ["applied", "buckets_for", "covered", "run_batches", "text_columns", "windows"]
+__all__ = ["RunBuffer", "applied", "buckets_for", "covered", "run_batches", "text_columns", "windows"]

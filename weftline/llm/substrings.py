@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pieces, ranges, runs, text_columns
-from .repeats import RUNS, applied, buckets_for, covered, run_batches, windows
+from .repeats import RUNS, RunBuffer, applied, buckets_for, covered, run_batches, windows
 from .sketch import repeated
 from .words import grams, word_edges, words
 
@@ -91,12 +91,13 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
         for batch in batches:
             for g, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 seen.setdefault(g, []).append(np.frombuffer(blob.as_buffer(), np.int64).reshape(3, -1))
+        found = RunBuffer(buckets)
         for blobs in seen.values():
             keys, doc, start = np.concatenate([b[0] for b in blobs]).view(np.uint64), np.concatenate([np.cumsum(b[1]) for b in blobs]), np.concatenate([b[2] for b in blobs])
             order, new = _first(keys, doc, start)
             later = order[~new]
-            if len(later):
-                yield run_batches(doc[later], start[later], np.ones(len(later), np.int64), buckets)
+            yield from found.add(doc[later], start[later])
+        yield from found.flush()
 
     from .common import shared_dir, written
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, ranges, runs, text_columns
-from .repeats import RUNS, applied, buckets_for, covered, run_batches, windows
+from .repeats import RUNS, RunBuffer, applied, buckets_for, covered, run_batches, windows
 from .sketch import repeated
 from .words import BASE, BYTE, mix, powers
 
@@ -166,7 +166,7 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
             yield batch.filter(known).select(["bucket", "runs"])
             for g, blob in zip(*(c.to_pylist() for c in batch.filter(pc.invert(known)).select(["group", "runs"]).columns), strict=True):
                 seen.setdefault(g, []).append(blob)
-        packer = zstandard.ZstdDecompressor()
+        packer, removed = zstandard.ZstdDecompressor(), RunBuffer(buckets)
         for g in list(seen):
             blobs = [packer.decompress(x) for x in seen.pop(g)]
             sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs]
@@ -205,8 +205,8 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
             by = np.repeat(np.arange(len(own)), count)
             gone = smallest[at] < doc[by]
             at, by = at[gone], by[gone]
-            if len(at):
-                yield run_batches(doc[by], start[by] + at - base[own[by]], np.ones(len(at), np.int64), buckets)
+            yield from removed.add(doc[by], start[by] + at - base[own[by]])
+        yield from removed.flush()
 
     # Runs that are known already pass through, dealt by their bucket of documents.
     found = rows.mapInArrow(segments, "group int, bucket int, runs binary")
