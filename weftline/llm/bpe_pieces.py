@@ -75,6 +75,16 @@ def segments(text: str, most: int = SEGMENT_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def kept_encoder(key: tuple, make: Callable[[], Callable[[list[str]], list[list[int]]]]) -> PieceEncoder:
+    """The encoder that this worker keeps for ``key`` from one task to the next; ``make`` gives its function if there is none."""
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(make())
+    return _encoders[key]
+
+
 class PieceEncoder:
     """Encodes many texts; ``encode_many`` takes strings and gives their ids."""
 
@@ -92,10 +102,10 @@ class PieceEncoder:
         found = self.encode_many(texts)
         count = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint16, int(count.sum()))
-        keys = np.concatenate((self.known, keys))
-        at = np.concatenate((self.at, len(self.ids) + np.cumsum(count) - count))
-        order = np.argsort(keys, kind="stable")
-        self.known, self.at, self.count = keys[order], at[order], np.concatenate((self.count, count))[order]
+        place = np.searchsorted(self.known, keys)  # both are sorted
+        self.known = np.insert(self.known, place, keys)
+        self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, place, count)
         self.ids = np.concatenate((self.ids, ids))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

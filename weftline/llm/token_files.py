@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe_pieces import PieceEncoder
+from .bpe_pieces import kept_encoder
 from .common import pieces, shared_dir, text_columns, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -158,9 +158,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         import public_tokenizers as P
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path or P.path(VOCABULARY))
-        library.encode_special_tokens = True
-        own = PieceEncoder(lambda xs: [e.ids for e in library.encode_batch_fast(xs, add_special_tokens=False)])
+        def load():
+            library = Tokenizer.from_file(place)
+            library.encode_special_tokens = True
+            return lambda xs: [e.ids for e in library.encode_batch_fast(xs, add_special_tokens=False)]
+
+        place = path or P.path(VOCABULARY)
+        own = kept_encoder(("tokenizers", place), load)
         for doc, data, offsets in pieces(batches):
             ids, cut = own(data, offsets)
             ids = np.insert(ids, cut[1:], np.uint16(end))
