@@ -8,6 +8,7 @@ the pattern always ends a match: between a character that isn't white space and
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -101,7 +102,7 @@ class PieceEncoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         found = self.encode_many(texts)
         count = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint16, int(count.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint16, int(count.sum()))
         place = np.searchsorted(self.known, keys)  # both are sorted
         self.known = np.insert(self.known, place, keys)
         self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(count) - count)
