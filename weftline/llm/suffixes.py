@@ -37,34 +37,35 @@ SKETCH_ROWS, SKETCH_BITS = 2, 28
 HELD = 24 << 20
 #: Bytes that are hashed at once: eight bytes are held for each, several times.
 PIECE = 1 << 19
+#: Bytes of segments whose suffixes are sorted together, or one minimiser's, if they are more.
+TOGETHER = 1 << 17
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by their first ``depth`` or more symbols (bytes; beyond the end: 0), by doubling."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    key = np.zeros(len(text), np.uint64)
+    """Starts of all suffixes, sorted by their first ``depth`` or more symbols, by doubling; the end is after every byte of UTF-8."""
+    n = len(text)
+    padded = np.concatenate((text, np.full(8, 255, np.uint8)))
+    key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + len(text)]
-    order = np.argsort(key, kind="stable")
-    width = 8
+        key = key << np.uint64(8) | padded[k : k + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.full(n + depth, n, np.uint64)
+    rows, width = np.arange(n), 8
+    mine = order
     while True:
-        ordered = key[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        place = np.flatnonzero(new)[np.cumsum(new) - 1]  # the rank of a class is its first row
-        rank = np.empty(len(text), np.uint64)
-        rank[order] = place
-        if width >= depth:
-            return order
-        # Only rows in classes of two or more move, each within its class.
-        alone = new & np.concatenate((new[1:], [True]))
-        rows = np.flatnonzero(~alone)
-        if not len(rows):
+        rank[mine] = rows[new][np.cumsum(new) - 1]  # the rank of a class is its first row
+        # Only rows in classes of two or more move on, each within its class.
+        rows = rows[~(new & np.append(new[1:], True))]
+        if width >= depth or not len(rows):
             return order
-        ahead = np.zeros(len(text), np.uint64)
-        ahead[: max(0, len(text) - width)] = rank[width:] + np.uint64(1)
-        key = rank << np.uint64(32) | ahead
         mine = order[rows]
-        order[rows] = mine[np.argsort(key[mine], kind="stable")]
+        key = rank[mine] << np.uint64(32) | rank[mine + width]
+        by = np.argsort(key)
+        mine, key = mine[by], key[by]
+        order[rows] = mine
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         width *= 2
 
 
@@ -74,23 +75,41 @@ def equal_windows(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     n = len(text)
     row_of = np.empty(n + 1, np.int64)
     row_of[order] = np.arange(n)
-    row_of[n] = -1
+    row_of[n] = n  # the empty suffix
     after = row_of[order + 1]  # the row of a suffix without its first symbol
     head = text[order]
-    boundary = np.zeros(n, bool)
-    boundary[0] = True
-    open_rows = np.arange(1, n)
-    for level in range(width):
-        if level == 0:
-            found = head[open_rows] != head[open_rows - 1]
-        else:
-            interval = np.cumsum(boundary)
-            interval = np.append(interval, 0)  # of the empty suffix, row -1
-            found = interval[after[open_rows]] != interval[after[open_rows - 1]]
-        boundary[open_rows[found]] = True
-        open_rows = open_rows[~found]
-        if not len(open_rows):
+    boundary = np.concatenate(([True], head[1:] != head[:-1]))
+    interval = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)  # 0 for the empty suffix
+    rows = np.flatnonzero(~boundary)  # those still in one interval with the row before
+    low, high = after[rows - 1], after[rows]
+    np.cumsum(boundary, out=interval[:n])
+    found = interval[low] != interval[high]
+    fresh, rows, low, high = rows[found], rows[~found], low[~found], high[~found]
+    boundary[fresh] = True
+    # A row whose two suffixes go on in neighbouring rows opens just when a boundary falls between those; others are looked up.
+    near = high == low + 1
+    waits = np.zeros(n, bool)
+    waits[rows[near]] = True
+    before = np.zeros(n + 1, np.int64)
+    before[after] = np.arange(n)
+    rows, low, high = rows[~near], low[~near], high[~near]
+    for _ in range(2, width):
+        if not len(fresh):
             break
+        one = before[fresh]
+        one = one[waits[one]]
+        waits[one] = False
+        if len(rows):
+            if len(fresh) + 2 * len(rows) < n // 16:
+                fresh.sort()
+                found = np.searchsorted(fresh, low, "right") != np.searchsorted(fresh, high, "right")
+            else:
+                np.cumsum(boundary, out=interval[:n])
+                found = interval[low] != interval[high]
+            one = np.concatenate((one, rows[found]))
+            rows, low, high = rows[~found], low[~found], high[~found]
+        boundary[one] = True
+        fresh = one
     return order, np.cumsum(boundary) - 1
 
 
@@ -159,6 +178,28 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
         if held:
             yield from out()
 
+    def repeats(distinct: list[bytes], own: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, starts) of windows that a smaller document holds, of segments whose text is ``distinct[own]``."""
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, own, doc)
+        length = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        text = np.frombuffer(b"".join(distinct), np.uint8)
+        order, cls = equal_windows(text, width)
+        base = np.cumsum(length) - length
+        window = np.zeros(len(text), bool)
+        window[ranges(base, length - width + 1)] = True
+        segment = np.repeat(np.arange(len(distinct)), length)
+        rows_in = window[order]
+        cls, place = cls[rows_in], order[rows_in]
+        heads = runs(cls)
+        smallest = np.empty(len(text), np.int64)
+        smallest[place] = np.repeat(np.minimum.reduceat(least[segment[place]], heads[:-1]), np.diff(heads))
+        at = ranges(base[own], count)
+        by = np.repeat(np.arange(len(own)), count)
+        gone = smallest[at] < doc[by]
+        at, by = at[gone], by[gone]
+        return doc[by], start[by] + at - base[own[by]]
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -172,40 +213,23 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
             sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs]
             heads = [np.frombuffer(x, np.int64, 4 * n, 8).reshape(4, n) for x, n in zip(blobs, sizes, strict=True)]
             # A minimiser that came once, for all the sketch's estimate, has no window that another place could equal.
-            keys, back, times = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True, return_counts=True)
-            often = times[back] > 1
-            which: dict[bytes, int] = {}
-            own, at_all = [], 0
-            for blob, n, head in zip(blobs, sizes, heads, strict=True):
-                size = head[3] + width - 1
-                end = 8 + 32 * n + np.cumsum(size)
-                for i in np.flatnonzero(often[at_all : at_all + n]).tolist():
-                    own.append(which.setdefault(blob[end[i] - size[i] : end[i]], len(which)))
-                at_all += n
-            if not own:
+            doc, start, count = (np.concatenate([h[k] for h in heads]) for k in (1, 2, 3))
+            _, back, times = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True, return_counts=True)
+            pick = np.flatnonzero(times[back] > 1)
+            pick = pick[np.argsort(back[pick], kind="stable")]
+            if not len(pick):
                 continue
-            own = np.array(own)
-            doc, start, count = (np.concatenate([h[k] for h in heads])[often] for k in (1, 2, 3))
-            least = np.full(len(which), np.iinfo(np.int64).max)
-            np.minimum.at(least, own, doc)
-            distinct = list(which)
-            length = np.fromiter(map(len, distinct), np.int64, len(distinct))
-            text = np.frombuffer(b"".join(distinct), np.uint8)
-            order, cls = equal_windows(text, width)
-            base = np.cumsum(length) - length
-            window = np.zeros(len(text), bool)
-            window[ranges(base, length - width + 1)] = True
-            segment = np.repeat(np.arange(len(distinct)), length)
-            rows_in = window[order]
-            cls, place = cls[rows_in], order[rows_in]
-            heads = runs(cls)
-            smallest = np.empty(len(text), np.int64)
-            smallest[place] = np.repeat(np.minimum.reduceat(least[segment[place]], heads[:-1]), np.diff(heads))
-            at = ranges(base[own], count)
-            by = np.repeat(np.arange(len(own)), count)
-            gone = smallest[at] < doc[by]
-            at, by = at[gone], by[gone]
-            yield from removed.add(doc[by], start[by] + at - base[own[by]])
+            size = count + width - 1
+            home = np.repeat(np.arange(len(blobs)), sizes)
+            end = np.concatenate([8 + 32 * n + np.cumsum(h[3] + width - 1) for n, h in zip(sizes, heads, strict=True)])
+            # Minimisers are compared a few at a time, so that what is sorted stays in the processor's cache.
+            before, each = np.cumsum(size[pick]) - size[pick], runs(back[pick])
+            cut = runs(np.repeat(before[each[:-1]] // TOGETHER, np.diff(each)))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                mine = pick[a:b]
+                which: dict[bytes, int] = {}
+                own = np.array([which.setdefault(blobs[k][z - n : z], len(which)) for k, z, n in zip(home[mine].tolist(), end[mine].tolist(), size[mine].tolist(), strict=True)])
+                yield from removed.add(*repeats(list(which), own, doc[mine], start[mine], count[mine]))
         yield from removed.flush()
 
     # Runs that are known already pass through, dealt by their bucket of documents.
