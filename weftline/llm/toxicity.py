@@ -1,18 +1,23 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, with block-max inverted indexes.
 
-Terms are prefixes of words, of 4 to 9 bytes, A-Z lower-cased, hashed into 2 ** BITS buckets. A lexicon keeps the LEXICON buckets whose
-occurrences lean most towards the labelled examples with label 1. A document's vector has, for each bucket of the
-lexicon, the terms "at least 1, 2, 4, 8 times", and the terms "at least a share s of the words are of the lexicon"; a term's weight
-is its inverse document frequency over all documents, and vectors are scaled to length 1.
-
-Examples are at most ``examples`` labelled rows, those with the smallest hashes of their ids, so the index has a bounded size and is
-broadcast; everything else covers all rows. Its postings lie in blocks of BLOCK examples with the largest weight of
-each: blocks are read in order of their bounds until no bound exceeds the k-th best cosine, so the k nearest are exact.
-Neighbours vote with the cosine to the power POWER beside the examples' base rate, as one more vote; documents whose vector is empty
-get the rate among examples whose vector is empty. Equal cosines are ordered by example.
-
-Null and empty texts have the empty vector. Ids without text or label don't matter. With no labelled example of either
-kind every score is the base rate, or 0 without any example. Columns other than those named are not read.
+Terms. A word (a longest run of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased) has up to seven stems: its first 4 to 9
+bytes, and itself. Stems are hashed into 2 ** BITS buckets. The lexicon holds the at most LEXICON buckets that lean most to
+label 1: the examples with label 1 that hold one exceed what their share lets expect by LEAN standard deviations. A word's term is the
+strongest stem of it that the lexicon holds; all other words share one term, so a vector covers the whole text and its
+length says how much of the text the lexicon's words are. A term weighs (1 + ln tf) * idf, with idf = 1 + ln((1 + n) / (1 + df)) over all n documents.
+
+Index. Examples with equal vectors are one entry with the number of its examples and of those with label 1. Entries lie in blocks of BLOCK; the
+index keeps each term's postings by block and each block's largest weight of a term. For a batch of queries the bounds of all
+blocks are one product; a block is scored for the queries whose bound reaches their NEIGHBOURS-th best cosine so far. The neighbours are
+exact: all examples whose cosine is at least that of the NEIGHBOURS-th, so examples tied with it vote too, whatever their order.
+
+Votes weigh 1 / (1 - cosine + NEAR). The share of the votes for label 1 is turned into a probability by logistic scaling, fitted on the
+examples whose id's hash is a multiple of CALIBRATION: they had no part in the choice of terms, and join the index afterwards.
+
+Examples are at most ``examples`` labelled rows, those with the smallest hashes of their ids, so the index has a bounded size;
+document frequencies and scores cover all rows. Null and empty texts count as texts without a word of the lexicon.
+Ids without text or label don't matter. An id with two labels has the larger; rows with one id are all scored, and all of
+them are examples. Without any example every score is 0. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -24,133 +29,180 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, runs, text_columns
+from .common import bounded_batches, pieces, shared_dir, text_columns, written
 from .sketch import bucket_counts
-from .words import BASE, BYTE, LOWER, mix, word_edges
+from .words import BASE, BYTE, LOWER, mix, words
 
-BITS = 20
+BITS = 22
 PREFIXES = (4, 5, 6, 7, 8, 9)
 LEXICON = 400
-LEVELS = (1, 2, 4, 8)
-SHARES = (0.002, 0.004, 0.008, 0.015, 0.03, 0.06, 0.12)
+#: Standard deviations, and examples with label 1, that a term of the lexicon needs.
+LEAN, LEAST = 3.5, 3
 EXAMPLES = 20_000
-#: Occurrences in one document that count when the lexicon is chosen.
-CAP = 3
+CALIBRATION = 5
 BLOCK = 64
 NEIGHBOURS = 25
-POWER = 4
+NEAR = 0.02
 CUT = 0.3
+TIE = 1e-6
 _NO_WORD = np.ones(256, bool)
 _NO_WORD[48:58] = _NO_WORD[65:91] = _NO_WORD[97:123] = _NO_WORD[128:] = False
 
 
-def prefix_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, its word's place, words' texts, words a text) of all prefixes."""
-    starts, ends = word_edges(data, offsets, _NO_WORD)
-    text = np.searchsorted(offsets, starts, "right") - 1
+def stems(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First the words' texts and the words a text; then, for each kind of stem, (bucket, the word's place)."""
     data = LOWER[data]
-    out, own = [], []
-    for at in range(0, max(len(starts), 1), 1 << 19):  # bounds the arrays for a very long text
-        a, b = starts[at : at + (1 << 19)], ends[at : at + (1 << 19)]
-        value = np.zeros(len(a), np.uint64)
-        for k in range(max(PREFIXES)):
-            alive = b - a > k
-            value[alive] = value[alive] * np.uint64(BASE) + BYTE[data[a[alive] + k]]
-            if k + 1 in PREFIXES:
-                out.append(mix(value[alive] + np.uint64(k)) >> np.uint64(64 - BITS))
-                own.append(np.flatnonzero(alive) + at)
-    return np.concatenate(out).astype(np.int64), np.concatenate(own), text, np.bincount(text, minlength=len(offsets) - 1)
-
-
-def vectors(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """The terms of each text, as sorted numbers. place: of a bucket in the lexicon, or -1."""
-    n, size = len(offsets) - 1, len(LEVELS)
-    bucket, word, text, count = prefix_buckets(data, offsets)
-    at = place[bucket]
-    kept = at >= 0
-    at, word = at[kept], word[kept]
-    hits = np.bincount(text[np.unique(word)], minlength=n)
-    key, times = np.unique(text[word] * len(place) + at, return_counts=True)
-    owner, at = key // len(place), key % len(place)
-    out: list[list[np.ndarray]] = [[] for _ in range(n)]
-    cut = np.searchsorted(owner, np.arange(n + 1))
-    share = hits / np.maximum(count, 1)
-    for i in np.flatnonzero(hits):
-        a, b = cut[i], cut[i + 1]
-        terms = [at[a:b][times[a:b] >= least] * size + k for k, least in enumerate(LEVELS)]
-        terms.append(LEXICON * size + np.flatnonzero(share[i] >= np.array(SHARES)))
-        out[i] = np.sort(np.concatenate(terms))
-    return [np.asarray(x, np.int64) for x in out]
+    hashes, starts, ends, bounds = words(data, offsets, space=_NO_WORD)
+    yield np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), np.diff(bounds)
+    shift = np.uint64(64 - BITS)
+    yield (mix(hashes) >> shift).astype(np.int64), np.arange(len(starts))
+    alive, value = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
+    for k in range(max(PREFIXES)):
+        long = ends[alive] - starts[alive] > k
+        alive = alive[long]
+        value = value[long] * np.uint64(BASE) + BYTE[data[starts[alive] + k]]
+        if k + 1 in PREFIXES:
+            yield (mix(value + np.uint64(k)) >> shift).astype(np.int64), alive
+
+
+def vectors(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of the lexicon's terms and, as term LEXICON, of all other words. place: of a bucket, or LEXICON."""
+    found = stems(data, offsets)
+    text, count = next(found)
+    term = np.full(len(text), LEXICON, place.dtype)
+    for bucket, word in found:
+        term[word] = np.minimum(term[word], place[bucket])
+    hit = term < LEXICON
+    key, times = np.unique(text[hit] * (LEXICON + 1) + term[hit], return_counts=True)
+    rest = np.maximum(count - np.bincount(text[hit], minlength=len(count)), 0)
+    rest[count == 0] = 1
+    own = np.flatnonzero(rest)
+    text, term = np.concatenate((key // (LEXICON + 1), own)), np.concatenate((key % (LEXICON + 1), np.full(len(own), LEXICON)))
+    return text, term, np.concatenate((times, rest[own]))
+
+
+def unit_rows(n: int, text: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The vectors, of length 1, as rows of a dense matrix."""
+    out = np.zeros((n, LEXICON + 1), np.float32)
+    out[text, term] = (1 + np.log(times)) * idf[term]
+    return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
 
 
 class Index:
-    """Unit vectors of examples in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, examples: list[tuple[int, int, np.ndarray]], idf: np.ndarray, rate: float, empty_rate: float):
-        self.idf, self.rate, self.empty_rate = idf, rate, empty_rate
-        examples = sorted((x for x in examples if len(x[2])), key=lambda x: (x[2].tobytes(), x[0]))  # like beside like: tighter bounds
-        self.ids = np.array([x[0] for x in examples], np.int64)
-        self.labels = np.array([x[1] for x in examples], np.float64)
-        self.blocks = (len(examples) + BLOCK - 1) // BLOCK
-        term = np.concatenate([x[2] for x in examples]) if examples else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(examples)), [len(x[2]) for x in examples])
-        weight = idf[term]
-        norm = np.sqrt(np.bincount(owner, weight**2, len(examples)))
-        weight = weight / np.where(norm, norm, 1)[owner]
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        self.cut = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.most = {}
-        for t in np.unique(term):
-            a, b = self.cut[t], self.cut[t + 1]
-            block = self.owner[a:b] // BLOCK
-            heads = runs(block)[:-1]
-            self.most[int(t)] = (block[heads], np.maximum.reduceat(self.weight[a:b], heads), np.append(a + heads, b))
-
-    def nearest(self, terms: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a positive cosine, nearest first."""
-        query = self.idf[terms]
-        length = np.sqrt((query**2).sum())
-        if not self.blocks or not length:
-            return []
-        bound = np.zeros(self.blocks)
-        lists = []
-        for t, q in zip(terms.tolist(), (query / length).tolist(), strict=True):
-            if t in self.most:
-                block, most, cut = self.most[t]
-                bound[block] += q * most
-                lists.append((q, block, cut))
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+    """Unit vectors of examples by term, in blocks, with the largest weight of each term in each block."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray):
+        order = np.lexsort(rows.T[::-1]) if len(rows) else np.zeros(0, np.int64)  # like beside like: tighter bounds
+        ids, labels, rows = ids[order], labels[order], rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (np.abs(rows[1:] - rows[:-1]) > TIE / 10).any(axis=1)
+        heads = np.flatnonzero(new)
+        self.n, self.ones = np.diff(np.append(heads, len(rows))).astype(float), np.add.reduceat(labels, heads).astype(float) if len(rows) else np.zeros(0)
+        entry = np.cumsum(new) - 1
+        self.ids = np.full(len(heads), np.iinfo(np.int64).max)
+        np.minimum.at(self.ids, entry, ids)
+        rows = rows[heads]
+        self.entries, self.blocks = len(rows), (len(rows) + BLOCK - 1) // BLOCK
+        term, owner = np.nonzero(rows.T)
+        self.term, self.owner, self.weight = term.astype(np.int16), owner.astype(np.int32), rows[owner, term]
+        self.most = np.zeros((rows.shape[1], self.blocks), np.float32)
+        np.maximum.at(self.most, (term, owner // BLOCK), self.weight)
+        self.slope, self.shift = 1.0, 0.0
+        self._tiles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_tiles": {}}
+
+    def tile(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(terms that the block's postings hold, their weights as a matrix of terms and entries)."""
+        if not self._tiles:
+            by = np.argsort(self.owner // BLOCK, kind="stable")
+            cut = np.searchsorted(self.owner[by] // BLOCK, np.arange(self.blocks + 1))
+            for b in range(self.blocks):
+                own = by[cut[b] : cut[b + 1]]
+                terms, at = np.unique(self.term[own], return_inverse=True)
+                weights = np.zeros((len(terms), min(BLOCK, self.entries - b * BLOCK)), np.float32)
+                weights[at, self.owner[own] - b * BLOCK] = self.weight[own]
+                self._tiles[b] = (terms, weights)
+        return self._tiles[block]
+
+    def cosines(self, queries: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+        """Queries by entries: the cosine, or -1 where it is surely below the k-th best."""
+        out = np.full((len(queries), self.entries), -1, np.float32)
+        bound = queries @ self.most + np.float32(TIE)
+        # Each query's most promising block first; then every block for the queries that it can still serve.
+        first = bound.argmax(axis=1)
+        held = np.full((len(queries), k), -1, np.float32)  # the k best so far; the least of them is the mark to reach
+
+        def scored(block: int, own: np.ndarray) -> None:
+            terms, weights = self.tile(block)
+            found = queries[np.ix_(own, terms)] @ weights
+            out[own, block * BLOCK : block * BLOCK + weights.shape[1]] = found
+            held[own] = np.partition(np.concatenate((held[own], found), axis=1), -k, axis=1)[:, -k:]
+
+        for block in np.unique(first).tolist():
+            scored(block, np.flatnonzero(first == block))
+        for block in np.argsort(-bound.max(axis=0), kind="stable").tolist():
+            own = np.flatnonzero((bound[:, block] >= held.min(axis=1) - TIE) & (first != block))
+            if len(own):
+                scored(block, own)
+        return out
+
+    def votes(self, queries: np.ndarray, evidence: int = 3) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """(share of the votes for label 1, ids and cosines of the nearest entries) of distinct queries."""
+        share, near, nearness = np.zeros(len(queries)), [], []
+        found = self.cosines(queries)
+        for i, row in enumerate(found):
+            order = np.argsort(-row, kind="stable")[: NEIGHBOURS + 1]
+            reach = min(int(np.searchsorted(np.cumsum(self.n[order]), NEIGHBOURS)), len(order) - 1)
+            own = np.flatnonzero(row >= max(row[order[reach]] - TIE, -0.5))
+            weight = self.n[own] / (1 - np.minimum(row[own], 1) + NEAR)
+            share[i] = (weight * self.ones[own] / self.n[own]).sum() / weight.sum()
+            order = own[np.lexsort((self.ids[own], -np.round(row[own], 5)))][:evidence]
+            near.append(self.ids[order].tolist())
+            nearness.append([round(float(x), 5) for x in row[order]])
+        return share, near, nearness
+
+    def score(self, queries: np.ndarray) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """(score, evidence's ids, evidence's cosines) of all queries; equal ones are searched once."""
+        if not self.entries:
+            return np.zeros(len(queries)), [[]] * len(queries), [[]] * len(queries)
+        plain = queries[:, LEXICON] >= 1 - TIE / 10  # no word of the lexicon: by far the most frequent vector
+        ask = np.concatenate((np.flatnonzero(plain)[:1], np.flatnonzero(~plain)))
+        back = np.zeros(len(queries), np.int64)
+        back[ask] = np.arange(len(ask))
+        share, near, nearness = self.votes(queries[ask])
+        return self.calibrated(share)[back], [near[i] for i in back], [nearness[i] for i in back]
+
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift)))
+
+    def calibrate(self, share: np.ndarray, labels: np.ndarray) -> None:
+        """Logistic scaling by Newton's steps, held near the identity by a weak prior."""
+        x = _logit(share)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(self.slope * x + self.shift)))
+            w = p * (1 - p)
+            g = np.array([((p - labels) * x).sum() + self.slope - 1, (p - labels).sum() + self.shift])
+            h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
+            step = np.linalg.solve(h, g)
+            self.slope, self.shift = max(self.slope - step[0], 0.05), self.shift - step[1]
+            if np.abs(step).max() < 1e-9:
                 break
-            sums = np.zeros(BLOCK)
-            for q, block, cut in lists:
-                i = np.searchsorted(block, b)
-                if i < len(block) and block[i] == b:
-                    sums[self.owner[cut[i] : cut[i + 1]] - b * BLOCK] += q * self.weight[cut[i] : cut[i + 1]]
-            own = np.flatnonzero(sums)
-            best = sorted([*best, *zip(sums[own].tolist(), (own + b * BLOCK).tolist(), strict=True)], key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
-
-    def score(self, terms: np.ndarray) -> tuple[float, list[int], list[float]]:
-        """(score, ids of the three nearest examples, their cosines)."""
-        if not len(terms):
-            return self.empty_rate, [], []
-        found = self.nearest(terms, NEIGHBOURS)
-        votes = np.array([c for c, _ in found]) ** POWER
-        labels = self.labels[[i for _, i in found]] if found else np.zeros(0)
-        return float((votes @ labels + self.rate) / (votes.sum() + 1)), [int(self.ids[i]) for _, i in found[:3]], [round(c, 6) for c, _ in found[:3]]
+
+
+def _logit(share: np.ndarray) -> np.ndarray:
+    p = np.clip(share, 0.005, 0.995)
+    return np.log(p / (1 - p))
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """An index from docs (doc_id, text) and labels (doc_id, label 0 or 1)."""
     rows = text_columns(docs)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null")
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    kinds = {r["doc_id"]: r["label"] for r in chosen.collect()}  # at most ``examples`` rows
-    known = np.array(sorted(kinds), np.int64)
-    value = np.array([kinds[i] for i in known.tolist()], np.int64)
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(CALIBRATION)).alias("fold")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    kinds = sorted((r["doc_id"], r["label"], r["fold"]) for r in chosen.collect())  # at most ``examples`` rows
+    known, value, fold = (np.array([x[i] for x in kinds], np.int64) for i in range(3))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,79 +211,83 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
             own = np.flatnonzero(known[at] == doc) if len(known) else np.zeros(0, np.int64)
             if len(own):
                 taken = batch.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(value[at[own]])], ["doc_id", "text", "label"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(value[at[own]]), pa.array(fold[at[own]])], ["doc_id", "text", "label", "fold"])
 
-    sample = rows.mapInArrow(labelled, "doc_id long, text string, label long")
+    sample = written(rows.mapInArrow(labelled, "doc_id long, text string, label long, fold long"), shared_dir(docs.sparkSession), "examples")
 
-    def capped(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def held_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offsets in pieces(batches):
-            bucket, word, text, _ = prefix_buckets(data, offsets)
-            key, times = np.unique(text[word] << BITS | bucket, return_counts=True)
-            yield np.repeat((key & (1 << BITS) - 1).astype(np.uint64), np.minimum(times, CAP)) << np.uint64(64 - BITS)
-
-    with_1, without = (bucket_counts(sample.where(F.col("label") == y).select("doc_id", "text"), capped, BITS) for y in (1, 0))
-    n_1, n_0 = max(1, int(value.sum())), max(1, int((1 - value).sum()))
-    expected = (with_1 + without) * n_1 / (n_1 + n_0)
-    lean = np.where(with_1 > expected, (with_1 - expected) / np.sqrt(expected + 1), 0)
+            found = stems(data, offsets)
+            text, _ = next(found)
+            bucket, word = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield (np.unique(text[word] << BITS | bucket) & (1 << BITS) - 1).astype(np.uint64) << np.uint64(64 - BITS)
+
+    learnt = sample.where("fold <> 0")
+    ones, zeros = (bucket_counts(learnt.where(F.col("label") == y).select("doc_id", "text"), held_stems, BITS) for y in (1, 0))
+    totals = {r["label"]: r["n"] for r in learnt.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    expected = (ones + zeros) * (totals.get(1, 0) / max(1, sum(totals.values())))
+    lean = np.where(ones >= LEAST, (ones - expected) / np.sqrt(expected + 1), 0)
     lexicon = np.argsort(-lean, kind="stable")[:LEXICON]
-    lexicon = lexicon[lean[lexicon] > 0]
-    place = np.full(1 << BITS, -1, np.int64)
+    lexicon = lexicon[lean[lexicon] >= LEAN]
+    place = np.full(1 << BITS, LEXICON, np.int16)
     place[lexicon] = np.arange(len(lexicon))
-    size = LEXICON * len(LEVELS) + len(SHARES)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offsets in pieces(batches):
-            yield np.concatenate([np.zeros(0, np.int64), *vectors(data, offsets, place)]).astype(np.uint64) << np.uint64(48)
+            yield np.append(vectors(data, offsets, place)[1], np.full(len(offsets) - 1, LEXICON + 1)).astype(np.uint64) << np.uint64(48)
 
-    counts = bucket_counts(rows, terms, 16)[:size]
-    idf = np.log((docs.count() + 1) / (counts + 0.5)).clip(0)
+    counts = bucket_counts(rows, terms, 16)
+    idf = 1 + np.log((1 + counts[LEXICON + 1]) / (1 + counts[: LEXICON + 1]))
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            kind = dict(zip(batch.column(0).to_pylist(), zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True))
             for doc, data, offsets in pieces([batch.select([0, 1])]):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([kind[i] for i in doc.tolist()], pa.int64()), pa.array([x.tolist() for x in vectors(data, offsets, place)], pa.list_(pa.int64()))], ["doc_id", "label", "terms"])
-
-    held = {r["doc_id"]: (r["doc_id"], r["label"], np.array(r["terms"], np.int64)) for r in sample.mapInArrow(example, "doc_id long, label long, terms array<long>").collect()}
-    held = [held[i] for i in sorted(held)]
-    rate = sum(x[1] for x in held) / len(held) if held else 0.0
-    blank = [x[1] for x in held if not len(x[2])]
-    index = Index(held, idf, rate, (sum(blank) + rate) / (len(blank) + 1))
-    index.place = place
+                text, term, times = vectors(data, offsets, place)
+                order = np.argsort(text, kind="stable")
+                cut = np.searchsorted(text[order], np.arange(len(doc) + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[order], pa.int64())) for x in (term, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([kind[i][0] for i in doc.tolist()], pa.int64()), pa.array([kind[i][1] for i in doc.tolist()], pa.int64()), *lists], ["doc_id", "label", "fold", "term", "times"])
+
+    held = sorted(map(tuple, sample.mapInArrow(example, "doc_id long, label long, fold long, term array<long>, times array<long>").collect()))  # of the examples alone
+    size = [len(x[3]) for x in held]
+    dense = unit_rows(len(held), np.repeat(np.arange(len(held)), size), np.array([y for x in held for y in x[3]], np.int64), np.array([y for x in held for y in x[4]], np.int64), idf)
+    ids, label, apart = (np.array([x[i] for x in held], np.int64) for i in range(3))
+    index = Index(ids[apart != 0], label[apart != 0], dense[apart != 0])
+    if index.entries and (apart == 0).any():
+        found = [index.votes(dense[apart == 0][at : at + 500])[0] for at in range(0, int((apart == 0).sum()), 500)]
+        whole = Index(ids, label, dense)
+        whole.calibrate(np.concatenate(found), label[apart == 0])
+        index = whole
+    index.place, index.idf = place, idf
     return index
 
 
+def scored(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+    return index.score(unit_rows(len(offsets) - 1, *vectors(data, offsets, index.place), index.idf))
+
+
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, and the evidence: ids and cosines of the three nearest examples."""
+    """doc_id, score, and the evidence: the smallest ids and the cosines of the three nearest entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, list[int], list[float]]] = {}
         for doc, data, offsets in pieces(batches):
-            found = []
-            for x in vectors(data, offsets, index.place):
-                key = x.tobytes()
-                if key not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[key] = index.score(x)
-                found.append(known[key])
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], ["doc_id", "score", "nearest", "cosines"])
+            found, near, cosines = scored(data, offsets, index)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(found, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "nearest", "cosines"])
 
     return text_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, nearest array<long>, cosines array<double>")
 
 
-def kept(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
-    """The rows of docs, with all columns, whose score is below ``cut``."""
-    from .common import bounded_batches, text_bytes
-
-    at = docs.columns.index("text")
+def kept(docs: DataFrame, index: Index, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose score is below ``cut``; rows without an id too."""
+    at = docs.columns.index(text_col)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(at))
-            scores = [index.score(x)[0] for x in vectors(data, offsets, index.place)]
-            yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
+            whole = pieces([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["row", "text"])])
+            stays = [scored(data, offsets, index)[0] < cut for _, data, offsets in whole]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *stays])))
 
     return docs.mapInArrow(run, docs.schema)
 

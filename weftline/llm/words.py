@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_MASK = (1 << 64) - 1
+from .common import ranges
+
 #: Odd, so that its powers can be inverted modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 GRAM = 0xD6E8FEB86659FD93
@@ -61,11 +62,11 @@ def word_edges(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of each word, and the n + 1 offsets of the texts in these arrays."""
     if lower:
         data = LOWER[data]
-    starts, ends = word_edges(data, offsets)
+    starts, ends = word_edges(data, offsets, space)
     bounds = np.searchsorted(starts, offsets)
     if len(data) <= 2 * PART_BYTES:
         return _hash_words(data, starts, ends), starts, ends, bounds
@@ -104,8 +105,6 @@ def in_texts(bounds: np.ndarray, n: int, count: int) -> np.ndarray:
     inside = np.ones(count, bool)
     cuts = bounds[1:-1]
     if n > 1 and len(cuts):
-        from .common import ranges
-
         at = ranges(np.maximum(cuts - n + 1, 0), np.minimum(cuts, n - 1))
         inside[at[at < count]] = False
     return inside
