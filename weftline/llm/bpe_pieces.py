@@ -30,6 +30,8 @@ CONTRACTED[[ord(c) for c in "strvmld"]] = True
 SEGMENT_CHARS = 1 << 16
 #: Distinct pieces that a worker keeps; beyond that it starts anew, which changes no result.
 KEPT_PIECES = 1_500_000
+#: The table has room for these and those of one text, of at most PART_BYTES, besides.
+SLOT_BITS = 22
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,35 +81,64 @@ def segments(text: str, most: int = SEGMENT_CHARS) -> list[str]:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def kept_encoder(key: tuple, make: Callable[[], Callable[[list[str]], list[list[int]]]]) -> PieceEncoder:
-    """The encoder that this worker keeps for ``key`` from one task to the next; ``make`` gives its function if there is none."""
+def kept_encoder(key: tuple, make: Callable[[], PieceEncoder]) -> PieceEncoder:
+    """The encoder that this worker keeps for ``key`` from one task to the next; ``make`` gives one if there is none."""
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(make())
+        _encoders[key] = make()
     return _encoders[key]
 
 
+def one_by_one(encode_many: Callable[[list[str]], list[list[int]]]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(ids, ids a piece) of pieces whose bytes lie end to end, each given to ``encode_many`` as a string."""
+
+    def encode(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, ends = data.tobytes(), np.cumsum(sizes)
+        found = encode_many([raw[a:b].decode() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(count.sum())), count
+
+    return encode
+
+
 class PieceEncoder:
-    """Encodes many texts; ``encode_many`` takes strings and gives their ids."""
+    """Encodes many texts. ``encode_many`` takes strings and gives their ids; ``encode_pieces`` does so for the pattern's matches."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], encode_pieces: Callable | None = None):
+        self.encode_many, self.encode_pieces = encode_many, encode_pieces or one_by_one(encode_many)
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = self.encode_many(texts)
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint16, int(count.sum()))
-        place = np.searchsorted(self.known, keys)  # both are sorted
-        self.known = np.insert(self.known, place, keys)
-        self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(count) - count)
-        self.count = np.insert(self.count, place, count)
-        self.ids = np.concatenate((self.ids, ids))
+        self.keys, self.rows = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)  # open addressing; 0 is free
+        self.at, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16)
+        self.pieces = self.used = 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out, open_, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(open_):
+            held = self.keys[slot]
+            same = held == keys[open_]
+            out[open_[same]] = self.rows[slot[same]]
+            on = ~same & (held != 0)
+            open_, slot = open_[on], slot[on] + 1 & (1 << SLOT_BITS) - 1
+        return out
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        ids, count = self.encode_pieces(data[ranges(starts, sizes)], sizes)
+        first, self.pieces = self.pieces, self.pieces + len(keys)
+        start, self.used = self.used, self.used + len(ids)
+        for name, least in (("at", self.pieces), ("count", self.pieces), ("ids", self.used)):
+            have = getattr(self, name)
+            if len(have) < least:
+                setattr(self, name, np.concatenate((have, np.zeros(max(len(have), least - len(have)), have.dtype))))
+        self.at[first : self.pieces], self.count[first : self.pieces], self.ids[start : self.used] = start + np.cumsum(count) - count, count, ids
+        open_, slot = np.arange(len(keys)), (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(open_):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[open_[free]]
+            won = self.keys[slot] == keys[open_]
+            self.rows[slot[won]] = first + open_[won]
+            open_, slot = open_[~won], slot[~won] + 1 & (1 << SLOT_BITS) - 1
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets of the texts in them)."""
@@ -137,18 +168,17 @@ class PieceEncoder:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE[data] * powers(BASE, len(data))[: len(data)], out=total[1:])
         keys = mix((total[ends] - total[starts]) * powers(pow(BASE, -1, 1 << 64), len(data) + 1)[starts])
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_PIECES:
+        keys[keys == 0] = 1
+        if self.pieces > KEPT_PIECES:
             self.clear()
-        place = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = place < len(self.known)
-        new[inside] = self.known[place[inside]] != distinct[inside]
-        if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
-            place = np.searchsorted(self.known, distinct)
-        count = self.count[place][which]
-        ids = self.ids[ranges(self.at[place][which], count)]
+        place = self._find(keys)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            distinct, first = np.unique(keys[missing], return_index=True)
+            first = missing[first]
+            self._learn(distinct, data, starts[first], ends[first] - starts[first])
+            place[missing] = self._find(keys[missing])
+        count = self.count[place].astype(np.int64)
+        ids = self.ids[ranges(self.at[place], count)]
         ahead = np.concatenate(([0], np.cumsum(count)))
         return ids, ahead[np.searchsorted(starts, offsets)]

@@ -1,9 +1,10 @@
 """Token ids in compressed binary files: canonical length-limited Huffman coding from global counts.
 
-Three tables in a folder: ``ids`` (each document's ids as encoded), ``codes`` (one row: the code lengths and the
-format's parameters) and ``blocks``. A block holds the codes of consecutive documents in ascending doc_id order, their
-ids and lengths, the number of ids in all blocks before it, and the bit offset of every ``CHECKPOINT``-th code. A block can be decoded
-without any other, and within it all checkpoints are decoded side by side through one table of 2 ** MOST_BITS entries.
+Four tables in a folder: ``ids`` (each document's ids as encoded), ``codes`` (one row: the code lengths and the
+format's parameters), ``blocks`` and ``parts`` (a row a file of blocks: the ids in all files before it). A block holds the codes of
+consecutive documents in ascending doc_id order, their ids and lengths, the number of ids before it in its file, and the bit offset of
+every ``CHECKPOINT``-th code. A block can be decoded without any other, and within it all checkpoints are decoded side by side
+through one table of 2 ** MOST_BITS entries.
 
 Null and empty texts hold the end id alone. Rows with equal ids keep one place each, in an order by their ids' bytes.
 An empty table has no blocks. Columns other than the two named are not read.
@@ -19,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .bpe_pieces import kept_encoder
+from .bpe_pieces import PieceEncoder, kept_encoder
 from .common import pieces, shared_dir, text_columns, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,7 +31,17 @@ CHECKPOINT = 256
 #: Ids in a block, at least; a document is never split.
 BLOCK_IDS = 500_000
 SYMBOLS = 1 << 16
-BLOCKS = "part int, block int, docs array<long>, sizes array<long>, n long, bits binary, points binary"
+#: Pieces that the library gets in one string.
+TOGETHER = 100
+BLOCKS = "part int, docs array<long>, sizes array<long>, ahead long, n long, bits binary, points binary"
+
+
+def flat(column: pa.Array) -> np.ndarray:
+    """The 16-bit ids of all rows of a binary column, without a copy."""
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, "<u2")
+    cut = np.frombuffer(column.buffers()[1], np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(column.buffers()[2], np.uint8)[cut[0] : cut[1]].view("<u2")
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -99,18 +109,6 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     return words.astype(">u8").tobytes()[: (bits + 7) // 8], bits, at[::CHECKPOINT]
 
 
-def joined(parts: list[tuple[bytes, int]]) -> tuple[bytes, np.ndarray]:
-    """(bit strings one after the other, the bit at which each starts)."""
-    at = np.cumsum([0, *(n for _, n in parts)])
-    out = np.zeros(at[-1] // 8 + 2, np.uint8)
-    for (bits, _), bit in zip(parts, at.tolist(), strict=False):
-        own, byte, shift = np.frombuffer(bits, np.uint8), bit >> 3, bit & 7
-        out[byte : byte + len(own)] |= own >> np.uint8(shift)
-        if shift:
-            out[byte + 1 : byte + 1 + len(own)] |= own << np.uint8(8 - shift)
-    return out[: (at[-1] + 7) // 8].tobytes(), at[:-1]
-
-
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbol, code length) for each value of the next MOST_BITS bits."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
@@ -121,28 +119,56 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.pad(symbols, (0, rest)).astype(np.uint16), np.pad(sizes, (0, rest), constant_values=1)
 
 
-def unpack(bits: bytes, sizes: np.ndarray, points: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The ids of a block whose documents have ``sizes`` ids: step k decodes the k-th id after each checkpoint."""
+def unpack(bits: bytes, n: int, points: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The n ids of a block: step k decodes the k-th id after each checkpoint."""
     symbols, widths = table
     data = np.frombuffer(bits + bytes(8), np.uint8)
     window = data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16 | data[2:-1].astype(np.uint32) << 8 | data[3:]
-    lanes = (sizes + CHECKPOINT - 1) // CHECKPOINT
-    count = np.full(len(points), CHECKPOINT, np.int64)
-    own = lanes > 0
-    count[np.cumsum(lanes)[own] - 1] = (sizes - (lanes - 1) * CHECKPOINT)[own]
-    first = np.cumsum(count) - count
-    order = np.argsort(-count, kind="stable")
-    at, first = points[order].astype(np.int64), first[order]
-    active = np.searchsorted(-count[order], -np.arange(CHECKPOINT), "left")
-    out = np.zeros(int(sizes.sum()), np.uint16)
-    for k, m in enumerate(active.tolist()):
-        if not m:
-            break
-        at = at[:m]
+    out = np.zeros((CHECKPOINT, len(points)), np.uint16)
+    at, last = points.astype(np.int64), n - (len(points) - 1) * CHECKPOINT
+    for k in range(CHECKPOINT):
+        if k == last:
+            at = at[:-1]
         look = window[at >> 3] >> (32 - MOST_BITS - (at & 7)).astype(np.uint32) & np.uint32(SYMBOLS - 1)
-        out[first[:m] + k] = symbols[look]
+        out[k, : len(at)] = symbols[look]
         at = at + widths[look]
-    return out
+    return out.T.reshape(-1)[:n]
+
+
+def library_encoder(place: str) -> PieceEncoder:
+    """The tokenizers library's encoder of a byte-level BPE file.
+
+    The pattern's matches go to the file's model as the file's pre-tokenizer would hand them over: each byte as the character that
+    byte-level vocabularies write for it, matches apart by a space, which is no such character.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, model = Tokenizer.from_file(place), Tokenizer.from_file(place)
+    whole.encode_special_tokens = model.encode_special_tokens = True
+    model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = np.zeros(256, np.uint32)
+    letter[shown] = shown
+    letter[np.setdiff1d(np.arange(256), shown)] = np.arange(256, 512 - len(shown))
+    size = np.zeros(SYMBOLS, np.int64)
+    for token, i in whole.get_vocab().items():
+        size[i] = len(token)
+
+    def encode_many(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        spaced = np.full(len(data) + len(sizes), ord(" "), np.uint32)
+        spaced[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = letter[data]
+        text, cut = spaced.astype("<u4").tobytes().decode("utf-32-le"), (ends + np.arange(1, len(sizes) + 1)).tolist()
+        lines = [text[a : b - 1] for a, b in zip([0, *cut[TOGETHER - 1 : -1 : TOGETHER]], [*cut[TOGETHER - 1 : -1 : TOGETHER], cut[-1]], strict=True)]
+        ids = np.concatenate([np.array(x, np.uint16) for x in (e.ids for e in model.encode_batch_fast(lines, add_special_tokens=False))])
+        # A piece's ids are those whose bytes end within it.
+        last = np.searchsorted(np.cumsum(size[ids]), ends)
+        return ids, np.diff(last + 1, prepend=0)
+
+    return PieceEncoder(encode_many, encode_pieces)
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -156,28 +182,20 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers as P
-        from tokenizers import Tokenizer
-
-        def load():
-            library = Tokenizer.from_file(place)
-            library.encode_special_tokens = True
-            return lambda xs: [e.ids for e in library.encode_batch_fast(xs, add_special_tokens=False)]
 
         place = path or P.path(VOCABULARY)
-        own = kept_encoder(("tokenizers", place), load)
+        own = kept_encoder(("tokenizers", place), lambda: library_encoder(place))
         for doc, data, offsets in pieces(batches):
             ids, cut = own(data, offsets)
             ids = np.insert(ids, cut[1:], np.uint16(end))
             cut = cut + np.arange(len(cut))
             raw = ids.astype("<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.diff(cut)), pa.array([raw[2 * a : 2 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.diff(cut)), pa.array([raw[2 * a : 2 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "n", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS, np.int64)
         for batch in batches:
-            values = batch.column(0)
-            cut = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-            total += np.bincount(np.frombuffer(values.buffers()[2], np.uint8)[cut[0] : cut[-1]].view("<u2"), minlength=SYMBOLS) if cut[-1] > cut[0] else 0
+            total += np.bincount(flat(batch.column(0)), minlength=SYMBOLS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -189,39 +207,35 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
     spark = docs.sparkSession
     spark.createDataFrame([(bytearray(lengths.tobytes()), MOST_BITS, CHECKPOINT, end)], "lengths binary, most_bits int, checkpoint int, end_id int").write.parquet(f"{folder}/codes")
 
-    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = canonical(lengths)
-        for batch in batches:
-            found = [pack(np.frombuffer(x.as_buffer(), "<u2"), lengths, codes) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in found], pa.binary())], ["doc_id", "n", "bits", "n_bits", "points"])
-
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        n = 0
+        part, codes = TaskContext.get().partitionId(), canonical(lengths)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = ahead = 0
 
         def out() -> pa.RecordBatch:
-            docs, sizes, bits, n_bits, points = zip(*held, strict=True)
-            packed, at = joined(list(zip(bits, n_bits, strict=True)))
-            marks = np.concatenate([np.frombuffer(p, "<u4") + a for p, a in zip(points, at, strict=True)])
-            values = [part, block, docs, sizes, n, packed, marks.astype("<i8").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "block", "docs", "sizes", "n", "bits", "points"])
+            docs, sizes, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            bits, _, points = pack(own, lengths, codes)
+            values = [part, docs, sizes, ahead, len(own), bits, points.astype("<i8").tobytes()]
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "docs", "sizes", "ahead", "n", "bits", "points"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                n += row[1]
+            docs, sizes, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat(batch.column(2))
+            cut, at = np.concatenate(([0], np.cumsum(sizes))), 0
+            while at < len(docs):  # up to the first document that fills the block
+                to = min(int(np.searchsorted(cut, cut[at] + BLOCK_IDS - n)), len(docs))
+                held.append((docs[at:to], sizes[at:to], own[cut[at] : cut[to]].copy()))
+                n, at = n + int(cut[to] - cut[at]), to
                 if n >= BLOCK_IDS:
                     yield out()
-                    held, n, block = [], 0, block + 1
+                    held, ahead, n = [], ahead + n, 0
         if held:
             yield out()
 
-    coded = ids.mapInArrow(to_bits, "doc_id long, n long, bits binary, n_bits long, points binary")
-    in_order = coded.repartitionByRange(F.col("doc_id"), F.col("bits")).sortWithinPartitions("doc_id", "bits")
+    # Ranges are sampled from the ids of documents alone; rows with one doc_id stay together.
+    in_order = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     in_order.mapInArrow(to_blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     # One row a file: the ids in all files before it.
     rows = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()
@@ -237,20 +251,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     codes = spark.read.parquet(f"{folder}/codes").first()
     lengths = np.frombuffer(bytes(codes["lengths"]), np.uint8)
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    ahead = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("part", "block", "n").withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    starts = starts.join(F.broadcast(spark.read.schema("part int, base long").parquet(f"{folder}/parts")), "part")
-    placed = blocks.join(starts, ["part", "block"]).select("docs", "sizes", "bits", "points", (F.col("base") + F.col("ahead")).alias("start"))
+    placed = blocks.join(F.broadcast(spark.read.schema("part int, base long").parquet(f"{folder}/parts")), "part").select("docs", "sizes", "bits", "points", (F.col("base") + F.col("ahead")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for batch in batches:
             for docs, sizes, bits, points, start in zip(*batch.columns, strict=True):
-                n = np.array(sizes.as_py(), np.int64)
-                ids = unpack(bits.as_py(), n, np.frombuffer(points.as_buffer(), "<i8"), table)
+                n = sizes.values.to_numpy()
                 cut = np.concatenate(([0], np.cumsum(n)))
+                ids = unpack(bits.as_py(), int(cut[-1]), np.frombuffer(points.as_buffer(), "<i8"), table)
                 raw = ids.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.array(cut[:-1] + start.as_py()), pa.array(n), pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([docs.values, pa.array(cut[:-1] + start.as_py()), pa.array(n), pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
