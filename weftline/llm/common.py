@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once in a Python worker; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -17,9 +18,12 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder for intermediate tables under spark.checkpoint.dir, or under a local one of our own where that is unset."""
+    """A new folder for intermediate tables under spark.checkpoint.dir. Where that is unset, a local session, whose
+    executors are the driver, gets a temporary folder; a cluster has no folder that we could choose for it, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_weftline_dir", None)
         if base is None:
             base = spark._weftline_dir = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -45,9 +49,10 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def text_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id, as a long, and the text (null: empty); rows without an id are left out, other columns pruned from the scan."""
-    from pyspark.sql import functions as F
+    """Only the id, as a long, and the text (null: empty); rows without an id are left out, other columns pruned from the scan.
 
+    Ids are whole numbers, or strings of them; with Spark's ANSI mode any other string is an error.
+    """
     bounded_batches(df.sparkSession)
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
