@@ -31,6 +31,8 @@ BLOCKS, FLIPS = 8, 2
 #: The largest distance at which some of BLOCKS blocks surely differs in at most FLIPS bits.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 BROADCAST_ROWS = 1_000_000
+#: Neighbouring windows that are cut from one row.
+CHUNK = 64
 #: Weights are whole, so this only guards a bound against rounding.
 SLACK = 1e-6
 
@@ -94,12 +96,18 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, i
     spans = spans.groupBy("doc_id", "key", "l").agg(F.collect_list(F.struct("n", "least", "at", "to")).alias("spans"))
     # The shingles of the documents with such windows, each with its weight.
     texts = rows.join(spans.select("doc_id", "key", "l"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key", "l"])
-    texts = texts.select("doc_id", "key", "l", F.posexplode(shingles(word_array(F.col("text")), F.col("l"))).alias("pos", "sh")).join(weights, ["l", "sh"], "left")
+    # The words are a column of their own, below the generator: within it they would be split again for each shingle.
+    texts = texts.select("doc_id", "key", "l", word_array(F.col("text")).alias("words"))
+    texts = texts.select("doc_id", "key", "l", F.posexplode(shingles(F.col("words"), F.col("l"))).alias("pos", "sh")).join(weights, ["l", "sh"], "left")
     # A shingle counts once a window: there where its last place before, if any, lies outside.
     texts = texts.withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("doc_id", "key", "l", "sh").orderBy("pos")), F.lit(-1)))
     texts = texts.groupBy("doc_id", "key", "l").agg(F.sort_array(F.collect_list(F.struct("pos", "sh", "w", "before"))).alias("all"))
-    windows = texts.join(spans, ["doc_id", "key", "l"]).select("doc_id", "l", "all", F.explode("spans").alias("x")).select("doc_id", "l", "all", "x.n", "x.least", F.explode(F.sequence("x.at", F.col("x.to") - 1)).alias("start"))
-    own = F.filter(F.slice("all", F.col("start") + 1, F.col("n") - F.col("l") + 1), lambda x: x["before"] < F.col("start"))
+    # A row for CHUNK neighbouring windows holds the shingles of these alone, so that no row of a window carries its whole text.
+    width = lambda x: x["n"] - F.col("l")
+    cut = lambda x, c: F.struct(x["n"].alias("n"), x["least"].alias("least"), c.alias("at"), F.least(c + CHUNK, x["to"]).alias("to"), F.slice("all", c + 1, F.least(c + CHUNK, x["to"]) - c + width(x)).alias("part"))
+    chunks = F.flatten(F.transform("spans", lambda x: F.transform(F.sequence(x["at"], x["to"] - 1, F.lit(CHUNK)), lambda c: cut(x, c))))
+    windows = texts.join(spans, ["doc_id", "key", "l"]).select("doc_id", "l", F.explode(chunks).alias("x")).select("doc_id", "l", "x.*").select("doc_id", "l", "n", "least", "at", "part", F.explode(F.sequence("at", F.col("to") - 1)).alias("start"))
+    own = F.filter(F.slice("part", F.col("start") - F.col("at") + 1, F.col("n") - F.col("l") + 1), lambda x: x["before"] < F.col("start"))
     windows = windows.select("doc_id", "n", "least", "start", own.alias("own"))
     held, beside = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["w"], F.lit(0))), F.size(F.filter("own", lambda x: x["w"].isNull())) * most
     windows = windows.where(held + SLACK >= (F.col("least") + beside) * F.lit(similarity))
