@@ -2,13 +2,13 @@
 
 Terms are words, A-Z lower-cased. The lexicon holds the terms whose inverse document frequency, over its maximum
 ln(n), is within a band; document frequencies are counted over all documents in 2 ** DF_BITS buckets, so the table has one size
-however large the corpus is. Each of the randomised lexicons is a chain of nested random halves of it: a document is
-reduced to its terms in the smallest of the halves that holds any, and these distinct terms, in sorted order, are
-hashed. A short and a long document so both keep one or a few terms a lexicon, and an edit changes a component only if
-it touches these. A document with no term in the band uses all its terms; one without words has the component of no terms.
+however large the corpus is. Besides the lexicon itself there are SEEDS random subsets of it for each density 1/2, 1/4 .. 1/2 ** DENSITIES; they are
+fixed, the same for every document. For each of these lexicons a document's distinct terms in it are sorted and hashed to one component. An
+edit changes a component only if it touches one of these terms, so the dense subsets tell short texts apart and the sparse ones stay the same in edited
+long texts. A component of no term is 0. A document with no term in the band uses all its terms; one without words has zeros only.
 
-The likeness of two fingerprints is the share of equal components. Equal texts have equal fingerprints. Null texts are
-empty. Rows with one id are ordered by text. Columns other than the two named are not read.
+The likeness of two fingerprints is the share of equal components among those that are not 0 in both; two of zeros only are alike (1).
+Equal texts have equal fingerprints. Null texts are empty. Rows with one id are ordered by text. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from .words import BASE, mix, powers, words
 DF_BITS = 22
 #: Inverse document frequency over ln(number of documents).
 BAND = (0.25, 0.97)
-LEXICONS = 16
+SEEDS, DENSITIES = 8, 8
+LEXICONS = 1 + SEEDS * DENSITIES
 _ORDER = 0xC2B2AE3D27D4EB4F
 
 
@@ -56,47 +57,55 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     return np.packbits((counts > 0) & (idf >= band[0]) & (idf <= band[1]))
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lexicons: int = LEXICONS) -> np.ndarray:
-    """One row of ``lexicons`` 32-bit components a text."""
+def fingerprints(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """One row of LEXICONS 16-bit components a text."""
     n = len(offsets) - 1
-    out = np.zeros((n, lexicons), np.uint32)
+    out = np.zeros((n, LEXICONS), np.uint16)
     text, term = distinct_terms(data, offsets)
     at = (term >> np.uint64(64 - DF_BITS)).astype(np.int64)
     kept = (inside[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     none = np.bincount(text[kept], minlength=n) == 0
     kept |= none[text]
     text, term = text[kept], term[kept]
-    if not len(text):
-        return out
-    heads = runs(text)[:-1]
-    own = np.cumsum(np.concatenate(([False], text[1:] != text[:-1])))
-    turn = powers(_ORDER, int(np.diff(np.append(heads, len(text))).max()) + 1)
-    for k in range(lexicons):
-        value = mix(term ^ np.uint64((k + 1) * BASE & (1 << 64) - 1))
-        half = np.minimum.reduceat(value, heads)
-        for shift in (1, 2, 4, 8, 16, 32):
-            half |= half >> np.uint64(shift)
-        chosen = value <= half[own]
-        rank = np.cumsum(chosen)
-        rank = rank - (rank[heads] - chosen[heads])[own] - chosen
-        part = np.where(chosen, mix(term) * turn[np.maximum(rank, 0)], np.uint64(0))
-        out[text[heads], k] = (mix(np.add.reduceat(part, heads)) >> np.uint64(32)).astype(np.uint32)
+
+    def component(k: int, text: np.ndarray, term: np.ndarray) -> None:
+        """Hash each text's terms, which are in order."""
+        if not len(text):
+            return
+        cut = runs(text)
+        rank = np.arange(len(text)) - np.repeat(cut[:-1], np.diff(cut))
+        sums = np.add.reduceat(mix(term) * powers(_ORDER, int(np.diff(cut).max()))[rank], cut[:-1])
+        out[text[cut[:-1]], k] = np.maximum((mix(sums) >> np.uint64(48)).astype(np.uint16), 1)
+
+    component(0, text, term)
+    for seed in range(SEEDS):
+        own, ours, value = text, term, mix(term ^ np.uint64((seed + 1) * BASE & (1 << 64) - 1))
+        for density in range(1, DENSITIES + 1):
+            chosen = value >> np.uint64(64 - density) == 0
+            own, ours, value = own[chosen], ours[chosen], value[chosen]
+            component(1 + seed * DENSITIES + density - 1, own, ours)
     return out
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the fingerprints in each row."""
+    some = (a != 0) | (b != 0)
+    return np.where(some.any(axis=1), ((a == b) & some).sum(axis=1) / np.maximum(some.sum(axis=1), 1), 1.0)
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
 def fingerprint(docs: DataFrame, inside: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (LEXICONS components of 8 hex digits) of every row."""
+    """doc_id and fingerprint (LEXICONS components of 4 hex digits) of every row."""
     rows = text_columns(docs, id_col, text_col)
     inside = lexicon(rows) if inside is None else inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, data, offsets in pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([x.astype(">u4").tobytes().hex() for x in fingerprints(data, offsets, inside)], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([x.astype(">u2").tobytes().hex() for x in fingerprints(data, offsets, inside)], pa.string())], ["doc_id", "fingerprint"])
 
     return rows.mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -135,8 +144,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             pairs = [(a, b) for a, b in zip(held[:-1], held[1:], strict=True) if not a[1] and a[0] == b[0]]
             edited = [t[: n - n // 4] + after[: n // 4] for (_, _, _, t), (_, _, _, after) in pairs for n in [len(t)]]
             own, after, new = (fingerprints(*joined(x), inside) for x in ([a[3] for a, _ in pairs], [b[3] for _, b in pairs], edited))
-            hexed = lambda x: pa.array([v.astype(">u4").tobytes().hex() for v in x], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([a[2] for a, _ in pairs], pa.int64()), pa.array([len(a[3]) for a, _ in pairs], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), hexed(own), hexed(new), pa.array((own == new).mean(axis=1)), pa.array((own == after).mean(axis=1))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            hexed = lambda x: pa.array([v.astype(">u2").tobytes().hex() for v in x], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([a[2] for a, _ in pairs], pa.int64()), pa.array([len(a[3]) for a, _ in pairs], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), hexed(own), hexed(new), pa.array(likeness(own, new)), pa.array(likeness(own, after))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
