@@ -148,7 +148,16 @@ def sam_end(start: Column, r_len: Column) -> Column:
     return F.when((start != -1) & (r_len > 0), start + r_len - 1).otherwise(F.lit(-1))
 
 
-LEVEL_TEXT = {5: "very high", 4: "high", 3: "medium", 2: "low", 1: "rejected", 0: "unrated", -1: "failed"}
+#: The report's texts for the levels.
+LEVEL_TEXT = {
+    -1: "ERROR Fusion",
+    0: "ERROR Fusion",
+    1: "Impossible Fusion",
+    2: "Potential Artifacts / Read-through",
+    3: "Low Confidence Fusion",
+    4: "Medium Confidence Fusion",
+    5: "High Confidence Fusion",
+}
 
 
 def level_text(level: Column) -> Column:

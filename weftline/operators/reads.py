@@ -85,6 +85,34 @@ def routed(reads: DataFrame, genes: DataFrame, params: FusionParams = DEFAULT) -
     return good.select("read_id", "slot", "up", "lo")
 
 
+def truncation(m: Column) -> Column:
+    """Where a read of more than two records but two genes is cut: midway between its second and third record; else null."""
+    names = F.array_distinct(F.transform(m, lambda r: r["gene"]))
+    cut = (F.size(m) > 2) & (F.size(names) <= 2) & (F.get(m, 0)["gene"] != F.get(m, 1)["gene"])
+    return F.when(cut, F.floor((F.get(m, 1)["read_end"] + F.get(m, 2)["read_start"]) / 2).cast("bigint"))
+
+
+def realigned(pairs: DataFrame, hits: DataFrame, params: FusionParams = DEFAULT) -> DataFrame:
+    """The pairs that a second alignment of their reads confirms, with how many of the two genes it hit.
+
+    pairs: id, read_id, up_gene, lo_gene, up_start, up_end, lo_start, lo_end, read_length, places on the read; hits: read_id, gene, q_st, q_en,
+    blen, ord. With hits of both genes, the gap from the last end in the upper to the first start in the lower must be small. With
+    hits of one gene, the pair's own gap must be, and the longest hit must leave a clip about as long as the other gene's part. Hits of other genes don't matter.
+    """
+    upper, lower = F.col("gene") == F.col("up_gene"), F.col("gene") == F.col("lo_gene")
+    best = F.max_by(F.struct("gene", "q_st", "q_en"), F.struct("blen", -F.col("ord")))
+    own = ["id", "read_id", "up_gene", "lo_gene", "up_start", "up_end", "lo_start", "lo_end", "read_length"]
+    found = pairs.join(hits, "read_id").where(upper | lower).groupBy(*own).agg(F.max(F.when(upper, F.col("q_en"))).alias("e"), F.min(F.when(lower, F.col("q_st"))).alias("s"), best.alias("b"))
+    both = F.col("e").isNotNull() & F.col("s").isNotNull()
+    two = (F.col("s") - F.col("e")).between(params.min_gap, params.max_gap_two_alignments)
+    on_upper = F.col("b.gene") == F.col("up_gene")
+    clip = F.when(on_upper, F.col("read_length") - F.col("b.q_en")).otherwise(F.col("b.q_st"))
+    missing = F.when(on_upper, F.col("lo_end") - F.col("lo_start")).otherwise(F.col("up_end") - F.col("up_start"))
+    whole = F.abs(F.col("read_length") - (F.col("b.q_en") - F.col("b.q_st"))) <= params.min_soft_clip
+    one = (F.col("lo_start") - F.col("up_end")).between(params.min_gap, params.max_gap_one_alignment) & ~whole & (clip >= params.min_soft_clip) & (F.abs(clip - missing) <= params.min_soft_clip)
+    return found.where(F.when(both, two).otherwise(one)).select("id", "read_id", "up_gene", "lo_gene", F.when(both, 2).otherwise(1).alias("n_hit"))
+
+
 def supported(pairs: DataFrame, least: int = DEFAULT.min_supporting_reads) -> DataFrame:
     """Unordered pairs of genes with at least ``least`` reads."""
     return pairs.groupBy(F.least("up_gene", "lo_gene").alias("gene_a"), F.greatest("up_gene", "lo_gene").alias("gene_b")).agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)

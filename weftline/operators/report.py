@@ -47,17 +47,18 @@ def level(m: Column, g: Column, m0_strand: Column, has_graph: Column, has_genome
 
     m: graph check with both boundaries snapped (m0_strand is its part that chrom and strand agree); g: genome check; exact:
     final breakpoints near the genome's; other_between: an unrelated named gene lies between; any_between: any gene does.
+    Without graph alignments a fusion is rejected and has no level (null); without genome alignments it stays at 3.
     """
     ok = m & m0_strand
     near_same = F.when(other_between, 5).when(any_between, F.when(distance > params.middle_distance, 4).otherwise(2)).otherwise(2)
     alone = F.when(~same_chrom, 3).when(distance > params.far_distance, 5).otherwise(near_same)
     raw = F.when(ok & normal, 2).when(ok & g, F.when(exact, 5).otherwise(4)).when(ok, alone).when(g, 3).otherwise(1)
     lowered = F.when(raw.isin(1, 2) | coding, raw).otherwise(F.greatest(F.lit(3), raw - 1))
-    return F.when(~has_graph, 3).when(~has_genome, 3).otherwise(lowered)
+    return F.when(~has_graph, F.lit(None).cast("int")).when(~has_genome, 3).otherwise(lowered)
 
 
 def collapsed(fusions: DataFrame) -> DataFrame:
-    """One row for each unordered pair of genes, from (ord, up_gene, up_chrom, lo_gene, lo_chrom, up_bp, lo_bp, level, reads).
+    """One row for each unordered pair of genes, from (ord, up_gene, up_chrom, lo_gene, lo_chrom, up_bp, lo_bp, level, reads); other columns are those of the winning row.
 
     With a level 5: its breakpoint group with most distinct reads wins, and reads are those of all rows. Else the best
     level's row with most reads wins. Ties go to the first row.
@@ -69,7 +70,9 @@ def collapsed(fusions: DataFrame) -> DataFrame:
     winner = best.groupBy("pair").agg(F.max_by("first", F.struct("level", "n", -F.col("first"))).alias("ord"), F.max("level").alias("best_level"))
     union = rows.groupBy("pair").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("all_reads"))
     base = rows.drop("reads", "level", "pair")
-    return winner.join(union, "pair").join(base, "ord").select("ord", "up_gene", "up_chrom", "lo_gene", "lo_chrom", "up_bp", "lo_bp", F.when((F.col("best_level") != 2) & (F.col("up_gene").contains("ENSG") | F.col("lo_gene").contains("ENSG")), F.greatest(F.lit(3), F.col("best_level") - 1)).otherwise(F.col("best_level")).alias("level"), F.col("all_reads").alias("reads"))
+    unnamed = F.col("up_gene").contains("ENSG") | F.col("lo_gene").contains("ENSG")
+    final = F.when((F.col("best_level") != 2) & unnamed, F.greatest(F.lit(3), F.col("best_level") - 1)).otherwise(F.col("best_level"))
+    return winner.join(union, "pair").join(base, "ord").select(*base.columns, final.alias("level"), F.col("all_reads").alias("reads"))
 
 
 def isoforms(fusions: DataFrame) -> DataFrame:
@@ -81,6 +84,14 @@ def isoforms(fusions: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame, least: int = DEFAULT.min_supporting_reads) -> DataFrame:
-    """The text form: one row for each fusion with enough reads."""
+    """The eight text fields of each fusion with enough reads; rows also has up_ and lo_ sign, start and end, the aligned parts of the genes."""
     point = F.concat(F.col("up_chrom"), F.lit(":"), F.col("up_bp"), F.lit("; "), F.col("lo_chrom"), F.lit(":"), F.col("lo_bp"))
-    return rows.where(F.size("reads") >= least).select(F.col("up_gene").alias("gene1"), F.col("lo_gene").alias("gene2"), point.alias("break_points"), F.size("reads").cast("bigint").alias("support_num"), F.concat(F.lit("L"), F.col("level"), F.lit(": "), E.level_text(F.col("level"))).alias("rank_class"), F.array_join(F.transform("reads", lambda x: x.cast("string")), ";").alias("supporting_reads"))
+    region = lambda s: F.concat(F.col(f"{s}_chrom"), F.col(f"{s}_sign"), F.lit(": "), F.col(f"{s}_start"), F.lit(", "), F.col(f"{s}_end"))
+    flag = F.concat(F.lit("flag = "), F.col("level"), F.lit(": "), E.level_text(F.col("level")))
+    reads = F.array_join(F.transform("reads", lambda x: x.cast("string")), ";")
+    return rows.where(F.size("reads") >= least).select(F.col("up_gene").alias("gene1"), F.col("lo_gene").alias("gene2"), point.alias("break_points"), region("up").alias("region1"), region("lo").alias("region2"), F.size("reads").cast("bigint").alias("support_num"), flag.alias("rank_class"), reads.alias("supporting_reads"))
+
+
+def report_lines(reported: DataFrame) -> DataFrame:
+    """value: the report's lines, its fields joined by tabs, as a text sink takes them."""
+    return reported.select(F.concat_ws("\t", *reported.columns).alias("value"))

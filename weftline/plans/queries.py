@@ -15,7 +15,7 @@ from .lens import oracle, tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Pairs: the first two records of each read, of different genes.
-PAIRS = "SELECT a.read_id, a.ord, a.gene AS up_gene, b.gene AS lo_gene, a.chrom AS up_chrom, b.chrom AS lo_chrom, a.sign AS up_sign, b.sign AS lo_sign, a.bp AS up_bp, b.bp AS lo_bp, a.item AS up_path, b.item AS lo_path, a.mapq AS up_mapq, b.mapq AS lo_mapq, b.read_start - a.read_end AS gap, a.read_end AS up_end, b.read_start AS lo_start FROM aln a JOIN aln b ON a.read_id = b.read_id AND a.rn = 1 AND b.rn = 2 WHERE a.gene <> b.gene"
+PAIRS = "SELECT a.read_id, a.ord, a.gene AS up_gene, b.gene AS lo_gene, a.chrom AS up_chrom, b.chrom AS lo_chrom, a.sign AS up_sign, b.sign AS lo_sign, a.bp AS up_bp, b.bp AS lo_bp, a.item AS up_path, b.item AS lo_path, a.mapq AS up_mapq, b.mapq AS lo_mapq, b.read_start - a.read_end AS gap, a.seg_start AS up_start, a.seg_end AS up_end, b.seg_start AS lo_start, b.seg_end AS lo_end FROM aln a JOIN aln b ON a.read_id = b.read_id AND a.rn = 1 AND b.rn = 2 WHERE a.gene <> b.gene"
 WEIGHT = "CASE WHEN {q} >= 30 THEN 10 + {q} * 0.15 WHEN {q} >= 10 THEN floor({q} / 10.0) * 3.5 ELSE {q} * 0.2 END"
 SCORE = f"sqrt({WEIGHT.format(q='up_mapq')} + {WEIGHT.format(q='lo_mapq')}) * 0.5 * (1 + ln(1 + 2)) * CASE WHEN up_mapq >= 30 AND lo_mapq >= 30 THEN 1.5 WHEN up_mapq >= 10 AND lo_mapq >= 10 THEN 1.2 ELSE 0.8 END"
 
@@ -37,7 +37,7 @@ def records(aln: DataFrame) -> DataFrame:
 def pairs(aln: DataFrame) -> DataFrame:
     """The first two records of each read by conditional aggregation: one shuffle, no self-join."""
     one = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
-    out = aln.where("rn <= 2").groupBy("read_id").agg(one(1, "ord").alias("ord"), *(one(n, c).alias(f"{side}_{name}") for n, side in ((1, "up"), (2, "lo")) for c, name in (("gene", "gene"), ("chrom", "chrom"), ("sign", "sign"), ("bp", "bp"), ("item", "path"), ("mapq", "mapq"))), (one(2, "read_start") - one(1, "read_end")).alias("gap"), one(1, "read_end").alias("up_end"), one(2, "read_start").alias("lo_start"))
+    out = aln.where("rn <= 2").groupBy("read_id").agg(one(1, "ord").alias("ord"), *(one(n, c).alias(f"{side}_{name}") for n, side in ((1, "up"), (2, "lo")) for c, name in (("gene", "gene"), ("chrom", "chrom"), ("sign", "sign"), ("bp", "bp"), ("item", "path"), ("mapq", "mapq"), ("seg_start", "start"), ("seg_end", "end"))), (one(2, "read_start") - one(1, "read_end")).alias("gap"))
     return out.where("up_gene <> lo_gene")
 
 
@@ -207,9 +207,15 @@ def merge_keeps_length(spark, d):
     return m.select("read_id", "n", F.aggregate("m", F.lit(0).cast("bigint"), lambda s, r: s + r["block_len"]).alias("total"))
 
 
-@query("SELECT read_id, cast(sum(new) AS bigint) AS n_merged FROM (SELECT read_id, CASE WHEN gene = lag(gene) OVER w AND sign = lag(sign) OVER w AND read_start - lag(read_end) OVER w >= -60 AND NOT seen THEN 0 ELSE 1 END AS new FROM (SELECT *, item = lag(item) OVER (PARTITION BY read_id ORDER BY rn) AS seen FROM aln WHERE rn <= 2) z WINDOW w AS (PARTITION BY read_id ORDER BY rn)) x GROUP BY read_id HAVING count(*) > 1")
+STRUCT = "{'read_start': read_start, 'read_end': read_end, 'gene': gene, 'chrom': chrom, 'sign': sign, 'block_len': block_len, 'items': [item], 'ord': ord}"
+JOINED = "{'read_start': a[-1].read_start, 'read_end': x[1].read_end, 'gene': a[-1].gene, 'chrom': a[-1].chrom, 'sign': a[-1].sign, 'block_len': a[-1].block_len + x[1].block_len, 'items': list_concat(a[-1].items, x[1].items), 'ord': a[-1].ord}"
+#: All records of each read with several, merged by a left fold.
+MERGED = f"SELECT read_id, list_reduce(list_transform(xs, lambda x: [x]), lambda a, x: CASE WHEN a[-1].gene = x[1].gene AND a[-1].chrom = x[1].chrom AND a[-1].sign = x[1].sign AND x[1].read_start - a[-1].read_end >= {{floor}} AND NOT list_has_any(a[-1].items, x[1].items) THEN list_concat(a[1:len(a) - 1], [{JOINED}]) ELSE list_concat(a, x) END) AS m FROM (SELECT read_id, list({STRUCT} ORDER BY read_start, ord) AS xs FROM aln GROUP BY read_id HAVING count(*) > 1) q".replace("{floor}", "{0}")
+
+
+@query(f"SELECT read_id, cast(len(m) AS bigint) AS n_merged FROM ({MERGED.replace('{0}', '-60')}) x")
 def merge_fragments(spark, d):
-    g = reads.grouped(records(tables(spark, d)[0].where("rn <= 2")))
+    g = reads.grouped(records(tables(spark, d)[0]))
     return g.select("read_id", F.size(reads.merged(F.col("recs"), -60)).cast("bigint").alias("n_merged"))
 
 
@@ -226,11 +232,33 @@ def pair_validity(spark, d):
     return p.select("read_id", "up_gene", "lo_gene", (coding & E.same_direction(F.col("up_strand"), F.col("up_sign"), F.col("lo_strand"), F.col("lo_sign"))).alias("valid"))
 
 
-@query(f"SELECT p.read_id, up_gene, lo_gene FROM ({PAIRS}) p JOIN genes g ON g.gene = up_gene AND g.chrom = up_chrom JOIN genes h ON h.gene = lo_gene AND h.chrom = lo_chrom JOIN (SELECT read_id FROM aln GROUP BY read_id HAVING count(*) = 2) n ON n.read_id = p.read_id WHERE gap <= 200 AND {VALID}")
-def pair_route(spark, d):
+GENES_OF = "list_distinct(list_transform(m, lambda r: r.gene))"
+CUT = f"SELECT read_id, CASE WHEN len(m) > 2 AND len({GENES_OF}) <= 2 AND m[1].gene <> m[2].gene THEN m[1:2] ELSE m END AS m FROM ({MERGED.replace('{0}', '-5')}) x WHERE len(list_filter(m, lambda r: r.block_len <= 30)) = 0"
+SLOTS = f"SELECT read_id, 0 AS slot, m[1] AS u, m[2] AS l FROM ({CUT}) c WHERE len(m) = 2 UNION ALL SELECT read_id, unnest([1, 2]), unnest([m[1], m[2]]), unnest([m[2], m[3]]) FROM ({CUT}) c WHERE len(m) = 3 AND len({GENES_OF}) = 3"
+FIT = f"SELECT *, u.gene AS up_gene, l.gene AS lo_gene, u.sign AS up_sign, l.sign AS lo_sign FROM ({SLOTS}) s WHERE u.gene <> l.gene AND CASE WHEN slot = 0 THEN l.read_start - u.read_end <= 200 ELSE l.read_start - u.read_end > -15 AND l.read_start - u.read_end < 15 END"
+CHECKED = f"SELECT read_id, slot, up_gene, lo_gene, {VALID} AS valid FROM ({FIT}) f JOIN genes g ON g.gene = up_gene AND g.chrom = u.chrom JOIN genes h ON h.gene = lo_gene AND h.chrom = l.chrom"
+ROUTED = f"SELECT * FROM ({CHECKED}) c WHERE valid AND (slot < 2 OR NOT EXISTS (SELECT 1 FROM ({CHECKED}) e WHERE e.read_id = c.read_id AND e.slot = 1 AND NOT e.valid))"
+
+
+def routed(spark, d) -> DataFrame:
     aln, genes = tables(spark, d)
-    two = reads.grouped(records(aln)).where(F.size("recs") == 2)
-    return reads.routed(two, genes).select("read_id", F.col("up.gene").alias("up_gene"), F.col("lo.gene").alias("lo_gene"))
+    return reads.routed(reads.grouped(records(aln)), genes).select("read_id", F.col("slot").cast("bigint").alias("slot"), F.col("up.gene").alias("up_gene"), F.col("lo.gene").alias("lo_gene"))
+
+
+@query(f"SELECT read_id, cast(slot AS bigint) AS slot, up_gene, lo_gene FROM ({ROUTED}) r")
+def pair_route(spark, d):
+    return routed(spark, d)
+
+
+@query(f"SELECT read_id, cast(slot AS bigint) AS slot, up_gene, lo_gene FROM ({ROUTED}) r WHERE slot > 0")
+def three_gene_split(spark, d):
+    return routed(spark, d).where("slot > 0")
+
+
+@query(f"SELECT read_id, cast(floor((m[2].read_end + m[3].read_start) / 2) AS bigint) AS cut_at FROM ({MERGED.replace('{0}', '-5')}) x WHERE len(m) > 2 AND len({GENES_OF}) <= 2 AND m[1].gene <> m[2].gene")
+def two_gene_truncate(spark, d):
+    m = reads.grouped(records(tables(spark, d)[0])).select("read_id", reads.merged(F.col("recs")).alias("m"))
+    return m.select("read_id", reads.truncation(F.col("m")).alias("cut_at")).where("cut_at is not null")
 
 
 @query(f"SELECT least(up_gene, lo_gene) AS gene_a, greatest(up_gene, lo_gene) AS gene_b, count(*) AS support FROM ({PAIRS}) p GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -246,16 +274,30 @@ def gene_set_supported(spark, d):
     return q.select(F.col("up_gene").alias("gene"), F.col("up_chrom").alias("chrom")).unionByName(q.select(F.col("lo_gene").alias("gene"), F.col("lo_chrom").alias("chrom"))).distinct()
 
 
-@query("SELECT read_id, max(read_end) AS up_end, min(read_start) AS lo_start FROM aln GROUP BY read_id HAVING min(read_start) - max(read_end) BETWEEN -400 AND 15")
+#: Neighbouring records of a read as pairs, and hits of a second alignment for two thirds of the records.
+NEIGHBOURS = "SELECT a.ord AS id, a.read_id, a.gene AS up_gene, b.gene AS lo_gene, a.read_start AS up_start, a.read_end AS up_end, b.read_start AS lo_start, b.read_end AS lo_end, b.read_end + a.qty % 9 AS read_length FROM aln a JOIN aln b ON b.read_id = a.read_id AND b.rn = a.rn + 1 WHERE a.gene <> b.gene"
+HITS = "SELECT read_id, gene, read_start + qty % 5 AS q_st, read_end - qty % 4 AS q_en, block_len AS blen, ord FROM aln WHERE qty % 3 <> 0"
+HIT = f"SELECT p.*, h.* EXCLUDE (read_id) FROM ({NEIGHBOURS}) p JOIN ({HITS}) h ON h.read_id = p.read_id AND h.gene IN (up_gene, lo_gene)"
+TOLD = f"SELECT id, read_id, any_value(up_gene) AS up_gene, any_value(lo_gene) AS lo_gene, max(q_en) FILTER (gene = up_gene) AS e, min(q_st) FILTER (gene = lo_gene) AS s, any_value(lo_start - up_end) AS gap, arg_max(abs(read_length - (q_en - q_st)), {{'b': blen, 'o': -ord}}) AS left_over, arg_max(CASE WHEN gene = up_gene THEN read_length - q_en ELSE q_st END, {{'b': blen, 'o': -ord}}) AS clip, arg_max(CASE WHEN gene = up_gene THEN lo_end - lo_start ELSE up_end - up_start END, {{'b': blen, 'o': -ord}}) AS missing FROM ({HIT}) x GROUP BY id, read_id"
+
+
+def second_alignment(spark, d) -> DataFrame:
+    aln, _ = tables(spark, d)
+    rest = [F.col(c).alias(f"lo_{n}") for c, n in (("gene", "gene"), ("read_start", "start"), ("read_end", "end"))]
+    lower = aln.select("read_id", (F.col("rn") - 1).alias("rn"), *rest)
+    p = aln.join(lower, ["read_id", "rn"]).where("gene <> lo_gene").select(F.col("ord").alias("id"), "read_id", F.col("gene").alias("up_gene"), "lo_gene", F.col("read_start").alias("up_start"), F.col("read_end").alias("up_end"), "lo_start", "lo_end", (F.col("lo_end") + F.col("qty") % 9).alias("read_length"))
+    hits = aln.where("qty % 3 <> 0").select("read_id", "gene", (F.col("read_start") + F.col("qty") % 5).alias("q_st"), (F.col("read_end") - F.col("qty") % 4).alias("q_en"), F.col("block_len").alias("blen"), "ord")
+    return reads.realigned(p, hits)
+
+
+@query(f"SELECT id, read_id, up_gene, lo_gene FROM ({TOLD}) t WHERE e IS NOT NULL AND s IS NOT NULL AND s - e BETWEEN -15 AND 15")
 def realign_two(spark, d):
-    g = tables(spark, d)[0].groupBy("read_id").agg(F.max("read_end").alias("up_end"), F.min("read_start").alias("lo_start"))
-    return g.where((F.col("lo_start") - F.col("up_end")).between(-400, 15))
+    return second_alignment(spark, d).where("n_hit = 2").drop("n_hit")
 
 
-@query("SELECT read_id, ord AS best, block_len FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY block_len DESC, ord) AS k FROM aln) x WHERE k = 1 AND abs(150 - block_len) > 30")
+@query(f"SELECT id, read_id, up_gene, lo_gene FROM ({TOLD}) t WHERE (e IS NULL OR s IS NULL) AND gap BETWEEN -15 AND 30 AND left_over > 30 AND clip >= 30 AND abs(clip - missing) <= 30")
 def realign_one(spark, d):
-    g = tables(spark, d)[0].groupBy("read_id").agg(F.max_by(F.struct("ord", "block_len"), F.struct("block_len", -F.col("ord"))).alias("b"))
-    return g.select("read_id", F.col("b.ord").alias("best"), F.col("b.block_len").alias("block_len")).where(F.abs(150 - F.col("block_len")) > 30)
+    return second_alignment(spark, d).where("n_hit = 1").drop("n_hit")
 
 
 @query(f"SELECT read_id, up_gene, lo_gene, up_bp, lo_bp FROM ({PAIRS}) p")
@@ -427,7 +469,7 @@ def library(genes: DataFrame) -> DataFrame:
     return a.join(b, (F.col("i") < F.col("j")) & ((F.col("i") + F.col("j")) % 4 != 0)).select("left_gene", "right_gene", tags.alias("tags"))
 
 
-LEVEL = "CASE WHEN up_mapq = 0 THEN 3 WHEN lo_mapq = 0 THEN 3 WHEN raw IN (1, 2) OR coding THEN raw ELSE greatest(3, raw - 1) END"
+LEVEL = "CASE WHEN up_mapq = 0 THEN NULL WHEN lo_mapq = 0 THEN 3 WHEN raw IN (1, 2) OR coding THEN raw ELSE greatest(3, raw - 1) END"
 RAW = "CASE WHEN m AND normal THEN 2 WHEN m AND g THEN CASE WHEN exact THEN 5 ELSE 4 END WHEN m AND NOT same_chrom THEN 3 WHEN m AND dist > 100000 THEN 5 WHEN m AND other THEN 5 WHEN m AND any_between THEN CASE WHEN dist > 50000 THEN 4 ELSE 2 END WHEN m THEN 2 WHEN g THEN 3 ELSE 1 END"
 FACTS = f"SELECT *, up_mapq >= 12 AS m, lo_mapq >= 30 AS g, up_chrom = lo_chrom AS same_chrom, abs(up_bp - lo_bp) AS dist, up_bp % 7 = 0 AS normal, up_bp % 2 = 0 AS exact, up_bp % 3 = 0 AS other, up_bp % 5 <> 0 AS any_between, up_gene <> 'GENEE' AND lo_gene <> 'GENEE' AS coding FROM ({PAIRS}) p"
 
@@ -446,11 +488,11 @@ def confidence_level(spark, d):
 
 LEVELED = f"SELECT *, [read_id] AS reads FROM (SELECT *, {LEVEL} AS level FROM (SELECT *, {RAW} AS raw FROM ({FACTS}) f) x) y WHERE level BETWEEN 2 AND 5"
 WON = f"SELECT ga, gb, arg_max(f, {{'l': level, 'n': n, 'o': -f}}) AS ord, max(level) AS level FROM (SELECT least(up_gene, lo_gene) AS ga, greatest(up_gene, lo_gene) AS gb, level, CASE WHEN level = 5 THEN up_bp END AS g1, CASE WHEN level = 5 THEN lo_bp ELSE -ord END AS g2, count(DISTINCT read_id) AS n, min(ord) AS f FROM ({LEVELED}) z GROUP BY ALL) w GROUP BY ga, gb"
-COLLAPSED = f"SELECT w.ord, l.up_gene, l.up_chrom, l.lo_gene, l.lo_chrom, l.up_bp, l.lo_bp, w.level, (SELECT list_sort(list(DISTINCT read_id)) FROM ({LEVELED}) r WHERE least(r.up_gene, r.lo_gene) = ga AND greatest(r.up_gene, r.lo_gene) = gb) AS reads FROM ({WON}) w JOIN ({LEVELED}) l ON l.ord = w.ord"
+COLLAPSED = f"SELECT w.ord, l.up_gene, l.up_chrom, l.lo_gene, l.lo_chrom, l.up_bp, l.lo_bp, l.up_sign, l.up_start, l.up_end, l.lo_sign, l.lo_start, l.lo_end, w.level, (SELECT list_sort(list(DISTINCT read_id)) FROM ({LEVELED}) r WHERE least(r.up_gene, r.lo_gene) = ga AND greatest(r.up_gene, r.lo_gene) = gb) AS reads FROM ({WON}) w JOIN ({LEVELED}) l ON l.ord = w.ord"
 
 
 def collapsed(aln: DataFrame) -> DataFrame:
-    return report.collapsed(leveled(aln).select("ord", "up_gene", "up_chrom", "lo_gene", "lo_chrom", "up_bp", "lo_bp", "level", F.array("read_id").alias("reads")))
+    return report.collapsed(leveled(aln).select("ord", "up_gene", "up_chrom", "lo_gene", "lo_chrom", "up_bp", "lo_bp", *(f"{x}_{y}" for x in ("up", "lo") for y in ("sign", "start", "end")), "level", F.array("read_id").alias("reads")))
 
 
 @query(f"SELECT ord, up_gene, lo_gene, up_bp, lo_bp, level, cast(len(reads) AS bigint) AS n_reads FROM ({COLLAPSED}) c")
@@ -464,7 +506,10 @@ def isoform_collapse(spark, d):
     return report.isoforms(rows).select("ord", "up_gene", "lo_gene", "up_bp", "lo_bp", F.size("all_reads").cast("bigint").alias("n_reads"))
 
 
-@query(f"SELECT up_gene AS gene1, lo_gene AS gene2, concat(up_chrom, ':', up_bp, '; ', lo_chrom, ':', lo_bp) AS break_points, cast(len(reads) AS bigint) AS support_num, concat('L', level, ': ', CASE level WHEN 5 THEN 'very high' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END) AS rank_class, array_to_string(reads, ';') AS supporting_reads FROM ({COLLAPSED}) c WHERE len(reads) >= 2")
+TEXTS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in E.LEVEL_TEXT.items())
+
+
+@query(f"SELECT up_gene AS gene1, lo_gene AS gene2, concat(up_chrom, ':', up_bp, '; ', lo_chrom, ':', lo_bp) AS break_points, concat(up_chrom, up_sign, ': ', up_start, ', ', up_end) AS region1, concat(lo_chrom, lo_sign, ': ', lo_start, ', ', lo_end) AS region2, cast(len(reads) AS bigint) AS support_num, concat('flag = ', level, ': ', CASE level {TEXTS} END) AS rank_class, array_to_string(reads, ';') AS supporting_reads FROM ({COLLAPSED}) c WHERE len(reads) >= 2")
 def final_report(spark, d):
     return report.report(collapsed(tables(spark, d)[0]))
 
