@@ -120,7 +120,7 @@ def bucket_counts(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], It
         for s, have in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(have, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
 
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
     for s, blob in df.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, counts binary").collect():
         out[s * part : (s + 1) * part] = np.frombuffer(blob, np.uint32)
     return out

@@ -38,7 +38,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 LEXICON = 400
 #: Standard deviations, and examples with label 1, that a term of the lexicon needs.
 LEAN, LEAST = 3.5, 3
-EXAMPLES = 20_000
+EXAMPLES = 10_000
 CALIBRATION = 5
 BLOCK = 64
 NEIGHBOURS = 25
@@ -65,6 +65,19 @@ def stems(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield (mix(value + np.uint64(k)) >> shift).astype(np.int64), alive
 
 
+_places: dict[bytes, np.ndarray] = {}
+
+
+def places(lexicon: np.ndarray) -> np.ndarray:
+    """Of each bucket its place in the lexicon, or LEXICON. A worker keeps the last table, so only the lexicon is sent."""
+    key = lexicon.tobytes()
+    if key not in _places:
+        _places.clear()
+        _places[key] = np.full(1 << BITS, LEXICON, np.int16)
+        _places[key][lexicon] = np.arange(len(lexicon))
+    return _places[key]
+
+
 def vectors(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, times) of the lexicon's terms and, as term LEXICON, of all other words. place: of a bucket, or LEXICON."""
     found = stems(data, offsets)
@@ -225,21 +238,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     learnt = sample.where("fold <> 0")
     ones, zeros = (bucket_counts(learnt.where(F.col("label") == y).select("doc_id", "text"), held_stems, BITS) for y in (1, 0))
     totals = {r["label"]: r["n"] for r in learnt.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    expected = (ones + zeros) * (totals.get(1, 0) / max(1, sum(totals.values())))
-    lean = np.where(ones >= LEAST, (ones - expected) / np.sqrt(expected + 1), 0)
-    lexicon = np.argsort(-lean, kind="stable")[:LEXICON]
-    lexicon = lexicon[lean[lexicon] >= LEAN]
-    place = np.full(1 << BITS, LEXICON, np.int16)
-    place[lexicon] = np.arange(len(lexicon))
+    held = np.flatnonzero(ones >= LEAST)
+    found = ones[held].astype(np.float64)
+    expected = (found + zeros[held]) * (totals.get(1, 0) / max(1, sum(totals.values())))
+    lean = (found - expected) / np.sqrt(expected + 1)
+    order = np.argsort(-lean, kind="stable")[:LEXICON]
+    lexicon = held[order[lean[order] >= LEAN]]
+    del ones, zeros, held, found, expected, lean
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        place = places(lexicon)
         for _, data, offsets in pieces(batches):
             yield np.append(vectors(data, offsets, place)[1], np.full(len(offsets) - 1, LEXICON + 1)).astype(np.uint64) << np.uint64(48)
 
-    counts = bucket_counts(rows, terms, 16)
+    counts = bucket_counts(rows, terms, 16).astype(np.float64)
     idf = 1 + np.log((1 + counts[LEXICON + 1]) / (1 + counts[: LEXICON + 1]))
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = places(lexicon)
         for batch in batches:
             kind = dict(zip(batch.column(0).to_pylist(), zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True))
             for doc, data, offsets in pieces([batch.select([0, 1])]):
@@ -259,12 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
         whole = Index(ids, label, dense)
         whole.calibrate(np.concatenate(found), label[apart == 0])
         index = whole
-    index.place, index.idf = place, idf
+    index.lexicon, index.idf = lexicon, idf
     return index
 
 
 def scored(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
-    return index.score(unit_rows(len(offsets) - 1, *vectors(data, offsets, index.place), index.idf))
+    return index.score(unit_rows(len(offsets) - 1, *vectors(data, offsets, places(index.lexicon)), index.idf))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
