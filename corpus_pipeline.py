@@ -2,7 +2,8 @@
 benchmark item go, secrets are masked, and what is left is encoded and checked by decoding.
 
 A stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs. All
-but the last return the columns of documents. Rows without doc_id are left out by the second stage.
+but the last return the columns of documents. Null and empty texts stay; rows without doc_id are left
+out by the second stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
