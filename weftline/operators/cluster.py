@@ -12,20 +12,22 @@ PAIR = ["up_gene", "lo_gene"]
 def leaders(candidates: DataFrame, distance: int = 30) -> DataFrame:
     """Adds leader (its ord) and bp_group: each row joins the first leader that is near, else it leads a new group.
 
-    Order within a pair of genes is by ord. Rows are folded by pair and chromosomes, since a leader has the same two
-    chromosomes; equal rows are folded once.
+    Order within a pair of genes is by ord. A leader has the same two chromosomes and an upper breakpoint within the distance,
+    so points are folded by pair, chromosomes and run of upper breakpoints without a wider gap; equal points are folded once.
     """
     near = lambda a, b: (F.abs(a["up_bp"] - b["up_bp"]) <= distance) & (F.abs(a["lo_bp"] - b["lo_bp"]) <= distance)
     keys = [*PAIR, "up_chrom", "lo_chrom"]
     points = candidates.groupBy(*keys, "up_bp", "lo_bp").agg(F.min("ord").alias("ord"))
-    folded = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "up_bp", "lo_bp"))).alias("xs"))
+    along = Window.partitionBy(*keys).orderBy("up_bp")
+    points = points.withColumn("cut", (F.col("up_bp") - F.lag("up_bp").over(along) > distance).cast("int"))
+    points = points.withColumn("run", F.coalesce(F.sum("cut").over(along), F.lit(0)))  # peers by range: equal breakpoints have one run
+    folded = points.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("ord", "up_bp", "lo_bp"))).alias("xs"))
     kind = "array<struct<ord:bigint,up_bp:bigint,lo_bp:bigint>>"
-    found = folded.select(*keys, F.aggregate(F.col("xs").cast(kind), F.array().cast(kind), lambda done, x: F.when(F.exists(done, lambda d: near(d, x)), done).otherwise(F.concat(done, F.array(x)))).alias("heads"))
-    rows = candidates.join(found, keys)
+    found = folded.select(*keys, "run", F.aggregate(F.col("xs").cast(kind), F.array().cast(kind), lambda done, x: F.when(F.exists(done, lambda d: near(d, x)), done).otherwise(F.concat(done, F.array(x)))).alias("heads"))
+    numbers = found.select(*PAIR, F.explode("heads.ord").alias("leader")).withColumn("bp_group", F.row_number().over(Window.partitionBy(*PAIR).orderBy("leader")) - 1)
     me = F.struct("ord", "up_bp", "lo_bp")
-    rows = rows.withColumn("leader", F.get(F.filter("heads", lambda d: near(d, me)), 0)["ord"]).drop("heads")
-    w = Window.partitionBy(*PAIR).orderBy("leader")
-    return rows.withColumn("bp_group", F.dense_rank().over(w) - 1)
+    led = points.join(found, [*keys, "run"]).select(*keys, "up_bp", "lo_bp", F.get(F.filter("heads", lambda d: near(d, me)), 0)["ord"].alias("leader"))
+    return candidates.join(led.join(numbers, [*PAIR, "leader"]), [*keys, "up_bp", "lo_bp"])
 
 
 def path_groups(rows: DataFrame) -> DataFrame:

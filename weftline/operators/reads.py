@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
+from ..functions import ordered
 from ..params import FusionParams
 
 DEFAULT = FusionParams()
@@ -21,10 +22,8 @@ def grouped(records: DataFrame) -> DataFrame:
 
 
 def consecutive(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """run_id: counts the changes of key along the order within a partition of it all."""
-    w = Window.orderBy(*order)
-    changed = F.coalesce((F.col(key) != F.lag(key).over(w)).cast("int"), F.lit(1))
-    return rows.withColumn("changed", changed).withColumn("run_id", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+    """run_id: counts the changes of key along the order, whose first column is a whole number."""
+    return ordered.runs(rows, key, order)
 
 
 def pairs_of(recs: Column, test) -> Column:

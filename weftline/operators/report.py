@@ -95,3 +95,14 @@ def report(rows: DataFrame, least: int = DEFAULT.min_supporting_reads) -> DataFr
 def report_lines(reported: DataFrame) -> DataFrame:
     """value: the report's lines, its fields joined by tabs, as a text sink takes them."""
     return reported.select(F.concat_ws("\t", *reported.columns).alias("value"))
+
+
+def scored(fusions: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
+    """The rows of truth (gene1, gene2, gene1bp, gene2bp) with called, that a fusion of the two genes was found in either order, and
+    placed, that both breakpoints of one lie within the tolerance."""
+    pair = lambda a, b: (F.least(a, b).alias("gene_a"), F.greatest(a, b).alias("gene_b"))
+    found = fusions.select(*pair("up_gene", "lo_gene"), "up_gene", "up_bp", "lo_bp")
+    first, second = (F.when(F.col("up_gene") == F.col("gene1"), F.col(x)).otherwise(F.col(y)) for x, y in (("up_bp", "lo_bp"), ("lo_bp", "up_bp")))
+    close = (F.abs(first - F.col("gene1bp")) <= tolerance) & (F.abs(second - F.col("gene2bp")) <= tolerance)
+    rows = truth.withColumns({"gene_a": F.least("gene1", "gene2"), "gene_b": F.greatest("gene1", "gene2")}).join(found, ["gene_a", "gene_b"], "left")
+    return rows.groupBy("gene1", "gene2", "gene1bp", "gene2bp").agg((F.count("up_gene") > 0).alias("called"), F.coalesce(F.bool_or(close), F.lit(False)).alias("placed"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import expr as E
 from ..operators import cluster, consensus, graph, reads, report
@@ -514,12 +515,29 @@ def final_report(spark, d):
     return report.report(collapsed(tables(spark, d)[0]))
 
 
-@query()
+#: In groups of three and more, the second member's sequence has one letter changed; the consensus undoes it.
+SEQUENCED = f"SELECT *, concat(up_path, '|', lo_path) AS seq FROM ({GROUPED}) g"
+
+
+@query(f"SELECT min(ord) AS candidate, min(split_part(seq, '|', 1)) AS upper, min(split_part(seq, '|', 2)) AS lower FROM ({SEQUENCED}) s GROUP BY up_gene, lo_gene, bp_group, up_path, lo_path")
 def poa_consensus(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    # Reads of a candidate: four noisy slices of one document's beginning.
-    noisy = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.substring("text", 1 + i % 2, 30 - i).alias("upper"), F.substring("text", 31, 26 + i).alias("lower")) for i in range(4)))).alias("x")
-    return consensus.consensus(docs.where(F.length("text") >= 60).select(F.col("doc_id").alias("candidate"), noisy).select("candidate", "x.*"))
+    rows = clustered(tables(spark, d)[0])
+    own = Window.partitionBy("up_gene", "lo_gene", "bp_group", "path_group")
+    rows = rows.withColumn("candidate", F.min("ord").over(own)).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("k", F.row_number().over(own.orderBy("ord")))
+    noisy = F.when((F.col("n") >= 3) & (F.col("k") == 2), F.overlay("up_path", F.lit("!"), F.col("ord") % F.length("up_path") + 1)).otherwise(F.col("up_path"))
+    reads_ = rows.select("candidate", "ord", F.concat(noisy, "lo_path").alias("seq"), F.length("up_path").alias("upper_end"), F.length("up_path").alias("lower_start"))
+    return consensus.consensus(consensus.split_sequences(reads_).select("candidate", "ord", "upper", "lower"))
+
+
+TRUTH = "SELECT a.gene AS gene1, b.gene AS gene2, a.start_pos + 1000 AS gene1bp, b.start_pos + 1000 AS gene2bp FROM genes a, genes b WHERE a.gid < b.gid"
+
+
+@query(f"SELECT t.*, count(c.ord) > 0 AS called, coalesce(bool_or(abs(CASE WHEN up_gene = gene1 THEN up_bp ELSE lo_bp END - gene1bp) <= 1100 AND abs(CASE WHEN up_gene = gene1 THEN lo_bp ELSE up_bp END - gene2bp) <= 1100), false) AS placed FROM ({TRUTH}) t LEFT JOIN ({COLLAPSED}) c ON least(up_gene, lo_gene) = least(gene1, gene2) AND greatest(up_gene, lo_gene) = greatest(gene1, gene2) GROUP BY ALL")
+def truth_scoring(spark, d):
+    aln, genes = tables(spark, d)
+    g = genes.select("gid", "gene", (F.col("start_pos") + 1000).alias("bp"))
+    truth = g.select("gid", F.col("gene").alias("gene1"), F.col("bp").alias("gene1bp")).join(g.select(F.col("gid").alias("h"), F.col("gene").alias("gene2"), F.col("bp").alias("gene2bp")), F.col("gid") < F.col("h")).drop("gid", "h")
+    return report.scored(collapsed(aln), truth, 1100)
 
 
 @query()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import expr as E
+from ..functions import ordered
 
 GAF_FIELDS = ["read_id string", "read_len bigint", "read_start bigint", "read_end bigint", "strand string", "path string", "ref_len bigint", "ref_start bigint", "ref_end bigint", "matches bigint", "block_len bigint", "mapq bigint"]
 SAM_FIELDS = ["query string", "flag bigint", "chrom string", "start bigint", "mapq bigint", "cigar string"]
@@ -28,8 +28,7 @@ def gff(rows: DataFrame) -> DataFrame:
 
 def regions(rows: DataFrame) -> DataFrame:
     """(line_no, region_id): how many ##sequence-region lines stand at or before each line of one file."""
-    mark = F.col("value").startswith("##sequence-region").cast("int")
-    return rows.withColumn("region_id", F.sum(mark).over(Window.orderBy("line_no")))
+    return ordered.running_total(rows, "line_no", F.col("value").startswith("##sequence-region").cast("int"), "region_id")
 
 
 def gaf(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,17 +60,25 @@ def sam_tags(fields):
 
 
 def fasta(rows: DataFrame) -> DataFrame:
-    """(seq_id, seq) of (line_no, value); joins a sequence's lines in file order."""
+    """(seq_id, seq) of (line_no, value); joins a sequence's lines in file order. For reads; ``fasta_lines`` serves whole chromosomes."""
     head = F.col("value").startswith(">")
-    w = Window.orderBy("line_no")
-    placed = rows.withColumn("record", F.sum(head.cast("int")).over(w))
+    placed = ordered.running_total(rows, "line_no", head.cast("int"), "record")
     return placed.where("record > 0").groupBy("record").agg(F.max(F.when(head, F.regexp_extract("value", r"^>(\S+)", 1))).alias("seq_id"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "value")))), lambda x: x["value"]), "").alias("seq")).select("seq_id", "seq")
 
 
+def fasta_lines(rows: DataFrame) -> DataFrame:
+    """(seq_id, at, part): the lines of (line_no, value) with the 1-based place of their first character; no sequence is ever one value."""
+    head = F.col("value").startswith(">")
+    placed = ordered.running_total(rows, "line_no", head.cast("int"), "record").where("record > 0")
+    placed = ordered.running_total(placed, "line_no", F.when(head, 0).otherwise(F.length("value")).cast("bigint"), "end")
+    heads = placed.where(head).select("record", F.regexp_extract("value", r"^>(\S+)", 1).alias("seq_id"), F.col("end").alias("base"))
+    return placed.where(~head & (F.length("value") > 0)).join(heads, "record").select("seq_id", (F.col("end") - F.length("value") + 1 - F.col("base")).alias("at"), F.col("value").alias("part"))
+
+
 def fastq(rows: DataFrame) -> DataFrame:
     """(seq_id, seq, qual) of records of four lines."""
-    n = F.row_number().over(Window.orderBy("line_no")) - 1
-    placed = rows.select((n / 4).cast("bigint").alias("record"), (n % 4).alias("k"), "value")
+    n = F.col("n") - 1
+    placed = ordered.running_total(rows, "line_no", F.lit(1), "n").select((n / 4).cast("bigint").alias("record"), (n % 4).alias("k"), "value")
     one = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
     return placed.groupBy("record").agg(F.regexp_extract(one(0), r"^@(\S+)", 1).alias("seq_id"), one(1).alias("seq"), one(3).alias("qual")).select("seq_id", "seq", "qual")
 
