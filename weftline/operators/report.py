@@ -66,13 +66,13 @@ def collapsed(fusions: DataFrame) -> DataFrame:
     pair = F.array_sort(F.array(F.struct(F.col("up_gene").alias("gene"), F.col("up_chrom").alias("chrom")), F.struct(F.col("lo_gene").alias("gene"), F.col("lo_chrom").alias("chrom"))))
     rows = fusions.where("level between 2 and 5").withColumn("pair", pair)
     groups = rows.withColumn("g", F.when(F.col("level") == 5, F.struct("up_bp", "lo_bp")).otherwise(F.struct(F.lit(None).cast("bigint").alias("up_bp"), (-F.col("ord")).alias("lo_bp"))))
-    best = groups.groupBy("pair", "level", "g").agg(F.size(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("n"), F.min("ord").alias("first"))
-    winner = best.groupBy("pair").agg(F.max_by("first", F.struct("level", "n", -F.col("first"))).alias("ord"), F.max("level").alias("best_level"))
-    union = rows.groupBy("pair").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("all_reads"))
-    base = rows.drop("reads", "level", "pair")
-    unnamed = F.col("up_gene").contains("ENSG") | F.col("lo_gene").contains("ENSG")
+    kept = [x for x in fusions.columns if x not in ("reads", "level")]
+    best = groups.groupBy("pair", "level", "g").agg(F.array_distinct(F.flatten(F.collect_list("reads"))).alias("own"), F.min("ord").alias("first"), F.min_by(F.struct(*kept), "ord").alias("row"))
+    order = F.struct("level", F.size("own"), -F.col("first"))
+    out = best.groupBy("pair").agg(F.max_by("row", order).alias("row"), F.max("level").alias("best_level"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("reads"))
+    unnamed = F.col("row.up_gene").contains("ENSG") | F.col("row.lo_gene").contains("ENSG")
     final = F.when((F.col("best_level") != 2) & unnamed, F.greatest(F.lit(3), F.col("best_level") - 1)).otherwise(F.col("best_level"))
-    return winner.join(union, "pair").join(base, "ord").select(*base.columns, final.alias("level"), F.col("all_reads").alias("reads"))
+    return out.select("row.*", final.alias("level"), "reads")
 
 
 def isoforms(fusions: DataFrame) -> DataFrame:
