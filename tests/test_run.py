@@ -108,3 +108,50 @@ def test_lines(spark):
     assert [tuple(r) for r in text.fasta(lines(spark, [">a x", "AC", "G", ">b", "T"])).orderBy("seq_id").collect()] == [("a", "ACG"), ("b", "T")]
     assert [tuple(r) for r in text.fastq(lines(spark, ["@a x", "AC", "+", "!!", "@b", "T", "+", "!"])).orderBy("seq_id").collect()] == [("a", "AC", "!!"), ("b", "T", "!")]
     assert text.fasta(lines(spark, []).where(F.lit(False))).count() == 0
+
+
+def test_support_and_read_length(spark, tmp_path):
+    """Hits count only on genes of supported pairs; a whole read's length is its own, a shortened one's its cut."""
+    from weftline.operators import reads
+    from weftline.params import FusionParams
+
+    folder = f"file://{tmp_path}"
+    genes = built(spark, folder)["genes"]
+    alone = lines(spark, [gaf_line(*x) for x in GAF[:2]])
+    assert [r.read_id for r in run.candidates(alone, genes, folder).collect()] == ["r1"]
+    assert run.candidates(alone, genes, folder, params=FusionParams(strict_support=True)).count() == 0
+    hits = spark.createDataFrame([(r, g, a, b, 100, i) for i, (r, g, a, b) in enumerate([("r1", "GA", 0, 100), ("r1", "GB", 100, 200), ("r2", "GA", 0, 100)])], "read_id string, gene string, q_st long, q_en long, blen long, ord long")
+    assert run.candidates(alone, genes, folder, hits).count() == 0
+    both = lines(spark, [gaf_line(*x) for x in GAF])
+    assert sorted(r.read_id for r in run.candidates(both, genes, folder, hits).collect()) == ["r1", "r2"]
+    rec = lambda at, ord_, gene, chrom, sign, item: (at, ord_, at + 50, gene, chrom, sign, 50, 60, [item])
+    kind = "read_id string, recs array<struct<read_start:bigint,ord:bigint,read_end:bigint,gene:string,chrom:string,sign:string,block_len:bigint,mapq:bigint,items:array<string>>>, read_len long"
+    a, b = rec(0, 0, "GA", "chr1", ">", "chr1:GA:101-150"), rec(50, 1, "GB", "chr2", "<", "chr2:GB:351-400")
+    rows = spark.createDataFrame([("x", [a, b], 120), ("y", [a, b, rec(107, 2, "GA", "chr1", ">", "chr1:GA:201-250")], 200)], kind)
+    assert {r.read_id: r.read_length for r in reads.routed(rows, genes).collect()} == {"x": 120, "y": 103}
+
+
+def test_commands(spark, tmp_path):
+    """Files in, report out; the graph's P lines and its part of protein-coding genes."""
+    from weftline.__main__ import main
+
+    ref, out = f"file://{tmp_path}/ref", f"file://{tmp_path}/out"
+
+    def file(name, values):
+        (tmp_path / name).write_text("\n".join(values) + "\n")
+        return f"file://{tmp_path}/{name}"
+
+    gff = [x.replace(" ", "\t") if not x.startswith("#") else x for x in GFF.split("\n")] + ["\t".join(["chr2", "T", k, "600", "650", ".", "+", ".", "gene_id=g3;gene_type=processed_pseudogene;gene_name=GP"]) for k in ("gene", "transcript", "exon")]
+    genome = [x for k, v in GENOME.items() for x in (f">{k}", v)]
+    main(["graph", file("a.gff", gff), file("g.fa", genome), "-o", ref], spark)
+    p = {r.line for r in spark.read.parquet(f"{ref}/gfa").where("kind = 'P'").collect()}
+    assert p == {"P\tchr1_gene-GA_1\tchr1:GA:101-150,chr1:GA:201-250,chr1:GA:351-400", "P\tchr1_gene-GA_2\tchr1:GA:101-150,chr1:GA:351-400", "P\tchr2_gene-GB_1\tchr2:GB:101-150,chr2:GB:201-250,chr2:GB:351-400", "P\tchr2_pseu-GP_1\tchr2:GP:600-650"}
+    counts = [spark.read.text(f"{ref}/{x}").count() for x in ("only_pc_gfa", "comprehensive_gfa")]
+    assert counts == [11, 12]
+    main(["candidates", file("r.gaf", [gaf_line(*x) for x in GAF]), file("r.fa", [">r1", "A" * 100 + "C" * 100, ">r2", "A" * 100 + "C" * 50]), ref, "-o", out], spark)
+    names = [x[1:].removesuffix("_0_full") for r in spark.read.text(f"{out}/consensus_fasta").collect() for x in r.value.split("\n") if x.endswith("_full")]
+    upper = [gaf_line(f"{n}_0_upper", 100, 0, 100, ">chr1:GA:101-150>chr1:GA:201-250", 100, 0, 100, 100) for n in names]
+    lower = [gaf_line(f"{n}_0_lower", 50, 0, 50, "<chr2:GB:351-400", 50, 0, 50, 50) for n in names]
+    sam = [sam_line(f"{n}_0_full", f, *at) for n in names for f, at in ((0, ("chr1", 101, 60, "50M50N50M50S")), (2064, ("chr2", 351, 60, "50M100S")))]
+    main(["detect", file("c.gaf", upper + lower), file("c.sam", sam), ref, file("lib", ["GA--GZ\t[\"BodyMap\"]\tx"]), "-o", out], spark)
+    assert [(r.gene1, r.gene2, r.rank_class) for r in spark.read.option("sep", "\t").option("header", True).csv(f"{out}/report").collect()] == [("GA", "GB", "flag = 5: High Confidence Fusion")]

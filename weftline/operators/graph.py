@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,6 +56,27 @@ def gfa_records(nodes: DataFrame, edges: DataFrame, sequences: DataFrame | None
     return s.unionByName(link)
 
 
+def gene_class(gene_type: Column) -> Column:
+    return F.when(gene_type.contains("pseudogene"), "pseu").otherwise("gene")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(seqid, gene_uid, class, is_pc) of placed rows; is_pc parts the graph of protein-coding genes from the rest."""
+    out = rows.where("type = 'gene'").groupBy("seqid", "gene_uid").agg(F.max_by("gene_type", "line_no").alias("t"))
+    return out.select("seqid", "gene_uid", gene_class(F.col("t")).alias("class"), (F.col("t") == "protein_coding").alias("is_pc"))
+
+
+def path_records(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """P lines: a transcript's number within its gene and its segments by start, without orientation and CIGAR. kinds: see ``classes``."""
+    own = ["seqid", "gene_uid", "gene_name", "path_num"]
+    steps = nodes.select("seqid", "gene_uid", "gene_name", F.explode("paths").alias("path_num"), "start", "end").distinct()
+    rows = steps.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x")).join(kinds, ["seqid", "gene_uid"])
+    # The name keeps the first two parts between underscores of the exons' ids, whatever the sequence is called.
+    head = F.substring_index(F.concat("seqid", F.lit("_"), "class", F.lit("-"), "gene_name", F.lit("_exon")), "_", 2)
+    names = F.array_join(F.transform("x", lambda e: F.concat("seqid", F.lit(":"), "gene_name", F.lit(":"), e["start"], F.lit("-"), e["end"])), ",")
+    return rows.select("seqid", "gene_uid", F.lit("P").alias("kind"), F.concat_ws("\t", F.lit("P"), F.concat(head, F.lit("_"), "path_num"), names).alias("line"))
+
+
 def slices(chunks: DataFrame, regions: DataFrame, chunk: int) -> DataFrame:
     """(region columns, seq): 1-based closed ranges cut out of (seq_id, chunk_no, seq) rows of ``chunk`` characters.
 

@@ -60,16 +60,19 @@ def merged(recs: Column, floor: int = DEFAULT.merge_gap_floor) -> Column:
 def routed(reads: DataFrame, genes: DataFrame, params: FusionParams = DEFAULT) -> DataFrame:
     """Pairs (read_id, up, lo) of merged records: of two, of the first two of a read with two genes, or A-B and else B-C of three genes.
 
+    read_length is where a pair's part of the read ends: the cut of a shortened read, the lower record's end of three, else the column read_len of reads, if they have it.
     genes: gene, chrom, strand, type; it is small, and Spark broadcasts it where its size allows.
     """
     m = F.col("m")
     names = F.array_distinct(F.transform(m, lambda r: r["gene"]))
     cut = F.when((F.size(m) > 2) & (F.size(names) <= 2) & (F.get(m, 0)["gene"] != F.get(m, 1)["gene"]), F.slice(m, 1, 2)).otherwise(m)
-    base = reads.withColumn("m", merged(F.col("recs"), params.merge_gap_floor)).where(~F.exists("m", lambda r: r["block_len"] <= params.min_block_len)).withColumn("m", cut)
+    base = reads.withColumn("m", merged(F.col("recs"), params.merge_gap_floor)).where(~F.exists("m", lambda r: r["block_len"] <= params.min_block_len)).withColumn("cut_at", truncation(m)).withColumn("m", cut)
+    whole = F.col("read_len") if "read_len" in reads.columns else F.lit(None)
+    length = F.when(F.col("slot") > 0, F.col("lo.read_end")).otherwise(F.coalesce("cut_at", whole.cast("bigint")))
     slots = F.when(F.size(m) == 2, F.array(F.struct(F.lit(0).alias("slot"), F.get(m, 0).alias("up"), F.get(m, 1).alias("lo")))).when(
         (F.size(m) == 3) & (F.size(names) == 3), F.array(*(F.struct(F.lit(i).alias("slot"), F.get(m, i - 1).alias("up"), F.get(m, i).alias("lo")) for i in (1, 2)))
     )
-    rows = base.select("read_id", F.explode(slots).alias("p")).select("read_id", "p.*").where(F.col("up.gene") != F.col("lo.gene"))
+    rows = base.select("read_id", "cut_at", *(["read_len"] if "read_len" in reads.columns else []), F.explode(slots).alias("p")).select("*", "p.*").withColumn("read_length", length).drop("p", "cut_at").where(F.col("up.gene") != F.col("lo.gene"))
     g = genes.select("gene", "chrom", "strand", "type")
     for side in ("up", "lo"):
         rows = rows.join(g.select(F.col("gene").alias(f"{side}_g"), F.col("chrom").alias(f"{side}_c"), F.col("strand").alias(f"{side}_strand"), F.col("type").alias(f"{side}_type")), (F.col(f"{side}.gene") == F.col(f"{side}_g")) & (F.col(f"{side}.chrom") == F.col(f"{side}_c")))
@@ -81,7 +84,7 @@ def routed(reads: DataFrame, genes: DataFrame, params: FusionParams = DEFAULT) -
     # With a good first gap the second pair counts only if the first is valid.
     first = Window.partitionBy("read_id").orderBy("slot")
     good = good.withColumn("before", F.lag("valid").over(first)).where("valid and (slot < 2 or before is null or before)")
-    return good.select("read_id", "slot", "up", "lo")
+    return good.select("read_id", "slot", "up", "lo", "read_length")
 
 
 def truncation(m: Column) -> Column:

@@ -393,6 +393,16 @@ def gfa_union(spark, d):
     return graph.gfa_records(graph.exon_nodes(a), graph.exon_edges(a)).select("kind", "line")
 
 
+STEP = "chrom, ':', gene, ':', start_pos + 1000 * {0}, '-', start_pos + 1000 * {0} + 400"
+
+
+@query(f"SELECT type = 'protein_coding' AS is_pc, concat('P', chr(9), chrom, '_gene-', gene, '_1', chr(9), {STEP.format(0)}, ',', {STEP.format(1)}, ',', {STEP.format(2)}, ',', {STEP.format(3)}) AS line FROM genes UNION ALL SELECT type = 'protein_coding', concat('P', chr(9), chrom, '_gene-', gene, '_2', chr(9), {STEP.format(0)}, ',', {STEP.format(2)}) FROM genes")
+def gfa_paths(spark, d):
+    a = annotation(spark, d)
+    kinds = graph.classes(a)
+    return graph.path_records(graph.exon_nodes(a), kinds).join(kinds, ["seqid", "gene_uid"]).select("is_pc", "line")
+
+
 @query("SELECT doc_id, substr(text, cast(doc_id % 50 + 1 AS int), 40) AS seq FROM documents")
 def exon_sequence(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")

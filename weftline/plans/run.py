@@ -47,38 +47,44 @@ def exon_sequences(nodes: DataFrame, fasta: DataFrame) -> DataFrame:
 
 
 def build_graph(gff: DataFrame, fasta: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """nodes, edges, paths, genes (as ``text.gene_table`` gives them) and gfa, the S and L lines."""
+    """nodes, edges, paths, genes (as ``text.gene_table`` gives them) and gfa, the S, L and P lines with is_pc."""
     rows = written(annotation_rows(gff), folder, "annotation")
     nodes, edges = graph.exon_nodes(rows), graph.exon_edges(rows)
     sequenced = exon_sequences(nodes, fasta)
     bounds = lambda x: F.transform(F.filter(F.split(x, ";"), lambda v: v != ""), lambda v: v.cast("bigint")).alias(x)
     genes = graph.gene_positions(rows).select(F.col("gene_name").alias("gene"), "chrom", "strand", F.col("gene_type").alias("type"), "start", "end", bounds("f_exons"), bounds("b_exons"))
-    tables = {"nodes": nodes, "edges": edges, "paths": graph.transcript_paths(nodes), "genes": genes, "gfa": graph.gfa_records(nodes, edges, sequenced)}
+    kinds = graph.classes(rows)
+    records = graph.gfa_records(nodes, edges, sequenced).unionByName(graph.path_records(nodes, kinds)).join(kinds.drop("class"), ["seqid", "gene_uid"], "left")
+    tables = {"nodes": nodes, "edges": edges, "paths": graph.transcript_paths(nodes), "genes": genes, "gfa": records}
     return {name: written(table, folder, name) for name, table in tables.items()}
 
 
 def candidates(gaf: DataFrame, genes: DataFrame, folder: str, hits: DataFrame | None = None, params: FusionParams = DEFAULT) -> DataFrame:
-    """Pairs of genes that reads join, with enough reads, in clusters: read filter, routing, breakpoints, scores and groups.
+    """Pairs of genes that reads join, in clusters: read filter, routing, breakpoints, scores and groups.
 
-    hits: a second alignment of reads to genes, see ``reads.realigned``; without it no pair is taken out by it.
+    hits: a second alignment of reads to genes, see ``reads.realigned``, of which those to genes of pairs with enough reads count; without it
+    no pair is taken out by it. Pairs with too few reads stay until the report, unless params.strict_support: then those left after the second alignment need enough.
     """
     good, _ = text.gaf(gaf)
     gene = F.get(E.item_genes(F.get("items", 0)), 0)
-    rows = good.select("read_id", F.col("line_no").alias("ord"), gene.alias("gene"), F.get(F.split(F.get("items", 0), ":"), 0).alias("chrom"), F.substring("path", 1, 1).alias("sign"), "read_start", "read_end", "block_len", "mapq", "items")
-    grouped = reads.grouped(rows).where(~reads.overlapping(F.col("recs"), params.overlap_reject) & ~reads.alike(F.col("recs")))
+    rows = good.select("read_id", F.col("line_no").alias("ord"), gene.alias("gene"), F.get(F.split(F.get("items", 0), ":"), 0).alias("chrom"), F.substring("path", 1, 1).alias("sign"), "read_start", "read_end", "block_len", "mapq", "items", "read_len")
+    grouped = reads.grouped(rows).withColumn("read_len", F.get("recs", 0)["read_len"]).where(~reads.overlapping(F.col("recs"), params.overlap_reject) & ~reads.alike(F.col("recs")))
     if params.skip_chr_m:
         grouped = grouped.where(~F.exists("recs", lambda r: F.exists(r["items"], lambda i: i.startswith("chrM"))))
     pairs = reads.routed(grouped, genes, params)
     raw = lambda s: F.expr(f"concat({s}.sign, array_join({s}.items, {s}.sign))")
     named = [F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in ("up", "lo") for x in ("gene", "chrom", "sign", "items", "mapq", "read_start", "read_end")]
-    found = pairs.select("read_id", F.col("up.ord").alias("ord"), *named, raw("up").alias("up_raw"), raw("lo").alias("lo_raw"))
+    found = pairs.select("read_id", F.col("up.ord").alias("ord"), F.coalesce("read_length", "lo.read_end").alias("read_length"), *named, raw("up").alias("up_raw"), raw("lo").alias("lo_raw"))
     if hits is not None:
-        asked = found.select(F.col("ord").alias("id"), "read_id", "up_gene", "lo_gene", F.col("up_read_start").alias("up_start"), F.col("up_read_end").alias("up_end"), F.col("lo_read_start").alias("lo_start"), F.col("lo_read_end").alias("lo_end"), F.col("lo_read_end").alias("read_length"))
-        found = found.join(reads.realigned(asked, hits, params).select(F.col("id").alias("ord")), "ord", "left_semi")
+        asked = found.select(F.col("ord").alias("id"), "read_id", "up_gene", "lo_gene", F.col("up_read_start").alias("up_start"), F.col("up_read_end").alias("up_end"), F.col("lo_read_start").alias("lo_start"), F.col("lo_read_end").alias("lo_end"), "read_length")
+        enough = reads.supported(found, params.min_supporting_reads)
+        known = enough.select(F.explode(F.array("gene_a", "gene_b")).alias("gene")).distinct()
+        found = found.join(reads.realigned(asked, hits.join(known, "gene", "left_semi"), params).select(F.col("id").alias("ord")), "ord", "left_semi")
     found = found.select("read_id", "ord", *(f"{s}_{x}" for s in ("up", "lo") for x in ("gene", "chrom", "sign")), E.breakpoint("up_raw", True).alias("up_bp"), E.breakpoint("lo_raw", False).alias("lo_bp"), F.array_join(E.normal_path("up_raw"), ",").alias("up_path"), F.array_join(E.normal_path("lo_raw"), ",").alias("lo_path"), E.pair_score(F.col("up_mapq"), F.col("lo_mapq"), F.size("up_items"), F.size("lo_items")).alias("score"), F.col("up_read_end").alias("upper_end"), F.col("lo_read_start").alias("lower_start"))
     found = written(found.where("up_bp is not null and lo_bp is not null"), folder, "pairs")
-    enough = reads.supported(found, params.min_supporting_reads)
-    found = found.join(enough, (F.least("up_gene", "lo_gene") == enough["gene_a"]) & (F.greatest("up_gene", "lo_gene") == enough["gene_b"]), "left_semi")
+    if params.strict_support:
+        enough = reads.supported(found, params.min_supporting_reads)
+        found = found.join(enough, (F.least("up_gene", "lo_gene") == enough["gene_a"]) & (F.greatest("up_gene", "lo_gene") == enough["gene_b"]), "left_semi")
     return written(cluster.path_groups(cluster.leaders(found, params.bp_cluster_distance)), folder, "clustered")
 
 
