@@ -93,6 +93,15 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterat
             at = to
 
 
+def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of whole items of together at most ``most``; a larger item is a run of its own. offsets: n + 1, ascending."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours, with the length at the end."""
     if not len(keys):
