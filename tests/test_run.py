@@ -1,7 +1,8 @@
 """From lines of files to the report, on a worked example."""
 
-from pyspark.sql import functions as F
+import random
 
+from weftline.operators import graph
 from weftline.plans import run
 from weftline.sources import text
 
@@ -32,7 +33,20 @@ GAF = [
     ("r5", 100, 0, 60, ">chr1:GA:101-150", 50, 0, 50, 50),
     ("r5", 100, 45, 100, "<chr2:GB:351-400", 50, 0, 50, 50),
 ]
-GENOME = {"chr1": "".join("ACGT"[(i * i + i // 3) % 4] for i in range(1000)), "chr2": "".join("ACGT"[(i * 7 + i // 5) % 4] for i in range(1000))}
+PICK = random.Random(7)
+GENOME = {c: "".join(PICK.choices("ACGT", k=1000)) for c in ("chr1", "chr2")}
+
+
+def letters(chrom, start, end, back=False):
+    part = GENOME[chrom][start - 1 : end]
+    return part[::-1].translate(str.maketrans("ACGT", "TGCA")) if back else part
+
+
+#: The reads as their alignments say: forward exons of GA, then backward ones of GB.
+READS = {
+    "r1": letters("chr1", 101, 150) + letters("chr1", 201, 250) + letters("chr2", 351, 400, True) + letters("chr2", 201, 250, True),
+    "r2": letters("chr1", 101, 150) + letters("chr1", 201, 250) + letters("chr2", 351, 400, True),
+}
 
 
 def lines(spark, values):
@@ -47,9 +61,10 @@ def sam_line(name, flag, chrom, pos, mapq, cigar):
     return "\t".join(map(str, (name, flag, chrom, pos, mapq, cigar, "*", 0, 0, "*", "*")))
 
 
-def built(spark, folder):
-    fasta = [x for k, v in GENOME.items() for x in (f">{k} whole", *(v[i : i + 60] for i in range(0, len(v), 60)))]
-    return run.build_graph(lines(spark, [x.replace(" ", "\t") if not x.startswith("#") else x for x in GFF.split("\n")]), lines(spark, fasta), folder)
+def built(spark, folder, piece=64):
+    pieces = [(k, i + 1, v[i : i + piece]) for k, v in GENOME.items() for i in range(0, len(v), piece)]
+    gff = lines(spark, [x.replace(" ", "\t") if not x.startswith("#") else x for x in GFF.split("\n")])
+    return run.build_graph(gff, spark.createDataFrame(pieces, "seq_id string, at long, part string"), folder, piece)
 
 
 def test_graph(spark, tmp_path):
@@ -65,6 +80,17 @@ def test_graph(spark, tmp_path):
         assert seq == GENOME[chrom][a - 1 : b]
 
 
+def test_missing_sequences(spark, tmp_path):
+    """Exons of a sequence that the genome lacks, or beyond its end, have segments without letters."""
+    nodes = spark.createDataFrame([("chr1", 1, "GA", 10, 20), ("chrX", 1, "GX", 10, 20), ("chr1", 2, "GE", 995, 1200), ("chr1", 3, "GF", 1001, 1010)], "seqid string, gene_uid long, gene_name string, start long, end long")
+    pieces = spark.createDataFrame([("chr1", i + 1, GENOME["chr1"][i : i + 7]) for i in range(0, 1000, 7)], "seq_id string, at long, part string")
+    found = run.exon_sequences(nodes, pieces, 7)
+    got = {r.gene_uid: r.seq for r in found.where("seqid = 'chr1'").collect()}
+    assert got == {1: GENOME["chr1"][9:20], 2: GENOME["chr1"][994:]}
+    edges = spark.createDataFrame([], "seqid string, gene_uid long, from_start long, from_end long, to_start long, to_end long")
+    assert sorted(r.line.split("\t")[2] == "*" for r in graph.gfa_records(nodes, edges, found).collect()) == [False, False, True, True]
+
+
 def test_detect(spark, tmp_path):
     folder = f"file://{tmp_path}"
     genes = built(spark, folder)["genes"]
@@ -105,9 +131,8 @@ def test_detect(spark, tmp_path):
 def test_lines(spark):
     rows = lines(spark, ["##sequence-region a", "x", "##sequence-region b", "y"])
     assert [r.region_id for r in text.regions(rows).orderBy("line_no").collect()] == [1, 1, 2, 2]
-    assert [tuple(r) for r in text.fasta(lines(spark, [">a x", "AC", "G", ">b", "T"])).orderBy("seq_id").collect()] == [("a", "ACG"), ("b", "T")]
-    assert [tuple(r) for r in text.fastq(lines(spark, ["@a x", "AC", "+", "!!", "@b", "T", "+", "!"])).orderBy("seq_id").collect()] == [("a", "AC", "!!"), ("b", "T", "!")]
-    assert text.fasta(lines(spark, []).where(F.lit(False))).count() == 0
+    paf = ["\t".join(map(str, x)) for x in [("r", 200, 3, 90, "+", "chr1:GA:1-500", 500, 1, 88, 80, 87, 60, "tp:A:P"), ("r", 200, "x", 90, "+", "chr1:GA:1-500", 500, 1, 88, 80, 87, 60), ("short",)]]
+    assert [tuple(r) for r in text.paf(lines(spark, paf)).collect()] == [("r", "GA", 3, 90, 87, 0)]
 
 
 def test_support_and_read_length(spark, tmp_path):
@@ -143,15 +168,42 @@ def test_commands(spark, tmp_path):
 
     gff = [x.replace(" ", "\t") if not x.startswith("#") else x for x in GFF.split("\n")] + ["\t".join(["chr2", "T", k, "600", "650", ".", "+", ".", "gene_id=g3;gene_type=processed_pseudogene;gene_name=GP"]) for k in ("gene", "transcript", "exon")]
     genome = [x for k, v in GENOME.items() for x in (f">{k}", v)]
-    main(["graph", file("a.gff", gff), file("g.fa", genome), "-o", ref], spark)
+    genome_file = file("g.fa", genome)
+    main(["graph", file("a.gff", gff), genome_file, "-o", ref], spark)
     p = {r.line for r in spark.read.parquet(f"{ref}/gfa").where("kind = 'P'").collect()}
     assert p == {"P\tchr1_gene-GA_1\tchr1:GA:101-150,chr1:GA:201-250,chr1:GA:351-400", "P\tchr1_gene-GA_2\tchr1:GA:101-150,chr1:GA:351-400", "P\tchr2_gene-GB_1\tchr2:GB:101-150,chr2:GB:201-250,chr2:GB:351-400", "P\tchr2_pseu-GP_1\tchr2:GP:600-650"}
     counts = [spark.read.text(f"{ref}/{x}").count() for x in ("only_pc_gfa", "comprehensive_gfa")]
     assert counts == [11, 12]
-    main(["candidates", file("r.gaf", [gaf_line(*x) for x in GAF]), file("r.fa", [">r1", "A" * 100 + "C" * 100, ">r2", "A" * 100 + "C" * 50]), ref, "-o", out], spark)
-    names = [x[1:].removesuffix("_0_full") for r in spark.read.text(f"{out}/consensus_fasta").collect() for x in r.value.split("\n") if x.endswith("_full")]
+    text_rows = lambda folder: [r.value for r in spark.read.text(f"{folder}").collect()]
+    assert text_rows(f"{ref}/gene_pos")[:2] == ["Gene_Name\tStrand\tType\tStart\tEnd\tFexons\tBexons", "GA_chr1\t+\tprotein_coding\t101\t400\t101;201;351\t150;250;400"]
+    # r6 to r8 say what r1 says. r6's sequence has GA, and leaves as much as GB's part should have; the others have neither gene.
+    told = [gaf_line("r" + str(n), *x[1:]) for n in (6, 7, 8) for x in GAF[:2]]
+    false = {"r6": letters("chr1", 101, 150) + letters("chr1", 201, 250) + "".join(PICK.choices("ACGT", k=20)), "r7": "".join(PICK.choices("ACGT", k=200)), "r8": letters("chr2", 600, 800)}
+    odd = ["not a record", gaf_line("r9", 90, 0, 40, ">chr1:GA:101-150", 50, 0, 40, 40), gaf_line("r9", 90, 40, 90, ">chr5:GU:1-50", 50, 0, 50, 50)]
+    gaf = file("r.gaf", [gaf_line(*x) for x in GAF] + told + odd)
+    reads = file("r.fa", [x for n, seq in {**READS, **false}.items() for x in (f">{n} read", seq)])
+    main(["candidates", gaf, reads, ref, genome_file, "-o", out], spark)
+    assert sorted(r.read_id for r in spark.read.parquet(f"{out}/clustered").collect()) == ["r1", "r2", "r6"]
+    assert sorted(x.split("\n")[0] for x in text_rows(f"{out}/total_reference") if x.startswith(">")) == [">chr1:GA:1-500", ">chr2:GB:1-500"]
+    sequences = dict(x.split("-500") for x in "".join(text_rows(f"{out}/total_reference")).split(">")[1:])
+    assert sequences == {"chr1:GA:1": letters("chr1", 1, 500), "chr2:GB:1": letters("chr2", 1, 500)}
+    counts = {r.step: r.n for r in spark.read.parquet(f"{out}/counts").collect()}
+    assert counts == {"lines": 18, "records": 17, "reads of several records": 8, "reads of two genes": 6, "pairs": 5, "confirmed pairs": 3, "clustered pairs": 3, "rejected lines": 1, "records of unknown genes": 1}
+    assert [r.value for r in spark.read.parquet(f"{out}/rejected_lines").collect()] == ["not a record"]
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/unknown_genes").collect()] == [("GU", "chr5", 1)]
+
+    paf = file("r.paf", ["\t".join(map(str, (r, 200, a, b, "+", n, 500, 0, 100, 100, 100, 60))) for r in ("r1", "r8") for n, a, b in (("chr1:GA:1-500", 0, 100), ("chr2:GB:1-500", 103, 200))])
+    main(["candidates", gaf, reads, ref, genome_file, "-o", f"{out}/by_paf", "--hits", paf], spark)
+    assert sorted(r.read_id for r in spark.read.parquet(f"{out}/by_paf/clustered").collect()) == ["r1", "r8"]
+
+    names = [x[1:].removesuffix("_0_full") for x in text_rows(f"{out}/consensus_fasta") if x.endswith("_full")]
     upper = [gaf_line(f"{n}_0_upper", 100, 0, 100, ">chr1:GA:101-150>chr1:GA:201-250", 100, 0, 100, 100) for n in names]
     lower = [gaf_line(f"{n}_0_lower", 50, 0, 50, "<chr2:GB:351-400", 50, 0, 50, 50) for n in names]
     sam = [sam_line(f"{n}_0_full", f, *at) for n in names for f, at in ((0, ("chr1", 101, 60, "50M50N50M50S")), (2064, ("chr2", 351, 60, "50M100S")))]
-    main(["detect", file("c.gaf", upper + lower), file("c.sam", sam), ref, file("lib", ["GA--GZ\t[\"BodyMap\"]\tx"]), "-o", out], spark)
-    assert [(r.gene1, r.gene2, r.rank_class) for r in spark.read.option("sep", "\t").option("header", True).csv(f"{out}/report").collect()] == [("GA", "GB", "flag = 5: High Confidence Fusion")]
+    detect = ["detect", file("c.gaf", upper + lower), file("c.sam", sam), ref, "-o", out]
+    head = "#gene1 name\tgene2 name\tbreak points\tgene1 position\tgene2 position\tsupport num\trank class\tsupporting reads information"
+    row = "GA\tGB\tchr1:250; chr2:400\tchr1>: 101, 400\tchr2<: 101, 400\t3\tflag = {}\tr1;r2;r6"
+    main(detect, spark)
+    assert text_rows(f"{out}/report") == [head, row.format("5: High Confidence Fusion")]
+    main([*detect, "--library", file("lib", ["GA--GB\t[\"BodyMap\"]\tx"])], spark)
+    assert text_rows(f"{out}/report") == [head, row.format("2: Potential Artifacts / Read-through")]

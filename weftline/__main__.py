@@ -1,9 +1,12 @@
-"""The commands: graph, candidates and detect. Aligners are not called; their output files are inputs.
+"""The commands: graph, candidates and detect. External aligners are not called; their output files are inputs.
 
 python -m weftline graph GFF GENOME -o REF
-python -m weftline candidates READS_GAF READS REF -o OUT    writes OUT/clustered and, to be aligned, OUT/consensus_fasta
-python -m weftline detect CONSENSUS_GAF CONSENSUS_SAM REF LIBRARY -o OUT    reads OUT/clustered, writes OUT/report
-Paths are Spark's; on a cluster all executors must share them.
+python -m weftline candidates READS_GAF READS REF GENOME -o OUT    writes OUT/clustered and, to be aligned, OUT/consensus_fasta
+python -m weftline detect CONSENSUS_GAF CONSENSUS_SAM REF -o OUT [--library LIBRARY]    reads OUT/clustered, writes OUT/report
+Paths are Spark's; on a cluster all executors must share them. GENOME and READS are opened by pyarrow.
+
+candidates aligns the reads of possible fusions once more, to their genes' sequences, which it writes to OUT/total_reference: with an aligner of
+its own, or, with --hits PAF, taking what another aligner found there.
 """
 
 from __future__ import annotations
@@ -12,9 +15,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .operators import report
 from .params import FusionParams
 from .plans import run
-from .sources import text
+from .sources import sequence_files, text
 
 #: Option letters, their parameter and what it says.
 OPTIONS = [
@@ -39,7 +43,7 @@ def flag(value: str) -> bool:
 def parser() -> argparse.ArgumentParser:
     out, default = argparse.ArgumentParser(prog="weftline"), FusionParams()
     commands = out.add_subparsers(dest="command", required=True)
-    for name, files, folder in (("graph", ["gff", "genome"], "./graph_ref"), ("candidates", ["gaf", "reads", "ref"], "./result"), ("detect", ["gaf", "sam", "ref", "library"], "./result")):
+    for name, files, folder in (("graph", ["gff", "genome"], "./graph_ref"), ("candidates", ["gaf", "reads", "ref", "genome"], "./result"), ("detect", ["gaf", "sam", "ref"], "./result")):
         c = commands.add_parser(name)
         for f in files:
             c.add_argument(f)
@@ -49,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(letter, f"--{field}", type=flag if isinstance(value, bool) else int, default=value, help=f"{says} (default {value})")
         if name != "graph":
             c.add_argument("--strict_support", action="store_true", help="also drop pairs with too few reads before they are clustered")
+    commands.choices["candidates"].add_argument("--hits", help="alignments of the reads to OUT/total_reference, in PAF, in place of the own second alignment")
+    commands.choices["detect"].add_argument("--library", help="pairs of genes with their tags; without it no pair is known to be normal")
     return out
 
 
@@ -57,20 +63,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("weftline").getOrCreate()
     folder, lines = args.output_dir.rstrip("/"), lambda path: text.lines(spark, path)
     if args.command == "graph":
-        gfa = run.build_graph(lines(args.gff), lines(args.genome), folder)["gfa"]
-        for name, rows in (("only_pc_gfa", gfa.where("is_pc")), ("comprehensive_gfa", gfa)):
+        index = f"{folder}/genome_index"
+        sequence_files.write_index(spark, args.genome, index)
+        made = run.build_graph(lines(args.gff), sequence_files.fasta_pieces(spark, args.genome, index), folder)
+        for name, rows in (("only_pc_gfa", made["gfa"].where("is_pc")), ("comprehensive_gfa", made["gfa"])):
             rows.where("kind <> 'P'").orderBy("seqid", "gene_uid", "line").select("line").write.mode("overwrite").text(f"{folder}/{name}")
+        text.gene_lines(made["genes"]).write.mode("overwrite").text(f"{folder}/gene_pos")
         return
     params = FusionParams(strict_support=args.strict_support, **{field: getattr(args, field) for _, field, _ in OPTIONS})
-    genes = spark.read.parquet(f"{args.ref.rstrip('/')}/genes")
+    ref = args.ref.rstrip("/")
+    genes = text.gene_table(spark, f"{ref}/gene_pos")
     if args.command == "candidates":
-        found = run.candidates(lines(args.gaf), genes, folder, params=params)
-        sequences = text.fastq(lines(args.reads)).drop("qual") if text.file_type(args.reads) == "fastq" else text.fasta(lines(args.reads))
+        sequences = sequence_files.reads(spark, args.reads)
+        pieces = sequence_files.fasta_pieces(spark, args.genome, f"{ref}/genome_index")
+        hits = text.paf(lines(args.hits)) if args.hits else run.second_alignment(sequences, pieces, genes, folder, params)
+        found = run.candidates(lines(args.gaf), genes, folder, hits, params)
         run.consensus_fasta(found, sequences, params).write.mode("overwrite").text(f"{folder}/consensus_fasta")
     else:
-        library = text.annotation_library(lines(args.library))
+        library = text.annotation_library(lines(args.library)) if args.library else None
         rows = run.detect(spark.read.parquet(f"{folder}/clustered"), genes, library, lines(args.gaf), lines(args.sam), folder, params)
-        rows.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/report")
+        report.report_lines(rows).write.mode("overwrite").text(f"{folder}/report")
 
 
 if __name__ == "__main__":

@@ -54,11 +54,11 @@ def near_side(side: str, window: int):
 
 
 def leveled(candidates: DataFrame, graph_hits: DataFrame, genome_hits: DataFrame, genes: DataFrame, library: DataFrame, params: FusionParams = DEFAULT) -> DataFrame:
-    """The candidates with their level (null or 1: rejected) and refined breakpoints. Candidates with genes that are not in the table have none."""
+    """The candidates with their level (null or 1: rejected) and refined breakpoints. Genes that are not in the table start and end at 0 and match nothing."""
     rows = candidates
     ranges = F.struct("start", "end", "strand", "type", "f_exons", "b_exons")
     for s in SIDES:
-        rows = rows.join(genes.select(F.col("gene").alias(f"{s}_gene"), F.col("chrom").alias(f"{s}_chrom"), ranges.alias(f"{s}_g")), [f"{s}_gene", f"{s}_chrom"])
+        rows = rows.join(genes.select(F.col("gene").alias(f"{s}_gene"), F.col("chrom").alias(f"{s}_chrom"), ranges.alias(f"{s}_g")), [f"{s}_gene", f"{s}_chrom"], "left")
     rows = rows.join(genes_between(rows, genes), "ord", "left")
     rows = rows.join(first_graph_hits(graph_hits).withColumnRenamed("id", "ord"), "ord", "left").join(genome_hits_of(genome_hits).withColumnRenamed("id", "ord"), "ord", "left")
     for s in SIDES:
@@ -82,10 +82,10 @@ def leveled(candidates: DataFrame, graph_hits: DataFrame, genome_hits: DataFrame
     exact = F.lit(True)
     for s in SIDES:
         exact = exact & E.near(final[s], c(f"{s}_genome"), params.exon_boundary_distance)
-    coding = (c("up_g.type") == "protein_coding") & (c("lo_g.type") == "protein_coding")
+    coding = F.coalesce((c("up_g.type") == "protein_coding") & (c("lo_g.type") == "protein_coding"), F.lit(False))
     normal = F.coalesce(c("state") == "NORMAL_FUSION", F.lit(False))
     value = report.level(c("m"), c("g"), F.lit(True), graphed, mapped, normal, exact, c("up_chrom") == c("lo_chrom"), F.abs(final["up"] - final["lo"]), F.coalesce(c("other_between"), F.lit(False)), c("other_between").isNotNull(), coding, params)
-    place = [c(f"{s}_g")[x].alias(f"{s}_{x}") for s in SIDES for x in ("start", "end")]
+    place = [F.coalesce(c(f"{s}_g")[x], F.lit(0)).alias(f"{s}_{x}") for s in SIDES for x in ("start", "end")]
     return rows.select("ord", *(c(f"{s}_{x}") for s in SIDES for x in ("gene", "chrom", "sign")), final["up"].alias("up_bp"), final["lo"].alias("lo_bp"), *place, value.alias("level"), "reads")
 
 

@@ -39,7 +39,7 @@ def alike(recs: Column) -> Column:
     """All records share a gene, or every two main genes have similar names."""
     sets = F.transform(recs, lambda r: F.array_distinct(F.flatten(F.transform(r["items"], E.item_genes))))
     common = F.aggregate(F.slice(sets, 2, F.greatest(F.size(sets), F.lit(1))), F.get(sets, 0), F.array_intersect)
-    return (F.size(common) > 0) | ~pairs_of(recs, lambda a, b: ~E.similar_genes(a["gene"], b["gene"]))
+    return (F.size(common) > 0) | ~pairs_of(recs, lambda a, b: ~F.coalesce(E.similar_genes(a["gene"], b["gene"]), F.lit(False)))
 
 
 def merged(recs: Column, floor: int = DEFAULT.merge_gap_floor) -> Column:
@@ -97,14 +97,15 @@ def truncation(m: Column) -> Column:
 def realigned(pairs: DataFrame, hits: DataFrame, params: FusionParams = DEFAULT) -> DataFrame:
     """The pairs that a second alignment of their reads confirms, with how many of the two genes it hit.
 
-    pairs: id, read_id, up_gene, lo_gene, up_start, up_end, lo_start, lo_end, read_length, places on the read; hits: read_id, gene, q_st, q_en,
-    blen, ord. With hits of both genes, the gap from the last end in the upper to the first start in the lower must be small. With
+    pairs: id, read_id, up_gene, lo_gene, up_start, up_end, lo_start, lo_end, read_length, places on the read; hits: id, if each pair has its
+    own, else read_id, gene, q_st, q_en, blen, ord. With hits of both genes, the gap from the last end in the upper to the first start in the lower must be small. With
     hits of one gene, the pair's own gap must be, and the longest hit must leave a clip about as long as the other gene's part. Hits of other genes don't matter.
     """
     upper, lower = F.col("gene") == F.col("up_gene"), F.col("gene") == F.col("lo_gene")
     best = F.max_by(F.struct("gene", "q_st", "q_en"), F.struct("blen", -F.col("ord")))
     own = ["id", "read_id", "up_gene", "lo_gene", "up_start", "up_end", "lo_start", "lo_end", "read_length"]
-    found = pairs.join(hits, "read_id").where(upper | lower).groupBy(*own).agg(F.max(F.when(upper, F.col("q_en"))).alias("e"), F.min(F.when(lower, F.col("q_st"))).alias("s"), best.alias("b"))
+    key = "id" if "id" in hits.columns else "read_id"
+    found = pairs.join(hits.select(key, "gene", "q_st", "q_en", "blen", "ord"), key).where(upper | lower).groupBy(*own).agg(F.max(F.when(upper, F.col("q_en"))).alias("e"), F.min(F.when(lower, F.col("q_st"))).alias("s"), best.alias("b"))
     both = F.col("e").isNotNull() & F.col("s").isNotNull()
     two = (F.col("s") - F.col("e")).between(params.min_gap, params.max_gap_two_alignments)
     on_upper = F.col("b.gene") == F.col("up_gene")

@@ -92,9 +92,15 @@ def report(rows: DataFrame, least: int = DEFAULT.min_supporting_reads) -> DataFr
     return rows.where(F.size("reads") >= least).select(F.col("up_gene").alias("gene1"), F.col("lo_gene").alias("gene2"), point.alias("break_points"), region("up").alias("region1"), region("lo").alias("region2"), F.size("reads").cast("bigint").alias("support_num"), flag.alias("rank_class"), reads.alias("supporting_reads"))
 
 
+#: The names of the report's fields in its first line.
+HEADER = ["#gene1 name", "gene2 name", "break points", "gene1 position", "gene2 position", "support num", "rank class", "supporting reads information"]
+
+
 def report_lines(reported: DataFrame) -> DataFrame:
-    """value: the report's lines, its fields joined by tabs, as a text sink takes them."""
-    return reported.select(F.concat_ws("\t", *reported.columns).alias("value"))
+    """value: the report's first line and its rows, fields joined by tabs, in one part in that order, as a text sink takes them."""
+    head = reported.sparkSession.createDataFrame([(0, "\t".join(HEADER))], "nth int, value string")
+    rows = reported.select(F.lit(1).alias("nth"), F.concat_ws("\t", *reported.columns).alias("value"))
+    return head.unionByName(rows).coalesce(1).sortWithinPartitions("nth", "value").select("value")
 
 
 def scored(fusions: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:

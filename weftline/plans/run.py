@@ -1,22 +1,25 @@
 """The two commands as functions: the graph's tables from an annotation and a genome, and fusions from alignments.
 
-Aligners are not called: ``candidates`` takes the reads' alignments to the graph; ``detect`` also takes those of the consensus
-sequences that ``consensus_fasta`` writes, to the graph and to the genome. All inputs are DataFrames of (line_no, value), see ``text.lines``.
-folder is one that all executors share: the steps' tables are written there, so plans stay small and lost executors cost little.
+External aligners are not called: ``candidates`` takes the reads' alignments to the graph; ``detect`` also takes those of the consensus
+sequences that ``consensus_fasta`` writes, to the graph and to the genome. Alignments and annotations are DataFrames of (line_no, value), see
+``text.lines``; the genome comes in pieces, see ``sequence_files.fasta_pieces``. folder is one that all executors share: the steps' tables are
+written there, so plans stay small and lost executors cost little.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import cluster, consensus, evidence, graph, reads, report
+from ..operators import chains, cluster, consensus, evidence, graph, reads, regions, report
 from ..params import FusionParams
 from ..sources import text
+from ..sources.sequence_files import PIECE
 
 DEFAULT = FusionParams()
-BIN = 16_384
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -33,24 +36,38 @@ def annotation_rows(lines: DataFrame) -> DataFrame:
     return graph.placed(rows.select("line_no", "seqid", "type", "start", "end", "strand", F.coalesce(name("gene_name"), "gene_id").alias("gene_name"), F.coalesce(name("gene_type"), F.lit("gene")).alias("gene_type")))
 
 
-def exon_sequences(nodes: DataFrame, fasta: DataFrame) -> DataFrame:
-    """(seqid, gene_uid, start, end, seq) of exon ranges, from the genome's lines that they touch: an equi-join by bins of BIN bases."""
-    lines = text.fasta_lines(fasta).withColumn("last", F.col("at") + F.length("part") - 1)
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN)))
-    binned = lines.withColumn("bin", bins("at", "last"))
-    want = nodes.select("seqid", "gene_uid", "start", "end").distinct().withColumn("bin", bins("start", "end"))
-    j = want.join(binned, (want["seqid"] == binned["seq_id"]) & (want["bin"] == binned["bin"])).where("at <= end and last >= start")
-    # A line and an exon may share several bins: each place counts once.
-    parts = j.select("seqid", "gene_uid", "start", "end", "at", F.expr("substring(part, cast(greatest(start - at + 1, 1) as int), cast(least(end, last) - greatest(start, at) + 1 as int))").alias("part")).distinct()
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy("seqid", "gene_uid", "start", "end").agg(whole.alias("seq"))
+class Counts:
+    """Numbers of rows seen on the way, observed while the tables are written; ``table`` is a row a step, in the order of the steps."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+        self.known: dict[str, int] = {}
+
+    def of(self, name: str, rows: DataFrame) -> DataFrame:
+        self.seen[name] = Observation(name)
+        return rows.observe(self.seen[name], F.count(F.lit(1)).alias("n"))
+
+    def __getitem__(self, name: str) -> int:
+        """Known after the first action on what ``of`` gave."""
+        return self.known[name] if name in self.known else self.seen[name].get["n"]
+
+    def written(self, like: DataFrame, folder: str) -> None:
+        rows = [(i, name, self[name]) for i, name in enumerate([*self.seen, *self.known])]
+        written(like.sparkSession.createDataFrame(rows, "nth int, step string, n long").coalesce(1), folder, "counts")
+
+
+def exon_sequences(nodes: DataFrame, pieces: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(seqid, gene_uid, start, end, seq) of exon ranges; a range without a letter of the genome has no row."""
+    want = nodes.select("seqid", "gene_uid", "start", "end").distinct()
+    found = regions.cut(want.select(F.col("seqid").alias("seq_id"), F.col("start").alias("from"), F.col("end").alias("to")), pieces, piece)
+    return want.join(found.withColumnsRenamed({"seq_id": "seqid", "from": "start", "to": "end"}), ["seqid", "start", "end"]).select("seqid", "gene_uid", "start", "end", "seq")
 
 
-def build_graph(gff: DataFrame, fasta: DataFrame, folder: str) -> dict[str, DataFrame]:
+def build_graph(gff: DataFrame, pieces: DataFrame, folder: str, piece: int = PIECE) -> dict[str, DataFrame]:
     """nodes, edges, paths, genes (as ``text.gene_table`` gives them) and gfa, the S, L and P lines with is_pc."""
     rows = written(annotation_rows(gff), folder, "annotation")
     nodes, edges = graph.exon_nodes(rows), graph.exon_edges(rows)
-    sequenced = exon_sequences(nodes, fasta)
+    sequenced = exon_sequences(nodes, pieces, piece)
     bounds = lambda x: F.transform(F.filter(F.split(x, ";"), lambda v: v != ""), lambda v: v.cast("bigint")).alias(x)
     genes = graph.gene_positions(rows).select(F.col("gene_name").alias("gene"), "chrom", "strand", F.col("gene_type").alias("type"), "start", "end", bounds("f_exons"), bounds("b_exons"))
     kinds = graph.classes(rows)
@@ -59,33 +76,69 @@ def build_graph(gff: DataFrame, fasta: DataFrame, folder: str) -> dict[str, Data
     return {name: written(table, folder, name) for name, table in tables.items()}
 
 
-def candidates(gaf: DataFrame, genes: DataFrame, folder: str, hits: DataFrame | None = None, params: FusionParams = DEFAULT) -> DataFrame:
+def second_alignment(sequences: DataFrame, pieces: DataFrame, genes: DataFrame, folder: str, params: FusionParams = DEFAULT, piece: int = PIECE) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """What ``candidates`` takes as hits: it aligns the reads of pairs to the flanked sequences of their genes, by ``chains.align``.
+
+    sequences: seq_id, seq of the reads. The genes' sequences are written to the folder, as the table gene_sequences and as FASTA, total_reference.
+    """
+
+    def hits(asked: DataFrame, known: DataFrame) -> DataFrame:
+        own = regions.gene_regions(genes.join(known, "gene", "left_semi"), params.gene_extension)
+        made = written(regions.region_sequences(own, pieces, piece), folder, "gene_sequences")
+        regions.fasta(made).write.mode("overwrite").text(f"{folder.rstrip('/')}/total_reference")
+        sides = asked.select("id", "read_id", "read_length", F.explode(F.array("up_gene", "lo_gene")).alias("gene"))
+        want = sides.join(made.select("gene", F.col("header").alias("ref_id")), "gene")
+        wanted = sequences.select(F.col("seq_id").alias("read_id"), "seq").join(asked.select("read_id").distinct(), "read_id", "left_semi")
+        found = chains.align(wanted, made.select(F.col("header").alias("ref_id"), "seq"), want.select("id", "read_id", "ref_id", "read_length"))
+        return found.join(made.select("gene", F.col("header").alias("ref_id")), "ref_id").select("id", "gene", "q_st", "q_en", "blen", "ord")
+
+    return hits
+
+
+def candidates(gaf: DataFrame, genes: DataFrame, folder: str, hits: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None, params: FusionParams = DEFAULT) -> DataFrame:
     """Pairs of genes that reads join, in clusters: read filter, routing, breakpoints, scores and groups.
 
-    hits: a second alignment of reads to genes, see ``reads.realigned``, of which those to genes of pairs with enough reads count; without it
-    no pair is taken out by it. Pairs with too few reads stay until the report, unless params.strict_support: then those left after the second alignment need enough.
+    hits: a second alignment of reads to genes, see ``reads.realigned``, of which those to genes of pairs with enough reads count, or a function that
+    makes it from the pairs' reads and those genes, see ``second_alignment``; without it no pair is taken out by it. Pairs with too few reads stay until the report,
+    unless params.strict_support: then those left after the second alignment need enough.
+
+    Written besides: rejected_lines, unknown_genes (gene, chrom, records in reads of two genes; pairs with
+    them are lost, as nothing is known of their strand) and counts.
     """
-    good, _ = text.gaf(gaf)
+    counts = Counts()
+    good, bad = text.gaf(counts.of("lines", gaf))
     gene = F.get(E.item_genes(F.get("items", 0)), 0)
     rows = good.select("read_id", F.col("line_no").alias("ord"), gene.alias("gene"), F.get(F.split(F.get("items", 0), ":"), 0).alias("chrom"), F.substring("path", 1, 1).alias("sign"), "read_start", "read_end", "block_len", "mapq", "items", "read_len")
-    grouped = reads.grouped(rows).withColumn("read_len", F.get("recs", 0)["read_len"]).where(~reads.overlapping(F.col("recs"), params.overlap_reject) & ~reads.alike(F.col("recs")))
+    several = counts.of("reads of several records", reads.grouped(counts.of("records", rows)))
+    fine = several.withColumn("read_len", F.get("recs", 0)["read_len"]).where(~reads.overlapping(F.col("recs"), params.overlap_reject) & ~reads.alike(F.col("recs")))
     if params.skip_chr_m:
-        grouped = grouped.where(~F.exists("recs", lambda r: F.exists(r["items"], lambda i: i.startswith("chrM"))))
-    pairs = reads.routed(grouped, genes, params)
+        fine = fine.where(~F.exists("recs", lambda r: F.get(r["items"], 0).startswith("chrM")))
+    fine = written(counts.of("reads of two genes", fine), folder, "split_reads")
+    pairs = reads.routed(fine, genes, params)
     raw = lambda s: F.expr(f"concat({s}.sign, array_join({s}.items, {s}.sign))")
     named = [F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in ("up", "lo") for x in ("gene", "chrom", "sign", "items", "mapq", "read_start", "read_end")]
     found = pairs.select("read_id", F.col("up.ord").alias("ord"), F.coalesce("read_length", "lo.read_end").alias("read_length"), *named, raw("up").alias("up_raw"), raw("lo").alias("lo_raw"))
+    found = written(counts.of("pairs", found), folder, "routed")
     if hits is not None:
         asked = found.select(F.col("ord").alias("id"), "read_id", "up_gene", "lo_gene", F.col("up_read_start").alias("up_start"), F.col("up_read_end").alias("up_end"), F.col("lo_read_start").alias("lo_start"), F.col("lo_read_end").alias("lo_end"), "read_length")
         enough = reads.supported(found, params.min_supporting_reads)
-        known = enough.select(F.explode(F.array("gene_a", "gene_b")).alias("gene")).distinct()
-        found = found.join(reads.realigned(asked, hits.join(known, "gene", "left_semi"), params).select(F.col("id").alias("ord")), "ord", "left_semi")
+        known = written(enough.select(F.explode(F.array("gene_a", "gene_b")).alias("gene")).distinct(), folder, "known_genes")
+        aligned = hits(asked, known) if callable(hits) else hits.join(known, "gene", "left_semi")
+        found = found.join(reads.realigned(asked, aligned, params).select(F.col("id").alias("ord")), "ord", "left_semi")
     found = found.select("read_id", "ord", *(f"{s}_{x}" for s in ("up", "lo") for x in ("gene", "chrom", "sign")), E.breakpoint("up_raw", True).alias("up_bp"), E.breakpoint("lo_raw", False).alias("lo_bp"), F.array_join(E.normal_path("up_raw"), ",").alias("up_path"), F.array_join(E.normal_path("lo_raw"), ",").alias("lo_path"), E.pair_score(F.col("up_mapq"), F.col("lo_mapq"), F.size("up_items"), F.size("lo_items")).alias("score"), F.col("up_read_end").alias("upper_end"), F.col("lo_read_start").alias("lower_start"))
-    found = written(found.where("up_bp is not null and lo_bp is not null"), folder, "pairs")
+    found = written(counts.of("confirmed pairs", found.where("up_bp is not null and lo_bp is not null")), folder, "pairs")
     if params.strict_support:
         enough = reads.supported(found, params.min_supporting_reads)
         found = found.join(enough, (F.least("up_gene", "lo_gene") == enough["gene_a"]) & (F.greatest("up_gene", "lo_gene") == enough["gene_b"]), "left_semi")
-    return written(cluster.path_groups(cluster.leaders(found, params.bp_cluster_distance)), folder, "clustered")
+    out = written(counts.of("clustered pairs", cluster.path_groups(cluster.leaders(found, params.bp_cluster_distance))), folder, "clustered")
+    counts.known["rejected lines"] = counts["lines"] - counts["records"]
+    # What was rejected is looked for only where there is any: it takes another pass over the lines.
+    written(bad if counts.known["rejected lines"] else bad.limit(0), folder, "rejected_lines")
+    seen = fine.select(F.explode("recs").alias("r")).groupBy("r.gene", "r.chrom").agg(F.count("*").alias("records"))
+    unknown = seen.join(genes, ["gene", "chrom"], "left_anti")
+    counts.known["records of unknown genes"] = written(unknown, folder, "unknown_genes").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    counts.written(gaf, folder)
+    return out
 
 
 def fusion_candidates(clustered: DataFrame) -> DataFrame:
@@ -116,8 +169,10 @@ def hit_names(rows: DataFrame, query: str, kinds: list[str], fusions: DataFrame)
     return tagged.join(fusions.select("name", F.col("ord").alias("id")), "name").drop("name")
 
 
-def detect(clustered: DataFrame, genes: DataFrame, library: DataFrame, second_gaf: DataFrame, second_sam: DataFrame, folder: str, params: FusionParams = DEFAULT) -> DataFrame:
-    """The report's rows from clustered candidates and the alignments of their consensus sequences."""
+def detect(clustered: DataFrame, genes: DataFrame, library: DataFrame | None, second_gaf: DataFrame, second_sam: DataFrame, folder: str, params: FusionParams = DEFAULT) -> DataFrame:
+    """The report's rows from clustered candidates and the alignments of their consensus sequences. Without a library no pair is known to be normal."""
+    if library is None:
+        library = clustered.sparkSession.createDataFrame([], "left_gene string, right_gene string, tags array<string>")
     fusions = written(fusion_candidates(clustered), folder, "fusions")
     on_graph = hit_names(text.gaf(second_gaf)[0], "read_id", ["upper", "lower"], fusions)
     on_genome = hit_names(text.sam(second_sam), "query", ["full"], fusions)

@@ -9,6 +9,8 @@ from ..functions import expr as E
 from ..functions import ordered
 
 GAF_FIELDS = ["read_id string", "read_len bigint", "read_start bigint", "read_end bigint", "strand string", "path string", "ref_len bigint", "ref_start bigint", "ref_end bigint", "matches bigint", "block_len bigint", "mapq bigint"]
+#: The names of a gene table's fields in its first line.
+GENE_FIELDS = ["Gene_Name", "Strand", "Type", "Start", "End", "Fexons", "Bexons"]
 SAM_FIELDS = ["query string", "flag bigint", "chrom string", "start bigint", "mapq bigint", "cigar string"]
 
 
@@ -59,34 +61,6 @@ def sam_tags(fields):
     return F.map_from_entries(F.transform(found, lambda x: F.struct(F.regexp_extract(x, "^([^:]*):", 1).alias("key"), F.regexp_extract(x, "^[^:]*:[^:]*:(.*)$", 1).alias("value"))))
 
 
-def fasta(rows: DataFrame) -> DataFrame:
-    """(seq_id, seq) of (line_no, value); joins a sequence's lines in file order. For reads; ``fasta_lines`` serves whole chromosomes."""
-    head = F.col("value").startswith(">")
-    placed = ordered.running_total(rows, "line_no", head.cast("int"), "record")
-    return placed.where("record > 0").groupBy("record").agg(F.max(F.when(head, F.regexp_extract("value", r"^>(\S+)", 1))).alias("seq_id"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "value")))), lambda x: x["value"]), "").alias("seq")).select("seq_id", "seq")
-
-
-def fasta_lines(rows: DataFrame) -> DataFrame:
-    """(seq_id, at, part): the lines of (line_no, value) with the 1-based place of their first character; no sequence is ever one value."""
-    head = F.col("value").startswith(">")
-    placed = ordered.running_total(rows, "line_no", head.cast("int"), "record").where("record > 0")
-    placed = ordered.running_total(placed, "line_no", F.when(head, 0).otherwise(F.length("value")).cast("bigint"), "end")
-    heads = placed.where(head).select("record", F.regexp_extract("value", r"^>(\S+)", 1).alias("seq_id"), F.col("end").alias("base"))
-    return placed.where(~head & (F.length("value") > 0)).join(heads, "record").select("seq_id", (F.col("end") - F.length("value") + 1 - F.col("base")).alias("at"), F.col("value").alias("part"))
-
-
-def fastq(rows: DataFrame) -> DataFrame:
-    """(seq_id, seq, qual) of records of four lines."""
-    n = F.col("n") - 1
-    placed = ordered.running_total(rows, "line_no", F.lit(1), "n").select((n / 4).cast("bigint").alias("record"), (n % 4).alias("k"), "value")
-    one = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    return placed.groupBy("record").agg(F.regexp_extract(one(0), r"^@(\S+)", 1).alias("seq_id"), one(1).alias("seq"), one(3).alias("qual")).select("seq_id", "seq", "qual")
-
-
-def file_type(path: str) -> str:
-    return "fastq" if path.lower().endswith((".fq", ".fastq")) else "fasta"
-
-
 def gene_table(spark: SparkSession, path: str) -> DataFrame:
     """The written gene table: key gene_chrom is split at the first and the last underscore; boundaries keep their order."""
     raw = spark.read.option("sep", "\t").option("header", True).csv(path, schema="key string, strand string, type string, start bigint, end bigint, f_exons string, b_exons string")
@@ -94,6 +68,22 @@ def gene_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("key", "^([^_]*)", 1).alias("gene"), F.regexp_extract("key", "([^_]*)$", 1).alias("chrom"), "strand", "type", "start", "end", exons("f_exons").alias("f_exons"), exons("b_exons").alias("b_exons"))
 
 
+def gene_lines(genes: DataFrame) -> DataFrame:
+    """value: the lines of a gene table that ``gene_table`` reads, in one part, the names of the fields first."""
+    join = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ";")
+    rows = genes.select(F.lit(1).alias("nth"), F.concat_ws("\t", F.concat_ws("_", "gene", "chrom"), "strand", "type", F.col("start").cast("string"), F.col("end").cast("string"), join("f_exons"), join("b_exons")).alias("value"))
+    head = genes.sparkSession.createDataFrame([(0, "\t".join(GENE_FIELDS))], "nth int, value string")
+    return head.unionByName(rows).coalesce(1).sortWithinPartitions("nth", "value").select("value")
+
+
+def paf(rows: DataFrame) -> DataFrame:
+    """(read_id, gene, q_st, q_en, blen, ord) of alignments, in PAF, of reads to sequences named chrom:gene:start-end; other lines are left out."""
+    f = rows.select("line_no", F.split("value", "\t").alias("f")).where(F.size("f") >= 12)
+    number = lambda i: F.get("f", F.lit(i)).try_cast("bigint")
+    out = f.select(F.get("f", 0).alias("read_id"), F.get(F.split(F.get("f", 5), ":"), 1).alias("gene"), number(2).alias("q_st"), number(3).alias("q_en"), number(10).alias("blen"), F.col("line_no").alias("ord"))
+    return out.where("gene is not null and q_st is not null and q_en is not null and blen is not null")
+
+
 def annotation_library(rows: DataFrame) -> DataFrame:
     """(left_gene, right_gene, tags) of three-field lines with '--'; '.' means no tags, the last of a repeated pair wins."""
     f = rows.select("line_no", F.split(F.trim("value"), "\t").alias("f")).where((F.size("f") == 3) & F.get("f", 0).contains("--"))
