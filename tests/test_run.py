@@ -104,7 +104,7 @@ def test_detect(spark, tmp_path):
     assert sorted(names) == ["GA_GB_group0_path0", "GA_GB_group0_path1"]
 
     seqs = spark.createDataFrame([("r1", "A" * 100 + "C" * 100), ("r2", "A" * 100 + "C" * 50)], "seq_id string, seq string")
-    fasta = dict(r.value[1:].split("\n") for r in run.consensus_fasta(found, seqs).collect())
+    fasta = dict(r.value[1:].split("\n") for r in run.consensus_fasta(found, seqs, folder).collect())
     assert fasta["GA_GB_group0_path0_0_upper"] == "A" * 100 and fasta["GA_GB_group0_path1_0_full"] == "A" * 100 + "C" * 50
 
     upper = [gaf_line(f"{n}_0_upper", 100, 0, 100, ">chr1:GA:101-150>chr1:GA:201-250", 100, 0, 100, 100) for n in names]

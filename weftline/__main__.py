@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         pieces = sequence_files.fasta_pieces(spark, args.genome, f"{ref}/genome_index")
         hits = text.paf(lines(args.hits)) if args.hits else run.second_alignment(sequences, pieces, genes, folder, params)
         found = run.candidates(lines(args.gaf), genes, folder, hits, params)
-        run.consensus_fasta(found, sequences, params).write.mode("overwrite").text(f"{folder}/consensus_fasta")
+        run.consensus_fasta(found, sequences, folder, params).write.mode("overwrite").text(f"{folder}/consensus_fasta")
     else:
         library = text.annotation_library(lines(args.library)) if args.library else None
         rows = run.detect(spark.read.parquet(f"{folder}/clustered"), genes, library, lines(args.gaf), lines(args.sam), folder, params)

@@ -1,110 +1,204 @@
-"""Consensus of each candidate's sequences, and a minimiser aligner for use without external tools."""
+"""Consensus of each candidate's sequences by votes on a draft.
+
+The draft is a candidate's sequence of median length. Every sequence is aligned to it from end to end, in a band, and votes on each letter
+of the draft (its own letter, or none) and on what stands behind it. Votes are counted a batch at a time and added, so a candidate with any number of
+sequences can be spread over many tasks. The winning letters are the draft of the next round.
+
+Sequences that are null or empty have no vote. With one or two sequences the draft wins its ties. Sequences may have any letters.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MATCH, MISMATCH, GAP = 2, -3, -3
+#: Cells of the alignments that are worked on at once.
+CELLS = 1 << 24
+ROUNDS = 2
+#: Half the band's width: so many letters, and this share of the longer sequence.
+BAND, BAND_SHARE = 32, 0.05
+_LOW = -(1 << 29)
+VOTES = "candidate long, side int, pos long, behind boolean, symbol string, own boolean, n long"
+
 
 def split_sequences(reads: DataFrame) -> DataFrame:
     """upper and lower parts of (seq, upper_end, lower_start), 0-based offsets."""
     return reads.withColumn("upper", F.expr("substring(seq, 1, cast(upper_end as int))")).withColumn("lower", F.expr("substring(seq, cast(lower_start as int) + 1, length(seq))"))
 
 
-def partial_order_consensus(sequences: list[str], match: int = 2, mismatch: int = -3, gap: int = -3) -> str:
-    """Heaviest path through a partial order graph built by aligning one sequence after the other."""
-    sequences = [s for s in sequences if s]
-    if not sequences:
-        return ""
-    base: list[str] = list(sequences[0])
-    edges: list[dict[int, int]] = [{i - 1: 1} if i else {} for i in range(len(base))]  # node -> predecessors and weights
-    order = list(range(len(base)))
-    for seq in sequences[1:]:
-        width, place = len(seq) + 1, {n: i + 1 for i, n in enumerate(order)}
-        score = [[j * gap for j in range(width)]]
-        back: list[list[tuple[int, int]]] = [[(0, j - 1) for j in range(width)]]
-        for n in order:
-            before = [place[p] for p in edges[n]] or [0]
-            row, steps = [0] * width, [(0, 0)] * width
-            row[0], steps[0] = max((score[p][0] + gap, (p, 0)) for p in before)
-            for j in range(1, width):
-                hit = match if base[n] == seq[j - 1] else mismatch
-                options = [(score[p][j - 1] + hit, (p, j - 1)) for p in before] + [(score[p][j] + gap, (p, j)) for p in before] + [(row[j - 1] + gap, (place[n], j - 1))]
-                row[j], steps[j] = max(options, key=lambda x: x[0])
-            score.append(row)
-            back.append(steps)
-        ends = [place[n] for n in order if not any(n in e for e in edges)]
-        i, j = max(ends, key=lambda k: score[k][-1]), width - 1
-        at: list[tuple[int | None, int]] = []
-        while i or j:
-            k, m = back[i][j]
-            if m < j:
-                at.append((order[i - 1] if k != i and i else None, j - 1))
-            i, j = k, m
-        last = None
-        for node, j in reversed(at):
-            if node is None or base[node] != seq[j]:
-                base.append(seq[j])
-                edges.append({})
-                node = len(base) - 1
-            if last is not None:
-                edges[node][last] = edges[node].get(last, 0) + 1
-            last = node
-        order, done = [], set()
-        left = {n: len(e) for n, e in enumerate(edges)}
-        after: dict[int, list[int]] = {}
-        for n, e in enumerate(edges):
-            for p in e:
-                after.setdefault(p, []).append(n)
-        ready = [n for n in left if not left[n]]
-        while ready:
-            n = ready.pop()
-            order.append(n)
-            done.add(n)
-            for x in after.get(n, []):
-                left[x] -= 1
-                if not left[x]:
-                    ready.append(x)
-    weight, came = {}, {}
-    for n in order:
-        weight[n], came[n] = max(((w, weight[p], p) for p, w in edges[n].items()), default=(0, 0, None))[0::2] if edges[n] else (0, None)
-        weight[n] = weight[n] + (weight[came[n]] if came[n] is not None else 0)
-    n = max(order, key=lambda x: weight[x])
-    out = []
-    while n is not None:
-        out.append(base[n])
-        n = came[n]
-    return "".join(reversed(out))
-
-
-def consensus(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(candidate, upper, lower) of (candidate, ord, upper, lower); ``most`` limits a candidate's sequences only if given."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        part = part.head(most) if most else part
-        return pd.DataFrame([{"candidate": part["candidate"].iloc[0], "upper": partial_order_consensus(list(part["upper"])), "lower": partial_order_consensus(list(part["lower"]))}])
-
-    return rows.groupBy("candidate").applyInPandas(one, "candidate long, upper string, lower string")
-
-
-def minimizers(sequences: DataFrame, k: int = 12, w: int = 5, chunk: int = 256) -> DataFrame:
-    """(seq_id, at, hash): the smallest k-mer hash of each w in a row; the first of equal ones.
-
-    Sequences are cut into chunks that overlap by a window, so the cost of finding a character by its number stays small.
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def matrix(rows: list[np.ndarray]) -> np.ndarray:
+    """The rows from column 1 on, filled up with 0."""
+    out = np.zeros((len(rows), 1 + max(map(len, rows), default=0)), np.uint32)
+    for r, x in enumerate(rows):
+        out[r, 1 : len(x) + 1] = x
+    return out
+
+
+def aligned(drafts: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(best scores, for each text the letters at its draft's places 1 and so on, or 0, letters behind places as (text, place, nth, letter)).
+
+    Row i of all texts is computed together: cell k is the draft's place i + low + k, so a step along both stays in its column. Steps along
+    the draft alone, which depend on the cell before, are a running maximum.
     """
-    span = chunk + k + w - 2
-    parts = F.explode(F.expr(f"sequence(0, (length(seq) - {k}) div {chunk})")).alias("c")
-    cut = sequences.where(F.length("seq") >= k).select("seq_id", "seq", parts).select("seq_id", (F.col("c") * chunk).alias("base"), F.expr(f"substring(seq, c * {chunk} + 1, {span})").alias("part"))
-    grams = F.expr(f"transform(sequence(1, greatest(length(part) - {k - 1}, 1)), i -> xxhash64(substring(part, i, {k})))")
-    picked = F.expr(f"array_distinct(transform(sequence(1, greatest(size(g) - {w - 1}, 1)), i -> struct(array_min(slice(g, i, {w})) as hash, i + array_position(slice(g, i, {w}), array_min(slice(g, i, {w}))) - 1 as at)))")
-    out = cut.where(F.length("part") >= k).select("seq_id", "base", grams.alias("g")).select("seq_id", "base", F.explode(picked).alias("m"))
-    return out.select("seq_id", (F.col("base") + F.col("m.at")).alias("at"), F.col("m.hash").alias("hash")).distinct()
-
-
-def align(reads: DataFrame, references: DataFrame, k: int = 12, w: int = 5, least: int = 2) -> DataFrame:
-    """Chains of shared minimisers by diagonal bands: an approximate stand-in for an external aligner's hits."""
-    a, b = minimizers(reads, k, w), minimizers(references, k, w).withColumnsRenamed({"seq_id": "ref_id", "at": "ref_at"})
-    hits = a.join(b, "hash").withColumn("band", F.floor((F.col("at") - F.col("ref_at")) / 64))
-    return hits.groupBy("seq_id", "ref_id", "band").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("q_start"), (F.max("at") + k - 1).alias("q_end"), F.min("ref_at").alias("r_start"), (F.max("ref_at") + k - 1).alias("r_end")).where(F.col("n") >= least)
+    n, sizes, count = np.array([len(d) for d in drafts]), np.array([len(t) for t in texts]), len(texts)
+    half = BAND + (BAND_SHARE * np.maximum(n, sizes)).astype(np.int64)
+    low, longest = np.minimum(0, n - sizes) - half, int(sizes.max(initial=0))
+    width = int((np.abs(n - sizes) + 2 * half).max(initial=0)) + 1
+    letters, draft, rows = matrix(texts), matrix(drafts), np.arange(count)
+    # The draft's letters under the moving band: column c of row r is place low + c.
+    under = np.zeros((count, longest + width + 1), np.uint32)
+    places = low[:, None] + np.arange(longest + width + 1)
+    fits = (places >= 1) & (places <= n[:, None])
+    under[fits] = draft[np.nonzero(fits)[0], places[fits]]
+    cell = np.arange(width)
+    first = low[:, None] + cell
+    score = np.where((first >= 0) & (first <= n[:, None]), first * GAP, _LOW).astype(np.int32)
+    ways = np.zeros((longest + 1, count, width), np.uint8)  # 1: a letter of both, 2: of the text, 3: of the draft
+    ways[0] = 3
+    ends, last = np.zeros(count, np.int32), n - sizes - low
+    ends[sizes == 0] = score[sizes == 0, last[sizes == 0]]
+    slope = (GAP * cell).astype(np.int32)
+    outside = ~((places >= 0) & (places <= n[:, None]))
+    text = np.full_like(score, _LOW)
+    for i in range(1, longest + 1):
+        band = slice(i, i + width)
+        both = score + np.where(under[:, band] == letters[:, i, None], np.int32(MATCH), np.int32(MISMATCH))
+        both[~fits[:, band]] = _LOW
+        text[:, :-1] = score[:, 1:] + GAP
+        best = np.maximum(both, text)
+        best[outside[:, band]] = _LOW
+        run = np.maximum.accumulate(best - slope, axis=1) + slope
+        ways[i] = np.where(run > best, 3, np.where(both >= text, 1, 2))
+        run[outside[:, band]] = _LOW
+        score = run
+        done = np.flatnonzero(sizes == i)
+        ends[done] = score[done, last[done]]
+    at, i = n.copy(), sizes.copy()
+    out, behind = np.zeros((count, int(n.max(initial=0))), np.uint32), []
+    while True:
+        open_ = rows[(i > 0) | (at > 0)]
+        if not len(open_):
+            return ends, out, behind
+        x, j = i[open_], at[open_]
+        way = ways[x, open_, np.clip(j - x - low[open_], 0, width - 1)]
+        way[x == 0], way[j == 0] = 3, 2
+        pair, own = open_[way == 1], open_[way == 2]
+        out[pair, at[pair] - 1] = letters[pair, i[pair]]
+        if len(own):
+            behind += zip(own.tolist(), at[own].tolist(), i[own].tolist(), letters[own, i[own]].tolist(), strict=True)
+        i[open_[way != 3]] -= 1
+        at[open_[way != 2]] -= 1
+
+
+def votes(groups: np.ndarray, drafts: list[str], texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(group, place, whether behind it, symbol, whether it is the draft's own, votes): what texts say of their drafts, one draft a group.
+
+    Texts without a letter behind a place don't vote there: those are all the others.
+    """
+    whole, parts = [codes(d) for d in drafts], [codes(t) for t in texts]
+    order = np.lexsort((np.array([len(d) for d in whole]), np.array([len(t) for t in parts])))
+    held: list[np.ndarray] = []
+    extra: dict[tuple[int, int, str], int] = {}
+    at = 0
+    while at < len(order):  # as many at once as have room; sorted, so their lengths are alike
+        to, width = at, 0
+        while to < len(order):
+            n, m = len(whole[order[to]]), len(parts[order[to]])
+            width = max(width, abs(n - m) + 2 * (BAND + int(BAND_SHARE * max(n, m))) + 1)
+            if to > at and (to + 1 - at) * (m + 1) * width > CELLS:
+                break
+            to += 1
+        own = order[at:to]
+        _, found, behind = aligned([whole[x] for x in own], [parts[x] for x in own])
+        row, place = np.nonzero(np.arange(found.shape[1]) < np.array([len(whole[x]) for x in own])[:, None])
+        held.append(np.stack((groups[own][row], place + 1, found[row, place].astype(np.int64), np.array([len(held)] * len(row)))))
+        joined: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, p, nth, letter in behind:
+            joined.setdefault((r, p), []).append((nth, letter))
+        for (r, p), x in joined.items():
+            key = (int(groups[own[r]]), p, "".join(chr(c) for _, c in sorted(x)))
+            extra[key] = extra.get(key, 0) + 1
+        at = to
+    every = np.concatenate(held, axis=1)[:3]
+    order = np.lexsort(every[::-1])
+    every = every[:, order]
+    cut = np.flatnonzero(np.concatenate(([True], (every[:, 1:] != every[:, :-1]).any(axis=0))))
+    group, place, letter = every[:, cut]
+    n = np.diff(np.append(cut, every.shape[1]))
+    of_group = {int(g): d for g, d in zip(groups, whole, strict=True)}
+    own = np.array([of_group[g][p - 1] == x for g, p, x in zip(group.tolist(), place.tolist(), letter.tolist(), strict=True)], bool)
+    symbol = [chr(x) if x else "" for x in letter.tolist()]
+    late = sorted(extra.items())
+    join = lambda a, b: np.concatenate((a, np.array(b, a.dtype)))
+    return join(group, [g for (g, _, _), _ in late]), join(place, [p for (_, p, _), _ in late]), join(np.zeros(len(group), bool), [True] * len(late)), symbol + [x for (_, _, x), _ in late], join(own, [False] * len(late)), join(n, [v for _, v in late])
+
+
+def voted(rows: DataFrame) -> DataFrame:
+    """VOTES of rows (candidate, side, seq, draft), counted a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            candidate, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, group = np.unique(np.stack((candidate, side)), axis=1, return_inverse=True)
+            which, place, late, symbol, own, n = votes(group.reshape(-1), batch.column(3).to_pylist(), batch.column(2).to_pylist())
+            columns = [pa.array(keys[0, which]), pa.array(keys[1, which].astype(np.int32)), pa.array(place), pa.array(late), pa.array(symbol, pa.string()), pa.array(own), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["candidate", "side", "pos", "behind", "symbol", "own", "n"])
+
+    return rows.select("candidate", "side", "seq", "draft").mapInArrow(run, VOTES)
+
+
+def called(counted: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(candidate, side, draft, n) of the winning symbols: of equally many votes the draft's own, then the first by letter. drafts: candidate, side, draft, n."""
+    total = counted.groupBy("candidate", "side", "pos", "behind", "symbol").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own"))
+    best = total.groupBy("candidate", "side", "pos", "behind").agg(F.min_by(F.struct("symbol", "n"), F.struct(-F.col("n"), ~F.col("own"), "symbol")).alias("won"), F.sum("n").alias("all"))
+    placed = best.groupBy("candidate", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "behind", "won", "all"))).alias("places"))
+    # Behind a place, those that say nothing are as many as there are sequences without the others.
+    symbol = lambda x: F.when(x["behind"] & (x["won"]["n"] <= F.col("n") - x["all"]), F.lit("")).otherwise(x["won"]["symbol"])
+    letters = F.array_join(F.transform("places", symbol), "")
+    return placed.join(drafts.select("candidate", "side", "n"), ["candidate", "side"]).select("candidate", "side", letters.alias("draft"), "n")
+
+
+def drafts(rows: DataFrame) -> DataFrame:
+    """(candidate, side, draft, n): the first sequence of those nearest to the median length, and how many there are."""
+    middle = rows.groupBy("candidate", "side").agg(F.percentile(F.length("seq"), 0.5).alias("middle"), F.count("*").alias("n"))
+    near = F.struct(F.abs(F.length("seq") - F.col("middle")), F.length("seq"), "ord", "seq")
+    return rows.join(middle, ["candidate", "side"]).groupBy("candidate", "side").agg(F.min_by("seq", near).alias("draft"), F.max("n").alias("n"))
+
+
+def consensus(rows: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
+    """(candidate, upper, lower) of (candidate, ord, upper, lower): '' where a candidate has no letters on a side.
+
+    The sequences and each round's drafts are written to folder, so nothing is computed twice. Sequences meet their draft in a join whose hot keys
+    Spark splits, as what follows needs no key together.
+    """
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(s).alias("seq")) for i, s in enumerate(("upper", "lower")))))
+    every = written(rows.select("candidate", "ord", sides.alias("x")).select("candidate", "ord", "x.side", "x.seq"), "sequences")
+    spoken = every.where(F.length("seq") > 0)
+    now = written(drafts(spoken), "drafts_0")
+    for turn in range(rounds):
+        votes_ = voted(spoken.join(now.where(F.length("draft") > 0).select("candidate", "side", "draft"), ["candidate", "side"]))
+        now = written(called(votes_, now), f"drafts_{turn + 1}")
+    texts = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("draft"))), F.lit("")).alias(s) for i, s in enumerate(("upper", "lower"))]
+    return every.select("candidate").distinct().join(now.groupBy("candidate").agg(*texts), "candidate", "left").na.fill("", ["upper", "lower"])
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -75,15 +75,3 @@ def path_records(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
     head = F.substring_index(F.concat("seqid", F.lit("_"), "class", F.lit("-"), "gene_name", F.lit("_exon")), "_", 2)
     names = F.array_join(F.transform("x", lambda e: F.concat("seqid", F.lit(":"), "gene_name", F.lit(":"), e["start"], F.lit("-"), e["end"])), ",")
     return rows.select("seqid", "gene_uid", F.lit("P").alias("kind"), F.concat_ws("\t", F.lit("P"), F.concat(head, F.lit("_"), "path_num"), names).alias("line"))
-
-
-def slices(chunks: DataFrame, regions: DataFrame, chunk: int) -> DataFrame:
-    """(region columns, seq): 1-based closed ranges cut out of (seq_id, chunk_no, seq) rows of ``chunk`` characters.
-
-    An equi-join on the chunks that a region touches; no whole sequence is ever one value.
-    """
-    want = regions.withColumn("chunk_no", F.explode(F.sequence(((F.col("from") - 1) / chunk).cast("int"), ((F.col("to") - 1) / chunk).cast("int"))))
-    own = want.join(chunks, ["seq_id", "chunk_no"])
-    at = F.col("chunk_no").cast("bigint") * chunk
-    cut = own.withColumn("part", F.substring("seq", (F.greatest(F.col("from") - at, F.lit(1))).cast("int"), (F.least(F.col("to") - at, F.lit(chunk)) - F.greatest(F.col("from") - at, F.lit(1)) + 1).cast("int")))
-    return cut.groupBy("seq_id", "from", "to").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))), lambda x: x["part"]), "").alias("seq"))

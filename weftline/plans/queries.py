@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
-from ..operators import cluster, consensus, graph, reads, report
-from ..sources import text
+from ..operators import chains, cluster, consensus, graph, reads, regions, report
+from ..sources import sequence_files, text
+from . import run, scratch
 from .lens import oracle, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,20 +404,62 @@ def gfa_paths(spark, d):
     return graph.path_records(graph.exon_nodes(a), kinds).join(kinds, ["seqid", "gene_uid"]).select("is_pc", "line")
 
 
-@query("SELECT doc_id, substr(text, cast(doc_id % 50 + 1 AS int), 40) AS seq FROM documents")
-def exon_sequence(spark, d):
+#: A genome of the documents' letters: a sequence a document, which names it.
+LETTERS = "SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents"
+
+
+def genome(spark, d, piece: int) -> DataFrame:
+    """The pieces of a FASTA file with index, written from the documents; every second sequence is one line, the others have lines of 60."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.substring("text", (F.col("doc_id") % 50 + 1).cast("int"), F.lit(40)).alias("seq"))
+    rows = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("s"))
+    wrapped = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("s", "(.{60})", "$1\n")).otherwise(F.col("s"))
+    place = scratch.folder(spark)
+    rows.select(F.concat(F.lit(">"), "doc_id", F.lit(" document\n"), wrapped).alias("value")).write.text(f"{place}/genome.fa")
+    sequence_files.write_index(spark, f"{place}/genome.fa", f"{place}/index", 1 << 20)
+    return sequence_files.fasta_pieces(spark, f"{place}/genome.fa", f"{place}/index", piece)
+
+
+EXONS = "SELECT doc_id, k AS gene_uid, doc_id % 50 + 1 + 300 * k AS a, doc_id % 50 + 1 + 300 * k + 30 + 50 * k AS b FROM documents, (SELECT unnest([0, 1, 2]) AS k) x"
+
+
+@query(f"SELECT e.doc_id, gene_uid, a AS exon_start, b AS exon_end, substr(s, a, b - a + 1) AS seq FROM ({EXONS}) e JOIN ({LETTERS}) l ON l.doc_id = e.doc_id WHERE length(s) >= a")
+def exon_sequence(spark, d):
+    k = F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(3)))).alias("gene_uid")
+    nodes = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", k)
+    first = F.col("doc_id") % 50 + 1 + 300 * F.col("gene_uid")
+    nodes = nodes.select(F.col("doc_id").cast("string").alias("seqid"), "gene_uid", first.alias("start"), (first + 30 + 50 * F.col("gene_uid")).alias("end"))
+    return run.exon_sequences(nodes, genome(spark, d, 64), 64).select(F.col("seqid").cast("bigint").alias("doc_id"), "gene_uid", F.col("start").alias("exon_start"), F.col("end").alias("exon_end"), "seq")
+
+
+#: Genes on the documents' letters, with names that repeat and ranges that overlap.
+PLACED = "SELECT concat('G', l_partkey % 9) AS gene, cast(l_orderkey % (SELECT count(*) FROM documents) AS varchar) AS chrom, (l_orderkey * 37 + l_suppkey * 101) % 12000 + 1 AS a, (l_orderkey * 37 + l_suppkey * 101) % 12000 + l_linenumber * 60 AS b FROM lineitem"
+REGIONS = f"SELECT DISTINCT chrom AS seq_id, gene, greatest(a - 100, 1) AS low, b + 100 AS high, concat(chrom, ':', gene, ':', greatest(a - 100, 1), '-', b + 100) AS header FROM ({PLACED}) p"
+
+
+def regions_of(spark, d) -> DataFrame:
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    low = (F.col("l_orderkey") * 37 + F.col("l_suppkey") * 101) % 12000
+    genes = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("G"), F.col("l_partkey") % 9).alias("gene"), (F.col("l_orderkey") % n).cast("string").alias("chrom"), (low + 1).cast("bigint").alias("start"), (low + F.col("l_linenumber") * 60).cast("bigint").alias("end"))
+    return regions.gene_regions(genes)
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"from": "low", "to": "high"})
+
+
+@query(REGIONS)
+def gene_regions(spark, d):
+    return named(regions_of(spark, d))
+
+
+@query(f"SELECT seq_id, min(low) AS low, max(high) AS high, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY seq_id ORDER BY low, high, gene ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN low > 1 + max(high) OVER (PARTITION BY seq_id ORDER BY low, high, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM ({REGIONS}) r) x) y GROUP BY seq_id, k")
+def merged_regions(spark, d):
+    return named(regions.merged(regions_of(spark, d)))
 
 
-@query("SELECT doc_id, substr(text, 90, 131) AS seq FROM documents WHERE length(text) >= 220")
+@query(f"SELECT header, substr(s, low, high - low + 1) AS seq FROM ({REGIONS}) r JOIN ({LETTERS}) l ON cast(l.doc_id AS varchar) = r.seq_id WHERE length(s) >= low")
 def region_slice(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.length("text") >= 220)
-    chunk = 100
-    parts = F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("chunk_no")
-    chunks = docs.select(F.col("doc_id").alias("seq_id"), parts, "text").select("seq_id", "chunk_no", F.substring("text", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
-    want = docs.select(F.col("doc_id").alias("seq_id"), F.lit(90).cast("bigint").alias("from"), F.lit(220).cast("bigint").alias("to"))
-    return graph.slices(chunks, want, chunk).select(F.col("seq_id").alias("doc_id"), "seq")
+    return regions.region_sequences(regions_of(spark, d), genome(spark, d, 256), 256).select("header", "seq")
 
 
 @query("SELECT doc_id, substr(text, 1, cast(n_chars // 2 AS int)) AS upper, substr(text, cast(n_chars // 3 + 1 AS int)) AS lower FROM documents")
@@ -525,18 +568,25 @@ def final_report(spark, d):
     return report.report(collapsed(tables(spark, d)[0]))
 
 
-#: In groups of three and more, the second member's sequence has one letter changed; the consensus undoes it.
-SEQUENCED = f"SELECT *, concat(up_path, '|', lo_path) AS seq FROM ({GROUPED}) g"
+#: Sequences of 64 letters for paths. In groups of three and more the second member has one letter changed, in groups of five and more the
+#: third lacks one and the fourth has one more; the consensus undoes it all.
+def letters_of(path: str) -> str:
+    return f"translate(concat(md5(concat({path}, '1')), md5(concat({path}, '2'))), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
-@query(f"SELECT min(ord) AS candidate, min(split_part(seq, '|', 1)) AS upper, min(split_part(seq, '|', 2)) AS lower FROM ({SEQUENCED}) s GROUP BY up_gene, lo_gene, bp_group, up_path, lo_path")
+@query(f"SELECT min(ord) AS candidate, {letters_of('up_path')} AS upper, {letters_of('lo_path')} AS lower FROM ({GROUPED}) s GROUP BY up_gene, lo_gene, bp_group, up_path, lo_path")
 def poa_consensus(spark, d):
     rows = clustered(tables(spark, d)[0])
     own = Window.partitionBy("up_gene", "lo_gene", "bp_group", "path_group")
     rows = rows.withColumn("candidate", F.min("ord").over(own)).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("k", F.row_number().over(own.orderBy("ord")))
-    noisy = F.when((F.col("n") >= 3) & (F.col("k") == 2), F.overlay("up_path", F.lit("!"), F.col("ord") % F.length("up_path") + 1)).otherwise(F.col("up_path"))
-    reads_ = rows.select("candidate", "ord", F.concat(noisy, "lo_path").alias("seq"), F.length("up_path").alias("upper_end"), F.length("up_path").alias("lower_start"))
-    return consensus.consensus(consensus.split_sequences(reads_).select("candidate", "ord", "upper", "lower"))
+    up, lo, at = F.expr(letters_of("up_path")), F.expr(letters_of("lo_path")), F.col("ord") % 64 + 1
+    changed = lambda x: F.overlay(x, F.lit("N"), at)
+    for seq, odd, least, made in (("upper", 2, 3, changed(up)), ("lower", 2, 3, changed(lo))):
+        rows = rows.withColumn(seq, F.when((F.col("n") >= least) & (F.col("k") == odd), made).otherwise(up if seq == "upper" else lo))
+    many = F.col("n") >= 5
+    rows = rows.withColumn("upper", F.when(many & (F.col("k") == 3), F.overlay("upper", F.lit(""), at, F.lit(1))).when(many & (F.col("k") == 4), F.overlay("upper", F.lit("ACG"), at, F.lit(0))).otherwise(F.col("upper")))
+    reads_ = rows.select("candidate", "ord", F.concat("upper", "lower").alias("seq"), F.length("upper").alias("upper_end"), F.length("upper").alias("lower_start"))
+    return consensus.consensus(consensus.split_sequences(reads_).select("candidate", "ord", "upper", "lower"), scratch.folder(spark))
 
 
 TRUTH = "SELECT a.gene AS gene1, b.gene AS gene2, a.start_pos + 1000 AS gene1bp, b.start_pos + 1000 AS gene2bp FROM genes a, genes b WHERE a.gid < b.gid"
@@ -552,6 +602,6 @@ def truth_scoring(spark, d):
 
 @query()
 def minimizer_align(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.col("text").alias("seq"))
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("seq_id"), F.col("text").alias("seq"))
-    return consensus.align(docs, items, k=16, w=8, least=3)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("ref_id"), F.col("text").alias("seq"))
+    return chains.align(docs, items, k=16, w=8, dna=False)

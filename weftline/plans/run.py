@@ -151,12 +151,12 @@ def fusion_candidates(clustered: DataFrame) -> DataFrame:
     return stats.join(modes, group).join(facts, "ord").withColumn("name", name)
 
 
-def consensus_fasta(clustered: DataFrame, sequences: DataFrame, params: FusionParams = DEFAULT) -> DataFrame:
+def consensus_fasta(clustered: DataFrame, sequences: DataFrame, folder: str, params: FusionParams = DEFAULT) -> DataFrame:
     """value: FASTA lines of each candidate's upper, lower and whole consensus, where both halves are long enough. sequences: seq_id, seq."""
     group = [*cluster.PAIR, "bp_group", "path_group"]
     named = clustered.join(fusion_candidates(clustered).select(*group, F.col("ord").alias("candidate"), "name"), group)
     own = named.join(sequences.withColumnRenamed("seq_id", "read_id"), "read_id")
-    made = consensus.consensus(consensus.split_sequences(own).select("candidate", "ord", "upper", "lower"))
+    made = consensus.consensus(consensus.split_sequences(own).select("candidate", "ord", "upper", "lower"), f"{folder.rstrip('/')}/consensus")
     long = made.where((F.length("upper") >= params.min_consensus_length) & (F.length("lower") >= params.min_consensus_length)).join(named.select("candidate", "name").distinct(), "candidate")
     line = lambda kind, seq: F.concat(F.lit(">"), "name", F.lit(f"_0_{kind}\n"), seq)
     return long.select(F.explode(F.array(line("upper", F.col("upper")), line("lower", F.col("lower")), line("full", F.concat("upper", "lower")))).alias("value"))
