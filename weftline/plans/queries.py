@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import expr as E
 from ..operators import chains, cluster, consensus, graph, reads, regions, report
 from ..sources import sequence_files, text
+from ..streaming import reads as stream
 from . import run, scratch
 from .lens import oracle, tables
 
@@ -47,8 +48,14 @@ def candidates(aln: DataFrame) -> DataFrame:
     return pairs(aln).withColumn("score", E.pair_score(F.col("up_mapq"), F.col("lo_mapq"), F.lit(1), F.lit(1)))
 
 
+def led(aln: DataFrame) -> DataFrame:
+    """Candidates with their leaders, from a written table, as the commands have it."""
+    folder = scratch.folder(aln.sparkSession)
+    return cluster.leaders(cluster.written(candidates(aln), folder, "candidates"), 300, folder)
+
+
 def clustered(aln: DataFrame) -> DataFrame:
-    return cluster.path_groups(cluster.leaders(candidates(aln), 300))
+    return cluster.path_groups(led(aln))
 
 
 # Sources
@@ -56,12 +63,25 @@ def clustered(aln: DataFrame) -> DataFrame:
 
 @query("SELECT ord, read_id, read_start, read_end, mapq, block_len, item, sign, mapq + 1 AS s1, 'P' AS tp FROM aln")
 def scan_gaf_parse(spark, d):
-    aln, _ = tables(spark, d)
-    line = F.concat_ws("\t", F.col("read_id"), F.lit(1000), "read_start", "read_end", F.lit("+"), F.concat("sign", "item"), F.lit(401), F.lit(0), F.lit(401), "block_len", "block_len", "mapq", F.concat(F.lit("s1:i:"), F.col("mapq") + 1), F.lit("tp:A:P"))
-    good, _ = text.gaf(aln.select(F.col("ord").alias("line_no"), line.alias("value")))
+    good, _ = text.gaf(gaf_lines(tables(spark, d)[0]))
     return good.select(F.col("line_no").alias("ord"), F.col("read_id").cast("bigint").alias("read_id"), "read_start", "read_end", "mapq", "block_len", F.get("items", 0).alias("item"), F.substring("path", 1, 1).alias("sign"), "s1", "tp")
 
 
+def gaf_lines(aln: DataFrame) -> DataFrame:
+    """(line_no, value): the alignments as GAF lines, numbered by ord."""
+    line = F.concat_ws("\t", F.col("read_id"), F.lit(1000), "read_start", "read_end", F.lit("+"), F.concat("sign", "item"), F.lit(401), F.lit(0), F.lit(401), "block_len", "block_len", "mapq", F.concat(F.lit("s1:i:"), F.col("mapq") + 1), F.lit("tp:A:P"))
+    return aln.select(F.col("ord").alias("line_no"), line.alias("value"))
+
+
+@query("SELECT ord, read_id FROM aln WHERE ord < (SELECT min(ord) FROM aln WHERE ord > (SELECT max(ord) FROM aln) / 2 AND ord % 7 = 3)")
+def gaf_until_error(spark, d):
+    aln, _ = tables(spark, d)
+    most = aln.agg(F.max("ord")).first()[0]
+    bad = (F.col("line_no") > most / 2) & (F.col("line_no") % 7 == 3)
+    rows = gaf_lines(aln).withColumn("value", F.when(bad, F.regexp_replace("value", "\t", " ")).otherwise(F.col("value")))
+    return text.before_first(*text.gaf(rows)).select(F.col("line_no").alias("ord"), F.col("read_id").cast("bigint").alias("read_id"))
+
+
 @query("SELECT ord, bp AS start_pos, bp + 60 + qty + exon - 1 AS end_pos, exon % 2 = 1 AS is_reverse, exon >= 2 AS is_secondary, mapq, 'a:b' AS tag FROM aln")
 def scan_sam_parse(spark, d):
     aln, _ = tables(spark, d)
@@ -180,6 +200,15 @@ def multi_aln_reads(spark, d):
     return g.select("read_id", F.size("recs").cast("bigint").alias("n"), F.get("recs", 0)["read_start"].alias("first_start"), F.array_max(F.transform("recs", lambda r: r["read_end"])).alias("last_end"))
 
 
+@query("SELECT read_id, count(*) AS n, min(read_start) AS first_start, max(read_end) AS last_end FROM aln GROUP BY read_id HAVING count(*) > 1")
+def multi_aln_reads_stream(spark, d):
+    place = scratch.folder(spark)
+    gaf_lines(tables(spark, d)[0]).select("value").repartition(4).write.text(f"{place}/gaf")
+    stream.follow(spark, f"{place}/gaf", f"{place}/groups", f"{place}/checkpoint", files_a_batch=2).awaitTermination()
+    recs = stream.latest(spark, f"{place}/groups")
+    return recs.select(F.col("read_id").cast("bigint").alias("read_id"), "n", F.get("recs", 0)["read_start"].alias("first_start"), F.array_max(F.transform("recs", lambda r: r["read_end"])).alias("last_end"))
+
+
 @query("SELECT run_id, min(event_id) AS first_event, count(*) AS n, min(event_type) AS event_type FROM (SELECT *, cast(sum(c) OVER (ORDER BY event_id) AS bigint) AS run_id FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events) x) y GROUP BY run_id")
 def consecutive_runs(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")
@@ -317,7 +346,7 @@ PATHED = f"SELECT *, dense_rank() OVER (PARTITION BY up_gene, lo_gene, bp_group
 
 @query(f"SELECT ord, up_gene, lo_gene, leader, bp_group FROM ({GROUPED}) g")
 def leader_cluster(spark, d):
-    return cluster.leaders(candidates(tables(spark, d)[0]), 300).select("ord", "up_gene", "lo_gene", "leader", F.col("bp_group").cast("bigint").alias("bp_group"))
+    return led(tables(spark, d)[0]).select("ord", "up_gene", "lo_gene", "leader", F.col("bp_group").cast("bigint").alias("bp_group"))
 
 
 @query(f"SELECT ord, bp_group, path_group FROM ({PATHED}) g")

@@ -130,7 +130,7 @@ def candidates(gaf: DataFrame, genes: DataFrame, folder: str, hits: DataFrame |
     if params.strict_support:
         enough = reads.supported(found, params.min_supporting_reads)
         found = found.join(enough, (F.least("up_gene", "lo_gene") == enough["gene_a"]) & (F.greatest("up_gene", "lo_gene") == enough["gene_b"]), "left_semi")
-    out = written(counts.of("clustered pairs", cluster.path_groups(cluster.leaders(found, params.bp_cluster_distance))), folder, "clustered")
+    out = written(counts.of("clustered pairs", cluster.path_groups(cluster.leaders(found, params.bp_cluster_distance, f"{folder.rstrip('/')}/leaders"))), folder, "clustered")
     counts.known["rejected lines"] = counts["lines"] - counts["records"]
     # What was rejected is looked for only where there is any: it takes another pass over the lines.
     written(bad if counts.known["rejected lines"] else bad.limit(0), folder, "rejected_lines")
@@ -170,11 +170,12 @@ def hit_names(rows: DataFrame, query: str, kinds: list[str], fusions: DataFrame)
 
 
 def detect(clustered: DataFrame, genes: DataFrame, library: DataFrame | None, second_gaf: DataFrame, second_sam: DataFrame, folder: str, params: FusionParams = DEFAULT) -> DataFrame:
-    """The report's rows from clustered candidates and the alignments of their consensus sequences. Without a library no pair is known to be normal."""
+    """The report's rows from clustered candidates and the alignments of their consensus sequences. Without a library no pair is known to be normal.
+    Of second_gaf, what stands before the first line that can't be read counts."""
     if library is None:
         library = clustered.sparkSession.createDataFrame([], "left_gene string, right_gene string, tags array<string>")
     fusions = written(fusion_candidates(clustered), folder, "fusions")
-    on_graph = hit_names(text.gaf(second_gaf)[0], "read_id", ["upper", "lower"], fusions)
+    on_graph = hit_names(text.before_first(*text.gaf(second_gaf)), "read_id", ["upper", "lower"], fusions)
     on_genome = hit_names(text.sam(second_sam), "query", ["full"], fusions)
     leveled = evidence.leveled(fusions, on_graph, on_genome, genes, library, params)
     return report.report(report.collapsed(leveled), params.min_supporting_reads)

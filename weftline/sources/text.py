@@ -47,6 +47,12 @@ def gaf(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where(fine).drop("value").withColumn("items", E.path_items("path")), out.where(~F.coalesce(fine, F.lit(False))).select("line_no", "value")
 
 
+def before_first(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of good whose line_no is smaller than any of bad's: what a reader has that stops at the first line it can't read."""
+    first = bad.agg(F.min("line_no")).first()[0]
+    return good if first is None else good.where(F.col("line_no") < first)
+
+
 def sam(rows: DataFrame) -> DataFrame:
     """Alignments of (line_no, value) with flags, CIGAR metrics and end."""
     f = rows.where(~F.col("value").startswith("@")).select("line_no", F.split("value", "\t").alias("f")).where(F.size("f") >= 11)
