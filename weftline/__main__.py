@@ -1,8 +1,9 @@
-"""The commands: graph, candidates and detect. External aligners are not called; their output files are inputs.
+"""The commands: graph, candidates, detect and score. External aligners are not called; their output files are inputs.
 
 python -m weftline graph GFF GENOME -o REF
 python -m weftline candidates READS_GAF READS REF GENOME -o OUT    writes OUT/clustered and, to be aligned, OUT/consensus_fasta
 python -m weftline detect CONSENSUS_GAF CONSENSUS_SAM REF -o OUT [--library LIBRARY]    reads OUT/clustered, writes OUT/report
+python -m weftline score REPORT TRUTH -o OUT [--tolerance N]    writes OUT/matches and OUT/accuracy, and prints the latter
 Paths are Spark's; on a cluster all executors must share them. GENOME and READS are opened by pyarrow.
 
 candidates aligns the reads of possible fusions once more, to their genes' sequences, which it writes to OUT/total_reference: with an aligner of
@@ -43,18 +44,19 @@ def flag(value: str) -> bool:
 def parser() -> argparse.ArgumentParser:
     out, default = argparse.ArgumentParser(prog="weftline"), FusionParams()
     commands = out.add_subparsers(dest="command", required=True)
-    for name, files, folder in (("graph", ["gff", "genome"], "./graph_ref"), ("candidates", ["gaf", "reads", "ref", "genome"], "./result"), ("detect", ["gaf", "sam", "ref"], "./result")):
+    for name, files, folder in (("graph", ["gff", "genome"], "./graph_ref"), ("candidates", ["gaf", "reads", "ref", "genome"], "./result"), ("detect", ["gaf", "sam", "ref"], "./result"), ("score", ["report", "truth"], "./result")):
         c = commands.add_parser(name)
         for f in files:
             c.add_argument(f)
         c.add_argument("-o", "--output_dir", default=folder)
-        for letter, field, says in OPTIONS if name != "graph" else ():
+        for letter, field, says in OPTIONS if name in ("candidates", "detect") else ():
             value = getattr(default, field)
             c.add_argument(letter, f"--{field}", type=flag if isinstance(value, bool) else int, default=value, help=f"{says} (default {value})")
-        if name != "graph":
+        if name in ("candidates", "detect"):
             c.add_argument("--strict_support", action="store_true", help="also drop pairs with too few reads before they are clustered")
     commands.choices["candidates"].add_argument("--hits", help="alignments of the reads to OUT/total_reference, in PAF, in place of the own second alignment")
     commands.choices["detect"].add_argument("--library", help="pairs of genes with their tags; without it no pair is known to be normal")
+    commands.choices["score"].add_argument("--tolerance", type=int, default=100, help="largest distance of either breakpoint (default 100)")
     return out
 
 
@@ -70,6 +72,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             rows.where("kind <> 'P'").orderBy("seqid", "gene_uid", "line").select("line").write.mode("overwrite").text(f"{folder}/{name}")
         text.gene_lines(made["genes"]).write.mode("overwrite").text(f"{folder}/gene_pos")
         return
+    if args.command == "score":
+        calls, truth = text.reported(lines(args.report)), text.truth_set(spark, args.truth)
+        named = report.matched(calls, truth, args.tolerance).join(truth.withColumnRenamed("id", "truth"), "truth").join(calls.withColumnRenamed("id", "call"), "call")
+        named.drop("call", "truth").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/matches")
+        run.written(report.accuracy(calls, truth, args.tolerance), folder, "accuracy").show(truncate=False)
+        return
     params = FusionParams(strict_support=args.strict_support, **{field: getattr(args, field) for _, field, _ in OPTIONS})
     ref = args.ref.rstrip("/")
     genes = text.gene_table(spark, f"{ref}/gene_pos")

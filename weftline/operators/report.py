@@ -112,3 +112,39 @@ def scored(fusions: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     close = (F.abs(first - F.col("gene1bp")) <= tolerance) & (F.abs(second - F.col("gene2bp")) <= tolerance)
     rows = truth.withColumns({"gene_a": F.least("gene1", "gene2"), "gene_b": F.greatest("gene1", "gene2")}).join(found, ["gene_a", "gene_b"], "left")
     return rows.groupBy("gene1", "gene2", "gene1bp", "gene2bp").agg((F.count("up_gene") > 0).alias("called"), F.coalesce(F.bool_or(close), F.lit(False)).alias("placed"))
+
+
+def matched(calls: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
+    """One-to-one matches of calls (id, up_gene, lo_gene, up_bp, lo_bp) and truth rows (id, gene1, gene2, gene1bp, gene2bp): call, truth, distance.
+
+    Genes may stand in either order. A call and a truth row can match if both breakpoints lie within the tolerance; their distance is the sum
+    of the two. The nearest two that are both free match first, of equally near ones those with the smaller ids, truth before call. Only rows of one pair of genes meet.
+    """
+    pair = lambda a, b: (F.least(a, b).alias("gene_a"), F.greatest(a, b).alias("gene_b"))
+    known = truth.select(*pair("gene1", "gene2"), F.col("id").alias("truth"), "gene1", "gene1bp", "gene2bp")
+    found = calls.select(*pair("up_gene", "lo_gene"), F.col("id").alias("call"), "up_gene", "up_bp", "lo_bp")
+    straight = (F.abs(F.col("up_bp") - F.col("gene1bp")), F.abs(F.col("lo_bp") - F.col("gene2bp")))
+    crossed = (F.abs(F.col("lo_bp") - F.col("gene1bp")), F.abs(F.col("up_bp") - F.col("gene2bp")))
+    same = (F.col("gene_a") == F.col("gene_b")) | (F.col("up_gene") == F.col("gene1"))
+    near = lambda x: F.when((x[0] <= tolerance) & (x[1] <= tolerance), x[0] + x[1])
+    distance = F.least(F.when(same, near(straight)), F.when(~same | (F.col("gene_a") == F.col("gene_b")), near(crossed)))
+    kind = "array<struct<distance:bigint,truth:bigint,call:bigint>>"
+    near_ones = known.join(found, ["gene_a", "gene_b"]).withColumn("distance", distance).where("distance is not null")
+    listed = near_ones.groupBy("gene_a", "gene_b").agg(F.array_sort(F.collect_list(F.struct("distance", "truth", "call"))).cast(kind).alias("x"))
+    taken = lambda done, x: F.exists(done, lambda d: (d["truth"] == x["truth"]) | (d["call"] == x["call"]))
+    chosen = F.aggregate("x", F.array().cast(kind), lambda done, x: F.when(taken(done, x), done).otherwise(F.concat(done, F.array(x))))
+    return listed.select(F.explode(chosen).alias("m")).select("m.call", "m.truth", "m.distance")
+
+
+def accuracy(calls: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
+    """One row: calls, truths, matches (of both breakpoints), pairs_found (truth rows whose pair of genes was called), precision and recall of
+    the matches; precision is null without calls, recall without truth rows."""
+    pairs = calls.select(F.least("up_gene", "lo_gene").alias("a"), F.greatest("up_gene", "lo_gene").alias("b")).distinct()
+    met = truth.join(pairs, (F.least("gene1", "gene2") == F.col("a")) & (F.greatest("gene1", "gene2") == F.col("b")), "left_semi")
+    kinds = [("calls", calls), ("truths", truth), ("matches", matched(calls, truth, tolerance)), ("pairs_found", met)]
+    marked = kinds[0][1].select(F.lit(kinds[0][0]).alias("kind"))
+    for name, rows in kinds[1:]:
+        marked = marked.unionByName(rows.select(F.lit(name).alias("kind")))
+    out = marked.agg(*(F.count_if(F.col("kind") == name).alias(name) for name, _ in kinds))
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return out.withColumn("precision", part("matches", "calls")).withColumn("recall", part("matches", "truths"))

@@ -624,9 +624,19 @@ TRUTH = "SELECT a.gene AS gene1, b.gene AS gene2, a.start_pos + 1000 AS gene1bp,
 @query(f"SELECT t.*, count(c.ord) > 0 AS called, coalesce(bool_or(abs(CASE WHEN up_gene = gene1 THEN up_bp ELSE lo_bp END - gene1bp) <= 1100 AND abs(CASE WHEN up_gene = gene1 THEN lo_bp ELSE up_bp END - gene2bp) <= 1100), false) AS placed FROM ({TRUTH}) t LEFT JOIN ({COLLAPSED}) c ON least(up_gene, lo_gene) = least(gene1, gene2) AND greatest(up_gene, lo_gene) = greatest(gene1, gene2) GROUP BY ALL")
 def truth_scoring(spark, d):
     aln, genes = tables(spark, d)
+    return report.scored(collapsed(aln), truth_rows(genes).drop("id"), 1100)
+
+
+def truth_rows(genes: DataFrame) -> DataFrame:
     g = genes.select("gid", "gene", (F.col("start_pos") + 1000).alias("bp"))
-    truth = g.select("gid", F.col("gene").alias("gene1"), F.col("bp").alias("gene1bp")).join(g.select(F.col("gid").alias("h"), F.col("gene").alias("gene2"), F.col("bp").alias("gene2bp")), F.col("gid") < F.col("h")).drop("gid", "h")
-    return report.scored(collapsed(aln), truth, 1100)
+    truth = g.select("gid", F.col("gene").alias("gene1"), F.col("bp").alias("gene1bp")).join(g.select(F.col("gid").alias("h"), F.col("gene").alias("gene2"), F.col("bp").alias("gene2bp")), F.col("gid") < F.col("h"))
+    return truth.withColumn("id", F.col("gid") * 100 + F.col("h")).drop("gid", "h")
+
+
+@query(f"SELECT count(DISTINCT c.ord) AS calls, (SELECT count(*) FROM ({TRUTH}) t) AS truths, count(*) FILTER (abs(u - gene1bp) <= 1100 AND abs(v - gene2bp) <= 1100) AS matches, count(gene1) AS pairs_found, count(*) FILTER (abs(u - gene1bp) <= 1100 AND abs(v - gene2bp) <= 1100) / count(DISTINCT c.ord) AS precision, count(*) FILTER (abs(u - gene1bp) <= 1100 AND abs(v - gene2bp) <= 1100) / (SELECT count(*) FROM ({TRUTH}) t) AS recall FROM (SELECT *, CASE WHEN up_gene = least(up_gene, lo_gene) THEN up_bp ELSE lo_bp END AS u, CASE WHEN up_gene = least(up_gene, lo_gene) THEN lo_bp ELSE up_bp END AS v FROM ({COLLAPSED}) k) c LEFT JOIN ({TRUTH}) t ON least(up_gene, lo_gene) = gene1 AND greatest(up_gene, lo_gene) = gene2")
+def truth_accuracy(spark, d):
+    aln, genes = tables(spark, d)
+    return report.accuracy(collapsed(aln).withColumnRenamed("ord", "id"), truth_rows(genes), 1100)
 
 
 @query()

@@ -98,4 +98,15 @@ def annotation_library(rows: DataFrame) -> DataFrame:
 
 
 def truth_set(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).csv(path, schema="gene1 string, gene2 string, gene1bp bigint, gene2bp bigint")
+    """(id, gene1, gene2, gene1bp, gene2bp) of a table with names in its first line; lines may end either way. Rows without both genes and places are left out."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path, schema="gene1 string, gene2 string, gene1bp bigint, gene2bp bigint")
+    full = rows.where("gene1 is not null and gene2 is not null and gene1bp is not null and gene2bp is not null")
+    return full.select(F.monotonically_increasing_id().alias("id"), "gene1", "gene2", "gene1bp", "gene2bp")
+
+
+def reported(rows: DataFrame) -> DataFrame:
+    """(id, up_gene, lo_gene, up_bp, lo_bp, support, level) of a report's lines (line_no, value); its first line and lines that can't be read are left out."""
+    f = rows.where(~F.col("value").startswith("#")).select("line_no", F.split("value", "\t").alias("f")).where(F.size("f") == 8)
+    point = lambda side: F.regexp_extract(F.get("f", 2), r"^[^;]*:(\d+); .*:(\d+)$", side).try_cast("bigint")
+    out = f.select(F.col("line_no").alias("id"), F.get("f", 0).alias("up_gene"), F.get("f", 1).alias("lo_gene"), point(1).alias("up_bp"), point(2).alias("lo_bp"), F.get("f", 5).try_cast("bigint").alias("support"), F.regexp_extract(F.get("f", 6), r"^flag = (\d+)", 1).try_cast("int").alias("level"))
+    return out.where("up_bp is not null and lo_bp is not null")
