@@ -31,10 +31,10 @@ def first_graph_hits(graph_hits: DataFrame) -> DataFrame:
 
 def gene_matches(name: Column, hit: Column, gene: Column, other: Column, chrom: Column) -> Column:
     """The hit's gene is the candidate's, or one name holds the other; else, on one chromosome, the two genes overlap and all of the path lies
-    inside the overlap and in the hit's gene. gene and other are their ranges."""
+    inside the overlap and in the hit's gene. gene and other are their ranges, null for genes that aren't in the table, which overlap nothing."""
     low, high = F.greatest(gene["start"], other["start"]), F.least(gene["end"], other["end"])
     inside = F.forall(hit["items"], lambda i: (F.get(F.split(i, ":"), 0) == chrom) & (F.get(F.split(i, ":"), 1) == hit["hit_gene"]) & (E.item_start(i) >= low) & (E.item_end(i) <= high))
-    return (name == hit["hit_gene"]) | name.contains(hit["hit_gene"]) | hit["hit_gene"].contains(name) | F.coalesce((chrom == hit["hit_chrom"]) & (low < high) & inside, F.lit(False))
+    return (name == hit["hit_gene"]) | name.contains(hit["hit_gene"]) | hit["hit_gene"].contains(name) | F.coalesce(gene["start"].isNotNull() & other["start"].isNotNull() & (chrom == hit["hit_chrom"]) & (low < high) & inside, F.lit(False))
 
 
 def boundaries(gene: Column, sign: Column, upper: bool) -> Column:

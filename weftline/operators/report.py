@@ -24,15 +24,47 @@ def annotation_state(pairs: DataFrame, library: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(tags.isNotNull(), F.when(F.coalesce(normal, F.lit(False)), "NORMAL_FUSION").otherwise("PASS"))).drop("tags_ab", "tags_ba")
 
 
-def genes_between(candidates: DataFrame, genes: DataFrame, bin_size: int = 1_000_000) -> DataFrame:
+#: Doublings of a bin above which a range is cut into the largest blocks there are.
+LEVELS = 12
+
+
+def blocks(low: Column, high: Column, levels: int = LEVELS) -> Column:
+    """The bins low to high as blocks (level, node), node n of a level being the bins from n * 2 ** level on, 2 ** level of them: each bin is in
+    one block, and there are at most two blocks a level below the last, however long the range."""
+    kind = "array<struct<level:int,node:bigint>>"
+    start = F.struct(low.alias("a"), high.alias("b"), F.array().cast(kind).alias("out"))
+    at = lambda level, node: F.array(F.struct(level.cast("int").alias("level"), node.cast("bigint").alias("node")))
+    none = F.array().cast(kind)
+
+    def step(s: Column, level: Column) -> Column:
+        open_ = s["a"] <= s["b"]
+        left = open_ & (s["a"] % 2 == 1)
+        a = s["a"] + left.cast("bigint")
+        right = (a <= s["b"]) & (s["b"] % 2 == 0)
+        b = s["b"] - right.cast("bigint")
+        out = F.concat(s["out"], F.when(left, at(level, s["a"])).otherwise(none), F.when(right, at(level, s["b"])).otherwise(none))
+        more = a <= b  # else nothing is left, and must not be after halving
+        return F.struct(F.when(more, F.floor(a / 2)).otherwise(0).alias("a"), F.when(more, F.floor(b / 2)).otherwise(-1).alias("b"), out.alias("out"))
+
+    def last(s: Column) -> Column:
+        rest = F.when(s["a"] <= s["b"], F.transform(F.sequence(s["a"], s["b"]), lambda n: F.struct(F.lit(levels).alias("level"), n.alias("node")))).otherwise(none)
+        return F.concat(s["out"], rest)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, last)
+
+
+def genes_between(candidates: DataFrame, genes: DataFrame, bin_size: int = 100_000) -> DataFrame:
     """Candidates with their protein coding genes between: same chrom, starting after the first and ending before the last gene.
 
-    A range join by bins of gene starts. candidates: id, chrom, low, high, strand (null unless both genes share one), up_gene, lo_gene.
+    An equi-join on blocks of bins of gene starts: a gene is in one block of each level, a candidate's range in few, so nothing grows with the range but the
+    genes found in it. candidates: id, chrom, low, high, strand (null unless both genes share one), up_gene, lo_gene.
     """
-    g = genes.where("type = 'protein_coding'").select(F.col("gene").alias("between"), F.col("chrom"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("strand").alias("g_strand")).withColumn("bin", (F.col("g_start") / bin_size).cast("bigint"))
-    c = candidates.withColumn("bin", F.explode(F.sequence((F.col("low") / bin_size).cast("bigint"), (F.col("high") / bin_size).cast("bigint"))))
+    number = lambda c: F.floor(F.col(c) / bin_size)
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(number("start") / F.pow(F.lit(2.0), k)).alias("node")))).alias("block")
+    g = genes.where("type = 'protein_coding'").select(F.col("gene").alias("between"), F.col("chrom"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("strand").alias("g_strand"), levels)
+    c = candidates.where("low <= high").withColumn("block", F.explode(blocks(number("low"), number("high"))))
     hit = (F.col("g_start") > F.col("low")) & (F.col("g_end") < F.col("high")) & (F.col("strand").isNull() | (F.col("strand") == F.col("g_strand"))) & (F.col("between") != F.col("up_gene")) & (F.col("between") != F.col("lo_gene"))
-    return c.join(g, ["chrom", "bin"]).where(hit).drop("bin")
+    return c.join(g, ["chrom", "block"]).where(hit).drop("block")
 
 
 def near_hits(candidates: DataFrame, hits: DataFrame, window: int = DEFAULT.near_window) -> DataFrame:
