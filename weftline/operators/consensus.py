@@ -172,9 +172,9 @@ def called(counted: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def drafts(rows: DataFrame) -> DataFrame:
-    """(candidate, side, draft, n): the first sequence of those nearest to the median length, and how many there are."""
+    """(candidate, side, draft, n): a sequence nearest to the median length, the longest and then the first of them, and how many there are."""
     middle = rows.groupBy("candidate", "side").agg(F.percentile(F.length("seq"), 0.5).alias("middle"), F.count("*").alias("n"))
-    near = F.struct(F.abs(F.length("seq") - F.col("middle")), F.length("seq"), "ord", "seq")
+    near = F.struct(F.abs(F.length("seq") - F.col("middle")), -F.length("seq"), "ord", "seq")
     return rows.join(middle, ["candidate", "side"]).groupBy("candidate", "side").agg(F.min_by("seq", near).alias("draft"), F.max("n").alias("n"))
 
 
