@@ -38,7 +38,9 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 LEXICON = 400
 #: Standard deviations, and examples with label 1, that a term of the lexicon needs.
 LEAN, LEAST = 3.5, 3
-EXAMPLES = 10_000
+EXAMPLES = 20_000
+#: Examples that are searched for at once when the scores are calibrated.
+ASKED = 100
 CALIBRATION = 5
 BLOCK = 64
 NEIGHBOURS = 25
@@ -265,13 +267,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[order], pa.int64())) for x in (term, times)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([kind[i][0] for i in doc.tolist()], pa.int64()), pa.array([kind[i][1] for i in doc.tolist()], pa.int64()), *lists], ["doc_id", "label", "fold", "term", "times"])
 
-    held = sorted(map(tuple, sample.mapInArrow(example, "doc_id long, label long, fold long, term array<long>, times array<long>").collect()))  # of the examples alone
-    size = [len(x[3]) for x in held]
-    dense = unit_rows(len(held), np.repeat(np.arange(len(held)), size), np.array([y for x in held for y in x[3]], np.int64), np.array([y for x in held for y in x[4]], np.int64), idf)
-    ids, label, apart = (np.array([x[i] for x in held], np.int64) for i in range(3))
+    held = sample.mapInArrow(example, "doc_id long, label long, fold long, term array<long>, times array<long>").toArrow()  # of the examples alone
+    held = held.take(pa.array(np.lexsort((held["label"].to_numpy(), held["doc_id"].to_numpy())))).combine_chunks()
+    ids, label, apart = (held[c].to_numpy() for c in ("doc_id", "label", "fold"))
+    lists = [held[c].combine_chunks() for c in ("term", "times")]
+    term, times = (x.flatten().to_numpy() for x in lists)
+    dense = unit_rows(len(ids), np.repeat(np.arange(len(ids)), np.diff(lists[0].offsets.to_numpy())), term, times, idf)
+    del held, lists, term, times
     index = Index(ids[apart != 0], label[apart != 0], dense[apart != 0])
     if index.entries and (apart == 0).any():
-        found = [index.votes(dense[apart == 0][at : at + 500])[0] for at in range(0, int((apart == 0).sum()), 500)]
+        asked = dense[apart == 0]
+        found = [index.votes(asked[at : at + ASKED])[0] for at in range(0, len(asked), ASKED)]
+        del index, asked  # one index at a time
         whole = Index(ids, label, dense)
         whole.calibrate(np.concatenate(found), label[apart == 0])
         index = whole
