@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
-from ..operators import chains, cluster, consensus, graph, reads, regions, report
+from ..operators import chains, cluster, consensus, evidence, graph, reads, regions, report
 from ..sources import sequence_files, text
 from ..streaming import reads as stream
 from . import run, scratch
@@ -17,8 +17,8 @@ from .lens import oracle, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Pairs: the first two records of each read, of different genes.
-PAIRS = "SELECT a.read_id, a.ord, a.gene AS up_gene, b.gene AS lo_gene, a.chrom AS up_chrom, b.chrom AS lo_chrom, a.sign AS up_sign, b.sign AS lo_sign, a.bp AS up_bp, b.bp AS lo_bp, a.item AS up_path, b.item AS lo_path, a.mapq AS up_mapq, b.mapq AS lo_mapq, b.read_start - a.read_end AS gap, a.seg_start AS up_start, a.seg_end AS up_end, b.seg_start AS lo_start, b.seg_end AS lo_end FROM aln a JOIN aln b ON a.read_id = b.read_id AND a.rn = 1 AND b.rn = 2 WHERE a.gene <> b.gene"
+#: Pairs: every two consecutive records of a read, of different genes.
+PAIRS = "SELECT a.read_id, a.ord, a.gene AS up_gene, b.gene AS lo_gene, a.chrom AS up_chrom, b.chrom AS lo_chrom, a.sign AS up_sign, b.sign AS lo_sign, a.bp AS up_bp, b.bp AS lo_bp, a.item AS up_path, b.item AS lo_path, a.mapq AS up_mapq, b.mapq AS lo_mapq, b.read_start - a.read_end AS gap, a.seg_start AS up_start, a.seg_end AS up_end, b.seg_start AS lo_start, b.seg_end AS lo_end FROM aln a JOIN aln b ON a.read_id = b.read_id AND b.rn = a.rn + 1 WHERE a.gene <> b.gene"
 WEIGHT = "CASE WHEN {q} >= 30 THEN 10 + {q} * 0.15 WHEN {q} >= 10 THEN floor({q} / 10.0) * 3.5 ELSE {q} * 0.2 END"
 SCORE = f"sqrt({WEIGHT.format(q='up_mapq')} + {WEIGHT.format(q='lo_mapq')}) * 0.5 * (1 + ln(1 + 2)) * CASE WHEN up_mapq >= 30 AND lo_mapq >= 30 THEN 1.5 WHEN up_mapq >= 10 AND lo_mapq >= 10 THEN 1.2 ELSE 0.8 END"
 
@@ -38,10 +38,11 @@ def records(aln: DataFrame) -> DataFrame:
 
 
 def pairs(aln: DataFrame) -> DataFrame:
-    """The first two records of each read by conditional aggregation: one shuffle, no self-join."""
-    one = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
-    out = aln.where("rn <= 2").groupBy("read_id").agg(one(1, "ord").alias("ord"), *(one(n, c).alias(f"{side}_{name}") for n, side in ((1, "up"), (2, "lo")) for c, name in (("gene", "gene"), ("chrom", "chrom"), ("sign", "sign"), ("bp", "bp"), ("item", "path"), ("mapq", "mapq"), ("seg_start", "start"), ("seg_end", "end"))), (one(2, "read_start") - one(1, "read_end")).alias("gap"))
-    return out.where("up_gene <> lo_gene")
+    """Every two consecutive records of a read, of different genes: one shuffle by read, no self-join."""
+    sides = {"gene": "gene", "chrom": "chrom", "sign": "sign", "bp": "bp", "item": "path", "mapq": "mapq", "seg_start": "start", "seg_end": "end"}
+    following = F.lead(F.struct(*sides, "read_start")).over(Window.partitionBy("read_id").orderBy("rn"))
+    out = aln.withColumn("after", following).where(F.col("gene") != F.col("after.gene"))
+    return out.select("read_id", "ord", *(F.col(c).alias(f"up_{name}") for c, name in sides.items()), *(F.col(f"after.{c}").alias(f"lo_{name}") for c, name in sides.items()), (F.col("after.read_start") - F.col("read_end")).alias("gap"))
 
 
 def candidates(aln: DataFrame) -> DataFrame:
@@ -536,6 +537,25 @@ def segment_in_overlap(spark, d):
     return j.select("ord", F.forall(F.array("item"), lambda i: (E.item_start(i) >= F.col("start_pos")) & (E.item_end(i) <= F.col("end_pos"))).alias("inside"))
 
 
+#: Genes with ranges widened by their number, so that some of a chromosome's neighbours overlap and some don't.
+WIDE = "SELECT gene, chrom, start_pos - gid % 4 * 60000 AS s, end_pos + gid % 4 * 98000 AS e FROM genes"
+NAMED = "CASE ord % 10 WHEN 0 THEN concat(lo_gene, '-AS1') WHEN 1 THEN substr(lo_gene, 2, 4) ELSE up_gene END"
+INSIDE = "up_chrom = lo_chrom AND greatest(u.s, v.s) < least(u.e, v.e) AND lo_start >= greatest(u.s, v.s) AND lo_end <= least(u.e, v.e)"
+
+
+@query(f"SELECT ord, contains({NAMED}, lo_gene) OR contains(lo_gene, {NAMED}) OR ({INSIDE}) AS matches FROM ({PAIRS}) p JOIN ({WIDE}) u ON u.gene = up_gene AND u.chrom = up_chrom JOIN ({WIDE}) v ON v.gene = lo_gene AND v.chrom = lo_chrom")
+def gene_overlap(spark, d):
+    """Whether the lower record, taken for a second alignment, matches the upper gene by name or by the two genes' overlap."""
+    aln, genes = tables(spark, d)
+    number = F.col("gid") % 4
+    wide = genes.select("gene", "chrom", F.struct((F.col("start_pos") - number * 60000).alias("start"), (F.col("end_pos") + number * 98000).alias("end")).alias("range"))
+    rows = pairs(aln)
+    for s in ("up", "lo"):
+        rows = rows.join(wide.select(F.col("gene").alias(f"{s}_gene"), F.col("chrom").alias(f"{s}_chrom"), F.col("range").alias(f"{s}_range")), [f"{s}_gene", f"{s}_chrom"])
+    hit = F.struct(F.array("lo_path").alias("items"), F.col("lo_chrom").alias("hit_chrom"), F.col("lo_gene").alias("hit_gene"))
+    return rows.select("ord", evidence.gene_matches(F.expr(NAMED), hit, F.col("up_range"), F.col("lo_range"), F.col("up_chrom")).alias("matches"))
+
+
 LIB = "SELECT a.gene AS left_gene, b.gene AS right_gene, CASE WHEN (a.gid + b.gid) % 3 = 0 THEN ['BodyMap', 'X'] ELSE ['X'] END AS tags FROM genes a, genes b WHERE a.gid < b.gid AND (a.gid + b.gid) % 4 <> 0"
 
 
