@@ -10,8 +10,8 @@ equi-join on (size, block, value) with all values at that distance finds every p
 weighted Jaccard similarity.
 
 DataFrame functions only. Texts or items that are null or without words match nothing; an item with fewer words than a
-shingle is one shingle, and is compared with the runs of as many words. A document shorter than an item is one window. Rows with one doc_id are told apart by a hash of
-their text. The shingles of the items are broadcast while there are at most BROADCAST_ROWS of them, else joined by a shuffle.
+shingle is one shingle, and is compared with the runs of as many words. A document shorter than an item is one window. Rows with one doc_id or item id are told apart by a hash of
+their text, equal rows count once; of several texts the best window is reported. Rows without an id match nothing. The shingles of the items are broadcast while there are at most BROADCAST_ROWS of them, else joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -62,7 +62,9 @@ def blocks(code: Column) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, start (first word of the best window), n_words (its size), distance, similarity: each pair that leaks."""
-    item = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), word_array(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
+    # An item is an id and a text, so that a repeated row is no second item and another text of the id is one.
+    item = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    item = item.select(F.struct("id", F.xxhash64("text").alias("key")).alias("item_id"), word_array(F.col("text")).alias("words")).where(F.size("words") > 0)
     item = item.select("item_id", F.size("words").alias("n"), F.array_distinct(shingles(F.col("words"))).alias("own"), shingles(F.col("words")).alias("all"))
     n_items = F.lit(max(1, items.count()))
     # Whole weights from 4 to 16: a shingle of one item or none weighs most.
@@ -129,7 +131,7 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, i
     both = both.select("win", "item_id", "distance", F.aggregate(shared, F.lit(0).cast("long"), lambda s, x: s + x["item_w"]).alias("in_both"), total("item_w").alias("in_item"), total("win_w").alias("in_win"))
     good = both.select("win", "item_id", "distance", (F.col("in_both") / (F.col("in_item") + F.col("in_win") - F.col("in_both"))).alias("similarity")).where(F.col("similarity") >= similarity)
     found = windows.select("doc_id", "win", "start", "n").join(good, "win")
-    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("x"))
+    best = found.groupBy("doc_id", F.col("item_id.id").alias("item_id")).agg(F.max_by(F.struct("start", "n", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.start").cast("long").alias("start"), F.col("x.n").cast("long").alias("n_words"), F.col("x.distance").cast("int").alias("distance"), F.round("x.similarity", 6).alias("similarity"))
 
 

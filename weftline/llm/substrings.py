@@ -31,11 +31,13 @@ HELD = 1_500_000
 
 
 def _first(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by key, doc and start; which of the ordered are the first of their key)."""
+    """(each key's first place by doc and start; the others, in order). Rows that repeat a document hold its first place again, which isn't another."""
     order = np.lexsort((start, doc, keys))
+    keys, doc, start = keys[order], doc[order], start[order]
     new = np.ones(len(order), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    return order, new
+    new[1:] = keys[1:] != keys[:-1]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return order[new], order[(doc != doc[head]) | (start != start[head])]
 
 
 def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
@@ -56,12 +58,10 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, new = _first(keys, doc, start)
-            later = order[~new]
+            first, later = _first(keys, doc, start)
             if len(later):
                 found = run_batches(doc[later], start[later], np.ones(len(later), np.int64), buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([-1] * found.num_rows, pa.int32()), *found.columns], ["group", "bucket", "runs"])
-            first = order[new]
             group = (keys[first] % np.uint64(groups)).astype(np.int64)
             first = first[np.lexsort((start[first], doc[first], group))]
             group = (keys[first] % np.uint64(groups)).astype(np.int64)
@@ -94,8 +94,7 @@ def removed_runs(rows: DataFrame, width: int, gram: int, buckets: int) -> DataFr
         found = RunBuffer(buckets)
         for blobs in seen.values():
             keys, doc, start = np.concatenate([b[0] for b in blobs]).view(np.uint64), np.concatenate([np.cumsum(b[1]) for b in blobs]), np.concatenate([b[2] for b in blobs])
-            order, new = _first(keys, doc, start)
-            later = order[~new]
+            _, later = _first(keys, doc, start)
             yield from found.add(doc[later], start[later])
         yield from found.flush()
 
