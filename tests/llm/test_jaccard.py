@@ -72,3 +72,15 @@ def test_blocks_allow_every_link():
                     for j in range(b - need + 1):
                         bands = floor(log(b) / step) - floor(log(a) / step)
                         assert (floor(i / a / width + 1e-9), bands, floor(j / b / width + 1e-9)) in kept
+
+
+def test_members_that_are_parts_of_their_leader(spark):
+    """A set within its leader, which has more words: it links to a set that its leader does not."""
+    from weftline.llm import jaccard
+
+    words = [f"w{i}" for i in range(140)]
+    texts = [" ".join(words[:106]), " ".join(words[:96]), " ".join(words[:90]), " ".join(words[100:140] + words[:66])]
+    rows = list(enumerate(texts))
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 1, 85)
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3}

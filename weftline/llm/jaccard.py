@@ -316,17 +316,19 @@ def linked_sets(sets: DataFrame, percent: int, folder: str) -> DataFrame:
     rows = written(rows, folder, "mixed")
     other = rows.select("token", *(F.col(c).alias(f"{c}_2") for c in ("cluster", "component", "band", "block", "low", "high")))
     blocks = F.broadcast(sets.sparkSession.createDataFrame(allowed(percent), "block int, step int, block_2 int"))  # of a fixed size
-    ratio = percent / 100
     asked = rows.join(blocks, "block").withColumn("band_2", F.col("band") + F.col("step"))
     pairs = asked.join(other, ["token", "band_2", "block_2"]).where((F.col("cluster") < F.col("cluster_2")) & (F.col("component") != F.col("component_2")) & (F.col("low") * percent <= F.col("high_2") * 100) & (F.col("low_2") * percent <= F.col("high") * 100))
     pairs = pairs.select(F.col("cluster").alias("a"), F.col("cluster_2").alias("b")).distinct()
     tops = written(links_of(pairs, sets, percent), folder, "tops")
     edges = edges.unionByName(tops.where("linked").select("a", "b"))
     labels = written(components(edges, folder, "second"), folder, "labels-2")
-    least = clusters.groupBy("cluster").agg(F.max("beside").alias("most"))
-    open_pairs = tops.where("not linked").select("a", "b", "both", "size_a", "size_b")
-    open_pairs = _apart(open_pairs, labels).join(least.withColumnsRenamed({"cluster": "a", "most": "most_a"}), "a").join(least.withColumnsRenamed({"cluster": "b", "most": "most_b"}), "b")
-    open_pairs = written(open_pairs.where((F.col("most_a") + F.col("most_b") > 0) & (F.col("both") + F.col("most_a") + F.col("most_b") >= F.floor(ratio * F.least("size_a", "size_b") * ratio))), folder, "open")
+    # (100 + percent) * overlap >= percent * (both sizes): what a member has at most towards that, besides its leader's overlap. Members with
+    # nothing beside their leader may link where leaders do not, as they are smaller; only of two clusters without members is nothing left to ask.
+    best = clusters.groupBy("cluster").agg(F.max(F.col("beside") * (100 + percent) - F.col("size") * percent).alias("best"), F.max(F.col("id") != F.col("cluster")).alias("more"))
+    open_pairs = _apart(tops.where("not linked").select("a", "b", "both"), labels)
+    for side in ("a", "b"):
+        open_pairs = open_pairs.join(best.withColumnsRenamed({"cluster": side, "best": f"best_{side}", "more": f"more_{side}"}), side)
+    open_pairs = written(open_pairs.where((F.col("more_a") | F.col("more_b")) & (F.col("both") * (100 + percent) + F.col("best_a") + F.col("best_b") >= 0)), folder, "open")
     # The larger cluster of a pair is indexed, the other's sets are its queries.
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     turned = open_pairs.join(sizes.withColumnsRenamed({"cluster": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"cluster": "b", "n": "n_b"}), "b")
