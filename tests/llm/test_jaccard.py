@@ -84,3 +84,24 @@ def test_members_that_are_parts_of_their_leader(spark):
     got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 1, 85)
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_copies_far_from_their_leader_make_few_pairs(spark, tmp_path):
+    """Near copies of one text with too many edits to link: single sets that the common leader tells apart aren't compared with each other."""
+    from weftline.llm import jaccard
+    from weftline.llm.common import text_columns
+
+    pick, rows = random.Random(5), [(0, " ".join(f"w{i}" for i in range(150)))]
+    for d in range(1, 81):
+        own = rows[0][1].split()
+        # The first 40 without a link to the leader, the others with one; a few share an edit.
+        for k, at in enumerate(pick.sample(range(0, 150, 5), 6 if d <= 40 else 3)):
+            own[at] = f"own{d % 70}x{k}" if k else f"edit{d % 9}"
+        rows.append((d, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.joined(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85)
+    ids = text_columns(docs)
+    table = jaccard.set_table(ids, 4)
+    jaccard.linked_sets(jaccard.shared_sets(ids, table, 4, 85), 85, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/tops").count() < 200

@@ -11,7 +11,8 @@ is at least ``percent`` / 100.
    left, so an entry is joined only with the blocks of its list that sizes and positions allow (``allowed``); all others are skipped.
 3. Leaders: each set is compared with the set that is first in most of its blocks, and clusters of the sets that
    link to one leader are formed. Similar sets, near copies above all, fall into one cluster, and within one component nothing more is asked.
-4. For clusters of different components that share a block, the leaders' overlap is computed once. A pair of members shares at most
+4. For clusters of different components that share a block, the leaders' overlap is computed once; two single sets that were compared with one leader
+   are left out if what they share with it, and have beside it, is too little. A pair of members shares at most
    the leaders' overlap plus the shared shingles that the members have beside their leaders; only pairs whose bound reaches the threshold are compared;
    for the pairs of clusters left, overlaps with all members are derived from that with their leader and the few shingles in which
    they differ from it. Bounds come from computed answers alone, so no link is lost, and no pairs are emitted.
@@ -37,7 +38,7 @@ from .words import grams, in_texts, mix, words
 
 N = 4
 PERCENT = 85
-HELD = 3_000_000
+HELD = 1_000_000
 TOKEN_BITS = 40
 #: Members of a leader that one task compares.
 MEMBERS = 1000
@@ -308,16 +309,25 @@ def linked_sets(sets: DataFrame, percent: int, folder: str) -> DataFrame:
     # What a member has beside its leader: shingles of one document only can't be shared with any other either.
     member = stars.where("linked").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "both")
     clusters = sets.select(F.col("doc_id").alias("id"), "size", (F.col("size") - F.col("unique")).alias("shared")).join(member, "id", "left").join(labels, "id", "left")
-    clusters = written(clusters.select("id", "size", F.coalesce("cluster", "id").alias("cluster"), F.coalesce(F.col("shared") - F.col("both"), F.lit(0)).alias("beside"), F.coalesce("component", "id").alias("component")), folder, "clusters")
+    # A set without a cluster keeps its overlap with the leader that it was compared with, unless it leads others, of which nothing is known.
+    lone = stars.where("not linked").select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("both").alias("pivot_both"))
+    lone = lone.join(member.select(F.col("cluster").alias("id")).distinct(), "id", "left_anti")
+    clusters = clusters.join(lone, "id", "left").select("id", "size", F.coalesce("cluster", "id").alias("cluster"), F.coalesce(F.col("shared") - F.col("both"), F.lit(0)).alias("beside"), F.coalesce("component", "id").alias("component"), "pivot", "pivot_both", (F.col("shared") - F.col("pivot_both")).alias("pivot_beside"))
+    clusters = written(clusters, folder, "clusters")
     # Step 4: lists with more than one component, as one row for each cluster, band and block.
-    tagged = lists.join(clusters.select("id", "cluster", "component"), "id")
+    pivots = ["pivot", "pivot_both", "pivot_beside"]
+    tagged = lists.join(clusters.select("id", "cluster", "component", *pivots), "id")
     mixed = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = tagged.join(mixed, "token").groupBy("token", "cluster", "component", "band", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    rows = tagged.join(mixed, "token").groupBy("token", "cluster", "component", "band", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), *(F.max(c).alias(c) for c in pivots))
     rows = written(rows, folder, "mixed")
-    other = rows.select("token", *(F.col(c).alias(f"{c}_2") for c in ("cluster", "component", "band", "block", "low", "high")))
+    other = rows.select("token", *(F.col(c).alias(f"{c}_2") for c in ("cluster", "component", "band", "block", "low", "high", *pivots)))
     blocks = F.broadcast(sets.sparkSession.createDataFrame(allowed(percent), "block int, step int, block_2 int"))  # of a fixed size
     asked = rows.join(blocks, "block").withColumn("band_2", F.col("band") + F.col("step"))
-    pairs = asked.join(other, ["token", "band_2", "block_2"]).where((F.col("cluster") < F.col("cluster_2")) & (F.col("component") != F.col("component_2")) & (F.col("low") * percent <= F.col("high_2") * 100) & (F.col("low_2") * percent <= F.col("high") * 100))
+    # Two sets share at most what both share with one pivot and what both have beside it. Sets too far from a pivot, as of a large group of
+    # near copies those with many edits, make no pairs with each other.
+    most = F.least("pivot_both", "pivot_both_2") + F.least("pivot_beside", "pivot_beside_2")
+    far = F.coalesce((F.col("pivot") == F.col("pivot_2")) & (most * (100 + percent) < (F.col("low") + F.col("low_2")) * percent), F.lit(False))
+    pairs = asked.join(other, ["token", "band_2", "block_2"]).where(~far & (F.col("cluster") < F.col("cluster_2")) & (F.col("component") != F.col("component_2")) & (F.col("low") * percent <= F.col("high_2") * 100) & (F.col("low_2") * percent <= F.col("high") * 100))
     pairs = pairs.select(F.col("cluster").alias("a"), F.col("cluster_2").alias("b")).distinct()
     tops = written(links_of(pairs, sets, percent), folder, "tops")
     edges = edges.unionByName(tops.where("linked").select("a", "b"))
