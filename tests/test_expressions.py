@@ -57,3 +57,14 @@ def test_merge_and_overlap(spark):
     for start, want in ((46, False), (45, True)):
         r2 = [(0, 1, "A", "c", ">", 60, 50, 10, ["x"]), (start, 2, "A", "c", ">", 100, 40, 60, ["y"])]
         assert spark.createDataFrame([(r2,)], f"recs array<{kind}>").select(reads.overlapping(F.col("recs")).alias("o")).first()["o"] is want
+
+
+def test_gaf_lines_are_split_once(spark):
+    """The filter on a record's fields must not split the line again for each field."""
+    from weftline.sources import text
+
+    made = spark.range(3).selectExpr("id AS line_no", "concat_ws('\t', 'r', id, '0', '9', '+', '>chr1:G:1-9', '9', '0', '9', '9', '9', '60') AS value")
+    good, bad = text.gaf(made.unionByName(spark.createDataFrame([(7, None), (8, "x\ty")], "line_no bigint, value string")))
+    assert sorted(r.line_no for r in good.collect()) == [0, 1, 2] and sorted(r.line_no for r in bad.collect()) == [7, 8]
+    plan = text.gaf(made)[0].select("read_id", "read_start", "s1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1

@@ -35,7 +35,8 @@ def regions(rows: DataFrame) -> DataFrame:
 
 def gaf(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, rejected lines): a record needs 12 fields, whole numbers, and a ':' in its path's first item."""
-    f = rows.select("*", F.split("value", "\t").alias("f"))
+    # Exploded, as a filter on the fields would else be pushed below the split, which would be done again for each of its conditions.
+    f = rows.select("*", F.explode(F.array(F.split("value", "\t"))).alias("f"))
     fields = [F.get("f", i).try_cast(x.split()[1]).alias(x.split()[0]) for i, x in enumerate(GAF_FIELDS)]
     tags = E.tag_map(F.col("f"))
     tag = lambda k, kind, default: F.coalesce(F.try_element_at("tags", F.lit(k)).try_cast(kind), F.lit(default).cast(kind)).alias(k)
