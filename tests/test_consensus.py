@@ -108,3 +108,16 @@ def test_long_sequences_in_a_band():
     assert (letters == C.codes(truth)).mean(axis=1).min() > 0.85
     assert (letters[-1][:400] == 0).mean() > 0.95 and scores[-1] == C.MATCH * 2600 + C.GAP * 400
     assert np.abs(scores[:-1] - C.MATCH * 3000).max() < 0.7 * C.MATCH * 3000
+
+
+def test_repeated_texts_are_aligned_once(monkeypatch):
+    """times counts as that many equal texts, and texts that equal their draft aren't aligned."""
+    pick = random.Random(4)
+    drafts = ["".join(pick.choices("ACGT", k=k)) for k in (60, 25)]
+    rows = [(g, t) for g in (0, 1) for t in (drafts[g], noisy(drafts[g], pick, 0.1) or "T", drafts[g][3:])]
+    times = [5, 2, 1, 3, 1, 4]
+    once = {tuple(key): n for *key, n in zip(*(x.tolist() if hasattr(x, "tolist") else x for x in C.votes(np.array([g for g, _ in rows]), [drafts[g] for g, _ in rows], [t for _, t in rows], np.array(times))))}
+    many = [row for row, k in zip(rows, times) for _ in range(k)]
+    assert once == counted([g for g, _ in many], [drafts[g] for g, _ in many], [t for _, t in many])
+    monkeypatch.setattr(C, "aligned", None)
+    assert counted([0, 0, 1], [drafts[0], drafts[0], drafts[1]], [drafts[0], drafts[0], drafts[1]]) == {(g, p + 1, False, x, True): 2 - g for g in (0, 1) for p, x in enumerate(drafts[g])}

@@ -101,14 +101,24 @@ def aligned(drafts: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarr
         at[open_[way != 2]] -= 1
 
 
-def votes(groups: np.ndarray, drafts: list[str], texts: list[str]) -> tuple[np.ndarray, ...]:
+def votes(groups: np.ndarray, drafts: list[str], texts: list[str], times: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(group, place, whether behind it, symbol, whether it is the draft's own, votes): what texts say of their drafts, one draft a group.
 
-    Texts without a letter behind a place don't vote there: those are all the others.
+    times: how many votes each text has, one by default. Texts without a letter behind a place don't vote there: those are all the others.
+    A text that equals its draft votes for each of its letters and isn't aligned: no other alignment has its score.
     """
+    times = np.ones(len(texts), np.int64) if times is None else times
     whole, parts = [codes(d) for d in drafts], [codes(t) for t in texts]
+    same = np.array([d == t for d, t in zip(drafts, texts, strict=True)], bool)
     order = np.lexsort((np.array([len(d) for d in whole]), np.array([len(t) for t in parts])))
-    held: list[np.ndarray] = []
+    order = order[~same[order]]
+    of_group = {int(g): d for g, d in zip(groups, whole, strict=True)}
+    alike, which = np.unique(groups[same], return_inverse=True)
+    total = np.zeros(len(alike), np.int64)
+    np.add.at(total, which, times[same])
+    long = np.array([len(of_group[g]) for g in alike.tolist()], np.int64)
+    first = np.concatenate([np.zeros(0, np.uint32), *(of_group[g] for g in alike.tolist())]).astype(np.int64)
+    held = [np.stack((np.repeat(alike, long), np.arange(len(first)) - np.repeat(np.cumsum(long) - long, long) + 1, first, np.repeat(total, long)))]
     extra: dict[tuple[int, int, str], int] = {}
     at = 0
     while at < len(order):  # as many at once as have room; sorted, so their lengths are alike
@@ -122,21 +132,20 @@ def votes(groups: np.ndarray, drafts: list[str], texts: list[str]) -> tuple[np.n
         own = order[at:to]
         _, found, behind = aligned([whole[x] for x in own], [parts[x] for x in own])
         row, place = np.nonzero(np.arange(found.shape[1]) < np.array([len(whole[x]) for x in own])[:, None])
-        held.append(np.stack((groups[own][row], place + 1, found[row, place].astype(np.int64), np.array([len(held)] * len(row)))))
+        held.append(np.stack((groups[own][row], place + 1, found[row, place].astype(np.int64), times[own][row])))
         joined: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for r, p, nth, letter in behind:
             joined.setdefault((r, p), []).append((nth, letter))
         for (r, p), x in joined.items():
             key = (int(groups[own[r]]), p, "".join(chr(c) for _, c in sorted(x)))
-            extra[key] = extra.get(key, 0) + 1
+            extra[key] = extra.get(key, 0) + int(times[own[r]])
         at = to
-    every = np.concatenate(held, axis=1)[:3]
-    order = np.lexsort(every[::-1])
-    every = every[:, order]
+    every = np.concatenate(held, axis=1)
+    order = np.lexsort(every[2::-1])
+    every, weight = every[:3, order], every[3, order]
     cut = np.flatnonzero(np.concatenate(([True], (every[:, 1:] != every[:, :-1]).any(axis=0))))
     group, place, letter = every[:, cut]
-    n = np.diff(np.append(cut, every.shape[1]))
-    of_group = {int(g): d for g, d in zip(groups, whole, strict=True)}
+    n = np.add.reduceat(weight, cut)
     own = np.array([of_group[g][p - 1] == x for g, p, x in zip(group.tolist(), place.tolist(), letter.tolist(), strict=True)], bool)
     symbol = [chr(x) if x else "" for x in letter.tolist()]
     late = sorted(extra.items())
@@ -145,7 +154,7 @@ def votes(groups: np.ndarray, drafts: list[str], texts: list[str]) -> tuple[np.n
 
 
 def voted(rows: DataFrame) -> DataFrame:
-    """VOTES of rows (candidate, side, seq, draft), counted a batch at a time."""
+    """VOTES of rows (candidate, side, seq, draft, times), counted a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +162,11 @@ def voted(rows: DataFrame) -> DataFrame:
                 continue
             candidate, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keys, group = np.unique(np.stack((candidate, side)), axis=1, return_inverse=True)
-            which, place, late, symbol, own, n = votes(group.reshape(-1), batch.column(3).to_pylist(), batch.column(2).to_pylist())
+            which, place, late, symbol, own, n = votes(group.reshape(-1), batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_numpy())
             columns = [pa.array(keys[0, which]), pa.array(keys[1, which].astype(np.int32)), pa.array(place), pa.array(late), pa.array(symbol, pa.string()), pa.array(own), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, ["candidate", "side", "pos", "behind", "symbol", "own", "n"])
 
-    return rows.select("candidate", "side", "seq", "draft").mapInArrow(run, VOTES)
+    return rows.select("candidate", "side", "seq", "draft", "times").mapInArrow(run, VOTES)
 
 
 def called(counted: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -172,8 +181,9 @@ def called(counted: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def drafts(rows: DataFrame) -> DataFrame:
-    """(candidate, side, draft, n): a sequence nearest to the median length, the longest and then the first of them, and how many there are."""
-    middle = rows.groupBy("candidate", "side").agg(F.percentile(F.length("seq"), 0.5).alias("middle"), F.count("*").alias("n"))
+    """(candidate, side, draft, n): a sequence nearest to the median length, the longest and then the first of them, and how many there are.
+    rows: candidate, side, seq, its smallest ord, and times, how often it is there."""
+    middle = rows.groupBy("candidate", "side").agg(F.percentile(F.length("seq"), 0.5, F.col("times")).alias("middle"), F.sum("times").alias("n"))
     near = F.struct(F.abs(F.length("seq") - F.col("middle")), -F.length("seq"), "ord", "seq")
     return rows.join(middle, ["candidate", "side"]).groupBy("candidate", "side").agg(F.min_by("seq", near).alias("draft"), F.max("n").alias("n"))
 
@@ -181,7 +191,7 @@ def drafts(rows: DataFrame) -> DataFrame:
 def consensus(rows: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
     """(candidate, upper, lower) of (candidate, ord, upper, lower): '' where a candidate has no letters on a side.
 
-    The sequences and each round's drafts are written to folder, so nothing is computed twice. Sequences meet their draft in a join whose hot keys
+    The sequences, each once with the number of its votes, and each round's drafts are written to folder, so nothing is computed twice. Sequences meet their draft in a join whose hot keys
     Spark splits, as what follows needs no key together.
     """
 
@@ -191,7 +201,8 @@ def consensus(rows: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     sides = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(s).alias("seq")) for i, s in enumerate(("upper", "lower")))))
-    every = written(rows.select("candidate", "ord", sides.alias("x")).select("candidate", "ord", "x.side", "x.seq"), "sequences")
+    every = rows.select("candidate", "ord", sides.alias("x")).groupBy("candidate", "x.side", "x.seq").agg(F.min("ord").alias("ord"), F.count("*").alias("times"))
+    every = written(every, "sequences")
     spoken = every.where(F.length("seq") > 0)
     now = written(drafts(spoken), "drafts_0")
     for turn in range(rounds):
