@@ -71,3 +71,14 @@ def test_forgotten_reads(spark, tmp_path):
         assert seen(1, [line(pick, "b", 100), line(pick, "c", 0), line(pick, "c", 100)], "c") == {"a", "c"}
     finally:
         query.stop()
+
+
+def test_groups_without_python(spark):
+    """Reads that are kept for good are grouped by Spark's aggregate, not by a Python call a read; ties are in the order of all fields."""
+    pick = random.Random(3)
+    values = [line(pick, "r", s) for s in (7, 7, 2)]
+    rows = S.records(spark.createDataFrame([(0, v) for v in values], "line_no bigint, value string"))
+    got = S.grouped(rows)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    (r,) = got.collect()
+    assert (r.n, [x.read_start for x in r.recs]) == (3, [2, 7, 7]) and r.recs == sorted(r.recs)

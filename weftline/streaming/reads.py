@@ -41,9 +41,12 @@ def records(rows: DataFrame) -> DataFrame:
 def grouped(rows: DataFrame, quiet_ms: int | None = None) -> DataFrame:
     """(read_id, n, recs) of reads with more than one record so far, sorted by start, each time that they get one more.
 
-    Without quiet_ms every read's records are kept for good. With it, a read that gets no record for so long is forgotten, which bounds the
+    Without quiet_ms every read's records are kept for good, in Spark's own streaming aggregate. With it, in Python, a read that gets no record for so long is forgotten, which bounds the
     state; what comes later begins a new group.
     """
+    if not quiet_ms:
+        out = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("recs")).where(F.size("recs") > 1)
+        return out.select("read_id", F.size("recs").cast("bigint").alias("n"), F.col("recs").cast(RECORDS).alias("recs"))
     plain = F.to_json(F.struct(*FIELDS)).alias("rec")
 
     def step(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,13 +58,11 @@ def grouped(rows: DataFrame, quiet_ms: int | None = None) -> DataFrame:
             held += map(json.loads, part["rec"])
         held.sort(key=lambda r: (r["read_start"], json.dumps(r)))
         state.update((json.dumps(held),))
-        if quiet_ms:
-            state.setTimeoutDuration(quiet_ms)
+        state.setTimeoutDuration(quiet_ms)
         if len(held) > 1:
             yield pd.DataFrame({"read_id": [key[0]], "n": [len(held)], "recs": [json.dumps(held)]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if quiet_ms else GroupStateTimeout.NoTimeout
-    out = rows.select("read_id", plain).groupBy("read_id").applyInPandasWithState(step, "read_id string, n bigint, recs string", "recs string", "update", timeout)
+    out = rows.select("read_id", plain).groupBy("read_id").applyInPandasWithState(step, "read_id string, n bigint, recs string", "recs string", "update", GroupStateTimeout.ProcessingTimeTimeout)
     return out.withColumn("recs", F.from_json("recs", RECORDS))
 
 
@@ -75,7 +76,17 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, files_a_
         batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     stream = grouped(records(lines(spark, folder, files_a_batch)), quiet_ms).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep)
-    return (stream.trigger(availableNow=True) if once else stream).start()
+    stream = stream.trigger(availableNow=True) if once else stream
+    # Reads kept for good outgrow an executor's memory: unless the session names a state store, theirs is on disk.
+    key = "spark.sql.streaming.stateStore.providerClass"
+    store = spark.conf.get(key)
+    if quiet_ms or not store.endswith(".HDFSBackedStateStoreProvider"):
+        return stream.start()
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return stream.start()  # which keeps the settings of now
+    finally:
+        spark.conf.set(key, store)
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
