@@ -144,3 +144,12 @@ def test_regions(spark):
     assert {x.split("\n")[0][1:]: "".join(x.split("\n")[1:]) for x in lines} == want
     assert all(len(p) == R.LINE for x in lines for p in x.split("\n")[1:-1]) and not any(x.endswith("\n") for x in lines)
     assert R.cut(named.limit(0), table, piece).count() == 0 and R.cut(named, table.limit(0), piece).count() == 0
+
+
+def test_ranges_far_beyond_a_sequence(spark):
+    """A range asks for no more pieces than its sequence has."""
+    from weftline.operators import regions as R
+
+    pieces = spark.createDataFrame([("a", 1, "ACGT"), ("a", 5, "TT")], "seq_id string, at bigint, part string")
+    ranges = spark.createDataFrame([("a", 3, 10**13), ("a", 7, 10**13), ("b", 1, 2)], "seq_id string, from bigint, to bigint")
+    assert [tuple(r) for r in R.cut(ranges, pieces, 4).collect()] == [("a", 3, 10**13, "GTTT")]

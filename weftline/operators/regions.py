@@ -42,25 +42,29 @@ def bins(low: Column, high: Column, piece: int) -> Column:
 
 
 def cut(ranges: DataFrame, pieces: DataFrame, piece: int = PIECE) -> DataFrame:
-    """(seq_id, from, to, seq) of distinct ranges with at least one letter; a range beyond its sequence's end has the letters that there are.
+    """(seq_id, from, to, seq) and any other columns of distinct ranges with at least one letter; a range beyond its sequence's end has the letters that there are.
 
-    An equi-join by piece number. A piece has one number, as none crosses a multiple of ``piece``, so a place is never found twice. Only
-    pieces that the merged ranges touch take part: they are looked up first, by numbers without text, which Spark broadcasts if they are few.
+    Ranges that begin beyond their sequence's end go first, by a table of a row a sequence. Then an equi-join by piece number. A piece has one
+    number, as none crosses a multiple of ``piece``, so a place is never found twice. Only pieces that ranges touch take part: they are looked up
+    by numbers without text, which Spark broadcasts if they are few.
     """
     numbered = pieces.withColumn("bin", F.floor((F.col("at") - 1) / piece))
-    asked = ranges.select("seq_id", F.col("from").cast("bigint").alias("from"), F.col("to").cast("bigint").alias("to")).where("from <= to").distinct()
-    touched = merged(asked).select("seq_id", bins(F.col("from"), F.col("to"), piece)).distinct()
-    near = numbered.join(touched, ["seq_id", "bin"], "left_semi")
-    joined = asked.select("*", bins(F.col("from"), F.col("to"), piece)).join(near, ["seq_id", "bin"])
+    ends = pieces.groupBy("seq_id").agg(F.max(F.col("at") + F.length("part") - 1).alias("end"))
+    keys = ["seq_id", "from", "to", *(c for c in ranges.columns if c not in ("seq_id", "from", "to"))]
+    asked = ranges.withColumn("from", F.col("from").cast("bigint")).withColumn("to", F.col("to").cast("bigint")).select(*keys).where("from <= to")
+    asked = asked.join(ends, "seq_id").where(F.col("from") <= F.col("end")).distinct()
+    binned = asked.select(*keys, bins(F.col("from"), F.least("to", "end"), piece))
+    near = numbered.join(binned.select("seq_id", "bin").distinct(), ["seq_id", "bin"], "left_semi")
+    joined = binned.join(near, ["seq_id", "bin"])
     low, high = F.greatest("from", "at"), F.least(F.col("to"), F.col("at") + F.length("part") - 1)
     letters = F.substring("part", (low - F.col("at") + 1).cast("int"), (high - low + 1).cast("int"))
-    parts = joined.where(low <= high).select("seq_id", "from", "to", F.struct("at", letters.alias("part")).alias("p"))
-    return parts.groupBy("seq_id", "from", "to").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias("seq"))
+    parts = joined.where(low <= high).select(*keys, F.struct("at", letters.alias("part")).alias("p"))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias("seq"))
 
 
 def region_sequences(regions: DataFrame, pieces: DataFrame, piece: int = PIECE) -> DataFrame:
     """The rows of ``gene_regions`` with their letters as seq; regions of sequences that aren't there are left out."""
-    return regions.join(cut(regions, pieces, piece), ["seq_id", "from", "to"])
+    return cut(regions, pieces, piece)
 
 
 def fasta(rows: DataFrame, name: str = "header", seq: str = "seq", line: int = LINE) -> DataFrame:
