@@ -60,3 +60,51 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 3] and all(0 <= r.score <= 1 for r in got)
     assert toxicity.predictions(docs.limit(0), labels).count() == 0
     assert toxicity.kept(docs, toxicity.fit(docs, labels.limit(0).withColumnRenamed("toxic", "label"))).count() == 5
+
+
+def test_rows_that_stand_for_several_examples():
+    from weftline.llm import toxicity
+
+    pick = np.random.default_rng(4)
+    rows = np.zeros((60, toxicity.LEXICON + 1))
+    rows[:, :30] = pick.integers(0, 3, (60, 30))
+    rows[:, -1] = 1
+    rows, labels, times, ids = unit(rows), pick.integers(0, 2, 60), pick.integers(1, 9, 60), np.arange(60) * 10
+    each = np.repeat(np.arange(60), times)
+    one, every = toxicity.Index(ids, labels, rows, times), toxicity.Index(ids[each], labels[each], rows[each])
+    assert one.n.tolist() == every.n.tolist() and one.ones.tolist() == every.ones.tolist() and one.ids.tolist() == every.ids.tolist()
+    share = one.votes(rows)[0]
+    assert np.allclose(share, every.votes(rows)[0])
+    one.calibrate(share, labels, times)
+    every.calibrate(share[each], labels[each])
+    assert abs(one.slope - every.slope) < 1e-6 and abs(one.shift - every.shift) < 1e-6
+
+
+def test_fit_keeps_the_counts_of_buckets_off_the_driver(spark):
+    """The lexicon is that of brute force, and fitting takes less of the driver's memory than one count of all buckets."""
+    import tracemalloc
+
+    from weftline.llm import toxicity
+
+    pick, rows = np.random.default_rng(5), []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join([f"calm{x}" for x in pick.integers(0, 500, 20)] + [f"{x}wretch" for x in pick.choice(list("abcdef"), 2)] * bad), int(bad)))
+    sample = spark.createDataFrame([*rows, (400, "awretch", 2)], "doc_id long, text string, label long").repartition(5)
+    zeros, ones = (np.zeros(1 << toxicity.BITS, np.int64) for _ in range(2))
+    for _, text, label in rows:
+        found = toxicity.stems(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        next(found)
+        (ones if label else zeros)[np.unique(np.concatenate([bucket for bucket, _ in found]))] += 1
+    expected = (ones + zeros) * (100 / 400)
+    lean = np.where(ones >= toxicity.LEAST, (ones - expected) / np.sqrt(expected + 1), 0)
+    order = np.argsort(-lean, kind="stable")[: toxicity.LEXICON]
+    assert toxicity.leaning(sample).tolist() == order[lean[order] >= toxicity.LEAN].tolist() and len(order[lean[order] >= toxicity.LEAN]) > 6
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, label long").drop("label"), spark.createDataFrame(rows, "doc_id long, text string, label long").drop("text")
+    tracemalloc.start()
+    try:
+        toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 << toxicity.BITS

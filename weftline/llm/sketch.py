@@ -94,8 +94,8 @@ def repeated(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterato
     return Repeated(rows, bits, bitmap)
 
 
-def bucket_counts(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """How often values fall in each of 2 ** bits buckets (their top bits), over all partitions."""
+def bucket_slices(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> DataFrame:
+    """(slice, counts): how often values fall in each of 2 ** bits buckets (their top bits), over all partitions; the counts, of 4 bytes, of SLICES runs of buckets."""
     part = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,12 @@ def bucket_counts(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], It
         for s, have in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(have, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
 
-    out = np.zeros(1 << bits, np.uint32)
-    for s, blob in df.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, counts binary").collect():
+    return df.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, counts binary")
+
+
+def bucket_counts(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """The counts of all buckets, on the driver."""
+    part, out = (1 << bits) // SLICES, np.zeros(1 << bits, np.uint32)
+    for s, blob in bucket_slices(df, values, bits).collect():
         out[s * part : (s + 1) * part] = np.frombuffer(blob, np.uint32)
     return out

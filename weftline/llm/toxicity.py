@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, pieces, shared_dir, text_columns, written
-from .sketch import bucket_counts
+from .sketch import bucket_counts, bucket_slices
 from .words import BASE, BYTE, LOWER, mix, words
 
 BITS = 22
@@ -106,13 +106,15 @@ def unit_rows(n: int, text: np.ndarray, term: np.ndarray, times: np.ndarray, idf
 class Index:
     """Unit vectors of examples by term, in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, times: np.ndarray | None = None):
+        """times: how many examples each row stands for; ids has the smallest of them."""
+        times = np.ones(len(rows)) if times is None else times.astype(float)
         order = np.lexsort(rows.T[::-1]) if len(rows) else np.zeros(0, np.int64)  # like beside like: tighter bounds
-        ids, labels, rows = ids[order], labels[order], rows[order]
+        ids, labels, rows, times = ids[order], labels[order], rows[order], times[order]
         new = np.ones(len(rows), bool)
         new[1:] = (np.abs(rows[1:] - rows[:-1]) > TIE / 10).any(axis=1)
         heads = np.flatnonzero(new)
-        self.n, self.ones = np.diff(np.append(heads, len(rows))).astype(float), np.add.reduceat(labels, heads).astype(float) if len(rows) else np.zeros(0)
+        self.n, self.ones = (np.add.reduceat(x, heads) if len(rows) else np.zeros(0) for x in (times, labels * times))
         entry = np.cumsum(new) - 1
         self.ids = np.full(len(heads), np.iinfo(np.int64).max)
         np.minimum.at(self.ids, entry, ids)
@@ -192,13 +194,13 @@ class Index:
     def calibrated(self, share: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift)))
 
-    def calibrate(self, share: np.ndarray, labels: np.ndarray) -> None:
-        """Logistic scaling by Newton's steps, held near the identity by a weak prior."""
+    def calibrate(self, share: np.ndarray, labels: np.ndarray, times: np.ndarray | float = 1.0) -> None:
+        """Logistic scaling by Newton's steps, held near the identity by a weak prior. times: how many examples have a share."""
         x = _logit(share)
         for _ in range(50):
             p = 1 / (1 + np.exp(-(self.slope * x + self.shift)))
-            w = p * (1 - p)
-            g = np.array([((p - labels) * x).sum() + self.slope - 1, (p - labels).sum() + self.shift])
+            w, off = times * p * (1 - p), times * (p - labels)
+            g = np.array([(off * x).sum() + self.slope - 1, off.sum() + self.shift])
             h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
             step = np.linalg.solve(h, g)
             self.slope, self.shift = max(self.slope - step[0], 0.05), self.shift - step[1]
@@ -211,6 +213,36 @@ def _logit(share: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def leaning(examples: DataFrame) -> np.ndarray:
+    """The lexicon's buckets, strongest first, from (text, label). Each task picks from its own buckets, so the counts of all of them are nowhere together."""
+    learnt = examples.where("label in (0, 1)").select("label", "text")
+    totals = {r["label"]: r["n"] for r in learnt.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ratio = totals.get(1, 0) / max(1, sum(totals.values()))
+
+    def held_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for label, data, offsets in pieces(batches):
+            found = stems(data, offsets)
+            text, _ = next(found)
+            bucket, word = (np.concatenate(x) for x in zip(*found, strict=True))
+            key = np.unique(text[word] << BITS | bucket)
+            yield ((key & (1 << BITS) - 1) << 1 | label[key >> BITS]).astype(np.uint64) << np.uint64(63 - BITS)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                zeros, ones = np.frombuffer(blob.as_buffer(), np.uint32).reshape(-1, 2).T
+                held = np.flatnonzero(ones >= LEAST)
+                found = ones[held].astype(np.float64)
+                expected = (found + zeros[held]) * ratio
+                lean = (found - expected) / np.sqrt(expected + 1)
+                order = np.argsort(-lean, kind="stable")[:LEXICON]
+                order = order[lean[order] >= LEAN]
+                yield pa.RecordBatch.from_arrays([pa.array(s * len(ones) + held[order]), pa.array(lean[order])], ["bucket", "lean"])
+
+    chosen = bucket_slices(learnt, held_stems, BITS + 1).mapInArrow(pick, "bucket long, lean double").orderBy(F.desc("lean"), "bucket").limit(LEXICON)
+    return np.array([r["bucket"] for r in chosen.collect()], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """An index from docs (doc_id, text) and labels (doc_id, label 0 or 1)."""
     rows = text_columns(docs)
@@ -230,23 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
 
     sample = written(rows.mapInArrow(labelled, "doc_id long, text string, label long, fold long"), shared_dir(docs.sparkSession), "examples")
 
-    def held_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, data, offsets in pieces(batches):
-            found = stems(data, offsets)
-            text, _ = next(found)
-            bucket, word = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield (np.unique(text[word] << BITS | bucket) & (1 << BITS) - 1).astype(np.uint64) << np.uint64(64 - BITS)
-
-    learnt = sample.where("fold <> 0")
-    ones, zeros = (bucket_counts(learnt.where(F.col("label") == y).select("doc_id", "text"), held_stems, BITS) for y in (1, 0))
-    totals = {r["label"]: r["n"] for r in learnt.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    held = np.flatnonzero(ones >= LEAST)
-    found = ones[held].astype(np.float64)
-    expected = (found + zeros[held]) * (totals.get(1, 0) / max(1, sum(totals.values())))
-    lean = (found - expected) / np.sqrt(expected + 1)
-    order = np.argsort(-lean, kind="stable")[:LEXICON]
-    lexicon = held[order[lean[order] >= LEAN]]
-    del ones, zeros, held, found, expected, lean
+    lexicon = leaning(sample.where("fold <> 0"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         place = places(lexicon)
@@ -262,25 +278,29 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
             kind = dict(zip(batch.column(0).to_pylist(), zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True))
             for doc, data, offsets in pieces([batch.select([0, 1])]):
                 text, term, times = vectors(data, offsets, place)
-                order = np.argsort(text, kind="stable")
+                times[np.bincount(text, minlength=len(doc))[text] == 1] = 1  # a vector of one term is the same whatever its times
+                order = np.lexsort((term, text))
                 cut = np.searchsorted(text[order], np.arange(len(doc) + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[order], pa.int64())) for x in (term, times)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([kind[i][0] for i in doc.tolist()], pa.int64()), pa.array([kind[i][1] for i in doc.tolist()], pa.int64()), *lists], ["doc_id", "label", "fold", "term", "times"])
 
-    held = sample.mapInArrow(example, "doc_id long, label long, fold long, term array<long>, times array<long>").toArrow()  # of the examples alone
-    held = held.take(pa.array(np.lexsort((held["label"].to_numpy(), held["doc_id"].to_numpy())))).combine_chunks()
-    ids, label, apart = (held[c].to_numpy() for c in ("doc_id", "label", "fold"))
+    kinds = ["term", "times", "label", "fold"]
+    held = sample.mapInArrow(example, "doc_id long, label long, fold long, term array<long>, times array<long>")
+    # Examples with equal vectors are one row here: most have no word of the lexicon.
+    held = held.groupBy(*kinds).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).toArrow()
+    held = held.take(pa.array(np.lexsort((held["fold"].to_numpy(), held["label"].to_numpy(), held["doc_id"].to_numpy())))).combine_chunks()
+    ids, label, apart, n = (held[c].to_numpy() for c in ("doc_id", "label", "fold", "n"))
     lists = [held[c].combine_chunks() for c in ("term", "times")]
     term, times = (x.flatten().to_numpy() for x in lists)
     dense = unit_rows(len(ids), np.repeat(np.arange(len(ids)), np.diff(lists[0].offsets.to_numpy())), term, times, idf)
     del held, lists, term, times
-    index = Index(ids[apart != 0], label[apart != 0], dense[apart != 0])
-    if index.entries and (apart == 0).any():
-        asked = dense[apart == 0]
-        found = [index.votes(asked[at : at + ASKED])[0] for at in range(0, len(asked), ASKED)]
-        del index, asked  # one index at a time
-        whole = Index(ids, label, dense)
-        whole.calibrate(np.concatenate(found), label[apart == 0])
+    own, asked = apart != 0, np.flatnonzero(apart == 0)
+    index = Index(ids[own], label[own], dense[own], n[own])
+    if index.entries and len(asked):
+        found = [index.votes(dense[asked[at : at + ASKED]])[0] for at in range(0, len(asked), ASKED)]
+        del index  # one index at a time
+        whole = Index(ids, label, dense, n)
+        whole.calibrate(np.concatenate(found), label[asked], n[asked])
         index = whole
     index.lexicon, index.idf = lexicon, idf
     return index
